@@ -214,7 +214,7 @@ def term_counts(df: DataFrame, id: str, tokens: Column) -> DataFrame:
 
     A row's tokens are sorted and cut where the value changes, inside the row.
     """
-    ordered = df.select(F.col(id).alias("id"), F.array_sort(tokens).alias("s"))
+    ordered = df.select(F.col(id).alias("id"), F.sort_array(tokens).alias("s"))
     runs = ordered.withColumn(
         "e",
         F.when(
@@ -238,7 +238,10 @@ def term_counts(df: DataFrame, id: str, tokens: Column) -> DataFrame:
 
 
 def _postings(terms: DataFrame) -> DataFrame:
-    return terms.select("id", F.explode("terms").alias("t")).select("id", "t.token", "t.tf")
+    # explode() would add a filter on the array below, where the optimizer inlines it
+    # and computes the whole array a second time, once per element.
+    rows = terms.select("id", F.explode_outer("terms").alias("t"))
+    return rows.select("id", "t.token", "t.tf").filter("token IS NOT NULL")
 
 
 def _idf(n: int, df: Column) -> Column:
@@ -268,7 +271,7 @@ def near_text(
 
     # Document frequencies: counts combine before the shuffle. Written once, read thrice.
     vocabulary = cut_lineage(
-        base_terms.select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        _postings(base_terms).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     )
     # The most frequent tokens hold most postings; they are looked up without a shuffle.
     hot = vocabulary.orderBy(F.desc("df"), "token").limit(HOT_KEYS).select("token")

@@ -168,7 +168,7 @@ def completion_prompts(spark, d):
 @query
 def expand_variants(spark, d):
     t = F.col("input")
-    response = F.concat(F.lit("1."), t, F.lit("\n2. "), F.upper(t), F.lit("3两\n10."), F.reverse(t))
+    response = F.concat(F.lit("1."), t, F.lit("\n2. "), F.replace(t, F.lit('e'), F.lit('E')), F.lit("3两\n10."), F.reverse(t))
     answered = _benchmark_qa(spark, d).withColumn("response", F.when(F.col("item_id") % 7 != 6, response))
     return dataset.expand_variants(answered)
 

@@ -193,7 +193,7 @@ SELECT {_SPLIT} AS split, count(*) AS n_rows, 'doc_id,text' AS columns FROM docu
 """
 ORACLES["completion_prompts"] = f"SELECT item_id, {_s(K.PARAPHRASE_PROMPT)} || text AS prompt FROM benchmark"
 
-_RESPONSE = "'1.' || text || chr(10) || '2. ' || upper(text) || '3两' || chr(10) || '10.' || reverse(text)"
+_RESPONSE = "'1.' || text || chr(10) || '2. ' || replace(text, 'e', 'E') || '3两' || chr(10) || '10.' || reverse(text)"
 ORACLES["expand_variants"] = f"""
 WITH v AS (
   SELECT item_id, list_concat([text], list_filter(
