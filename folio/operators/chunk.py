@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from folio.constants import CHUNK_OVERLAP, CHUNK_SIZE
+from folio.functions.rows import unroll
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -41,7 +42,7 @@ def chunk_recursive(
 
 def _explode(df: DataFrame, text: str, chunks: Column) -> DataFrame:
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return unroll(df, keep, chunks, "chunk_no", "chunk")
 
 
 def recursive_chunks(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folio import constants as K
 from folio.functions import prompts, text as X
+from folio.functions.rows import unroll
 from folio.plugins import Complete
 
 SPLIT_HEX_DIGITS = 4  # 65,536 buckets
@@ -122,9 +123,8 @@ def expand_variants(df: DataFrame, response: str = "response") -> DataFrame:
     variants = F.concat(F.array("input"), items)
     others = [c for c in df.columns if c not in ("input", "output", response, "prompt")]
     answer = F.substring(F.col("output"), len(K.NAME_MARK) + 1, 1 << 30)
-    return df.filter(F.col(response).isNotNull()).select(
-        *others, answer.alias("output"), F.posexplode(variants).alias("variant_no", "input")
-    )
+    answered = df.filter(F.col(response).isNotNull())
+    return unroll(answered, [*others, answer.alias("output")], variants, "variant_no", "input")
 
 
 def template_augment(

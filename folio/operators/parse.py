@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folio import constants as K
 from folio.functions import text as X
+from folio.functions.rows import unroll
 from folio.operators.ordered import scan_ordered
 
 
@@ -33,7 +34,7 @@ def require_clean(parsed: DataFrame) -> DataFrame:
 def text_lines(docs: DataFrame, text: str) -> DataFrame:
     """One row per line with its number; ``text`` is replaced by ``line_no, line``."""
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.posexplode(X.lines_of(F.col(text))).alias("line_no", "line"))
+    return unroll(docs, keep, X.lines_of(F.col(text)), "line_no", "line")
 
 
 def section_rows(

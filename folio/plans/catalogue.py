@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio import constants as K
 from folio.functions import arrays as A, prompts, text as X
+from folio.functions.rows import unroll
 from folio.operators import answers, chunk, dataset, kb, ordered, parse, rag, retrieve, tokens
 from folio.plans import standins as S
+from folio.session import checkpoint_dir
 from folio.sources import books
+from folio.streaming import jobs
+from folio.streaming.answers import assemble_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -344,3 +349,15 @@ def special_tokens(spark, d):
 def message_log(spark, d):
     c = S.table(spark, d, "conversations")
     return answers.message_log(c.filter("role = 'user'"), c.filter("role <> 'user'"), "conv_id", "turn")
+
+
+@query
+def answers_streamed(spark, d):
+    """Final answers of the stateful stream over the same chunks as ``answer_assemble``."""
+    work = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
+    docs = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(d)
+    chunks = unroll(docs, ["doc_id"], F.split("text", "\n"), "seq", "chunk")
+    snapshots = assemble_stream(chunks, "doc_id", "seq", "chunk", DOCUMENT_MARK)
+    jobs.drain(jobs.write_answers(snapshots, f"{work}/out", f"{work}/state"))
+    written = spark.read.schema("doc_id long, seq int, answer string").parquet(f"{work}/out")
+    return written.groupBy("doc_id").agg(F.max_by("answer", "seq").alias("answer"))

@@ -381,6 +381,7 @@ SELECT doc_id, coalesce(string_agg(CASE WHEN contains(chunk, {_MARK}) THEN split
                                    '' ORDER BY seq) FILTER (WHERE seq >= first), '') AS answer
 FROM chunks JOIN firsts USING (doc_id) GROUP BY doc_id
 """
+ORACLES["answers_streamed"] = ORACLES["answer_assemble"]
 ORACLES["cumulative_text"] = f"""
 WITH {_DOC_CHUNKS}
 SELECT doc_id, seq, string_agg(chunk, '') OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS so_far

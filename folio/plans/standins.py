@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio.functions import prompts
+from folio.functions.rows import unroll
 from folio.operators import kb as KB
 
 # Section titles of the rendered pair books; rows of the last type stand before any title.
@@ -94,7 +95,7 @@ def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("甘草一两　　大枣三枚"),
     )
     path = F.concat(F.lit("book-"), F.floor(F.col("l_orderkey") / 1000).cast("string")).alias("path")
-    body = named.select(path, "l_orderkey", F.posexplode(lines).alias("i", "line")).select(
+    body = unroll(named, [path, "l_orderkey"], lines, "i", "line").select(
         "path", (F.col("l_orderkey") * 8 + F.col("i")).alias("line_no"), "line"
     )
     preface = items.select(path).distinct().select(
@@ -106,7 +107,7 @@ def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as the chunks of a streamed answer."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "chunk"))
+    return unroll(docs, ["doc_id"], F.split("text", "\n"), "seq", "chunk")
 
 
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

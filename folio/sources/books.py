@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from folio.functions.rows import unroll
 from folio.functions.text import file_stem
 from folio.operators.chunk import recursive_chunks
 from folio.plugins import Decode
@@ -35,7 +36,7 @@ def not_extracted(books: DataFrame, done: DataFrame) -> DataFrame:
 def decode_pages(books: DataFrame, decode: Decode) -> DataFrame:
     """One row per page: ``path, stem, page_no, page_content, metadata``."""
     run = F.pandas_udf(lambda content: decode(content), T.ArrayType(T.StringType()))
-    pages = books.select("path", "stem", F.posexplode(run("content")).alias("page_no", "page_content"))
+    pages = unroll(books, ["path", "stem"], run("content"), "page_no", "page_content")
     return pages.withColumn(
         "metadata", F.create_map(F.lit("source"), "path", F.lit("page"), F.col("page_no").cast("string"))
     )
