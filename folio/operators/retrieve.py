@@ -160,15 +160,17 @@ def near_vector(
     return ranked.select(F.col("query").alias(query), F.col("id").alias(id), "distance", "rank")
 
 
-def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _unit_rows(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> np.ndarray:
+    """Rows of a list column as unit vectors; a zero vector becomes NaN and is no candidate."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    dims = np.diff(column.offsets.to_numpy())
-    if len(set(dims.tolist())) > 1:
+    sizes = set(np.diff(column.offsets.to_numpy()).tolist())
+    if len(sizes) > 1 or (dims is not None and sizes - {dims}):
         raise ValueError("vectors differ in length")
     rows = flat.reshape(len(column), -1)
-    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    with np.errstate(invalid="ignore"):
+        return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
 def _dense_score(base: DataFrame, names: list, matrix: np.ndarray, exclude_self: bool) -> Callable:
@@ -177,7 +179,7 @@ def _dense_score(base: DataFrame, names: list, matrix: np.ndarray, exclude_self:
 
     def score(rows: pa.RecordBatch) -> np.ndarray:
         q_matrix, q_at = shared.value
-        distance = np.round(1.0 - q_matrix @ _unit_rows(rows.column("v")).T, DIGITS)
+        distance = np.round(1.0 - q_matrix @ _unit_rows(rows.column("v"), q_matrix.shape[1]).T, DIGITS)
         if q_at:
             for j, name in enumerate(rows.column("id").to_pylist()):
                 if name in q_at:

@@ -19,13 +19,14 @@ def assemble_stream(
     seq: str = "seq",
     chunk: str = "chunk",
     marker: str = ANSWER_MARK,
-    idle: str | None = None,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """``(session, seq, answer)``: the answer so far, after each chunk.
 
     Keeps one string and one flag per session. Chunks that arrive in one micro-batch
     are put in order; across micro-batches, order of arrival counts. A session ends
-    with its ``is_last`` chunk, if the stream has that column, or after ``idle``.
+    with its ``is_last`` chunk, if the stream has that column, or after ``idle_ms``
+    without a chunk.
     """
     key_type = chunks.schema[session].dataType.simpleString()
     seq_type = chunks.schema[seq].dataType.simpleString()
@@ -49,11 +50,11 @@ def assemble_stream(
             state.remove()
         else:
             state.update((answer, begun))
-            if idle:
-                state.setTimeoutDuration(idle)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({session: key[0], seq: arrived[seq].to_numpy(), "answer": so_far})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return chunks.groupBy(session).applyInPandasWithState(
         advance, f"{session} {key_type}, {seq} {seq_type}, answer string", STATE, "update", timeout
     )

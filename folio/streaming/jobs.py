@@ -6,7 +6,9 @@ a failure replaces its output instead of adding to it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.constants import RETRIEVAL_K
@@ -14,8 +16,15 @@ from folio.operators import parse, rag
 from folio.sinks import tables
 
 
-def _each_batch(stream: DataFrame, step, checkpoint: str) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    def held(batch: DataFrame, number: int) -> None:
+        batch.persist()  # the operators read it more than once
+        try:
+            step(batch, number)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(held).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
