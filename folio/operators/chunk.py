@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from folio.constants import CHUNK_OVERLAP, CHUNK_SIZE
 from folio.functions.rows import unroll
+from folio.session import spread_small
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -17,9 +18,18 @@ def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     """``array<string>``: pieces of ``size`` characters that start ``size - overlap`` apart."""
     stride = size - overlap
     n = F.greatest(F.ceil((F.length(text) - F.lit(overlap)) / F.lit(stride)), F.lit(1)).cast("int")
-    starts = F.sequence(F.lit(0), n - F.lit(1))
-    pieces = F.transform(starts, lambda i: F.substring(text, i * F.lit(stride) + F.lit(1), F.lit(size)))
-    return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
+    # The text is cut into strides once, so that it is not walked through again for
+    # every chunk; a chunk is its stride and the beginning of what follows. The array
+    # of one element binds the strides to a name: used directly, the inner function
+    # would compute them for each chunk. A last stride of ``overlap`` characters or
+    # fewer makes no chunk, because the chunk before holds all of it.
+    strides = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    count = F.lit(-(-size // stride))
+    chunks = F.transform(
+        F.array(strides),
+        lambda s: F.transform(s, lambda _, i: F.substring(F.array_join(F.slice(s, i + 1, count), ""), 1, size)),
+    )
+    return F.slice(F.get(chunks, F.lit(0)), 1, n)
 
 
 def chunk_fixed(
@@ -37,7 +47,7 @@ def chunk_recursive(
     separators: tuple[str, ...] = SEPARATORS,
 ) -> DataFrame:
     """One row per chunk, cut at the coarsest separator that keeps chunks within ``size``."""
-    return _explode(df, text, recursive_chunks(F.col(text), size, overlap, separators))
+    return _explode(spread_small(df), text, recursive_chunks(F.col(text), size, overlap, separators))
 
 
 def _explode(df: DataFrame, text: str, chunks: Column) -> DataFrame:

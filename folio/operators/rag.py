@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from folio.constants import RETRIEVAL_K
 from folio.functions import prompts, text as X
 from folio.operators.ordered import joined_text
-from folio.operators.retrieve import near_text
+from folio.operators.retrieve import TextIndex, near_text
 
 REQUEST_SCHEMA = "question string, model string, external_db boolean"
 
@@ -67,10 +67,14 @@ def rag_prompt(
     id: str = "id",
     text: str = "text",
     analyzer: str = "word",
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """Add ``prompt``: the question, with context where it is wanted and found."""
+    """Add ``prompt``: the question, with context where it is wanted and found.
+
+    ``index`` is ``index_text(kb)``, if it has been made before.
+    """
     wanted = requests.filter("external_db").select(query, "question")
-    hits = near_text(wanted, kb, k, query=query, id=id, text=text, analyzer=analyzer)
+    hits = near_text(wanted, index or kb, k, query=query, id=id, text=text, analyzer=analyzer)
     with_context = requests.join(rag_context(hits, kb, query, id), query, "left")
     return with_context.select(
         *requests.columns,

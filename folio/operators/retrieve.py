@@ -13,17 +13,19 @@ within the bound; no query and no candidate is left out.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folio.constants import RETRIEVAL_K
 from folio.operators.skew import HOT_KEYS, lookup
 from folio.plugins import Embed
-from folio.session import cut_lineage
+from folio.session import spread_small, write_once
 
 # Postings (or vector components) of one query block: about 32 MB as numbers.
 MAX_QUERY_CELLS = 4_000_000
@@ -118,7 +120,7 @@ def _query_blocks(cells: DataFrame, query: str) -> list[Column]:
 def _in_passes(parts: list[DataFrame]) -> DataFrame:
     """One result of several passes; with many passes each is written down in turn."""
     if len(parts) > 1:
-        parts = [cut_lineage(p) for p in parts]
+        parts = [write_once(p) for p in parts]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -250,9 +252,44 @@ def _idf(n: int, df: Column) -> Column:
     return F.log(F.lit(float(1 + n)) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """A base prepared for text retrieval; serves any number of query batches."""
+
+    rows: DataFrame  # id, tokens array<string>, weights array<double> of length 1
+    vocabulary: DataFrame  # token, df
+    hot: DataFrame  # the HOT_KEYS most frequent tokens
+    n: int
+    analyzer: str
+
+
+def index_text(base: DataFrame, *, id: str = "id", text: str = "text", analyzer: str = "word") -> TextIndex:
+    """Unit TF-IDF vectors of the base texts.
+
+    Texts are cut into tokens once and their counts written down. The most frequent
+    tokens hold most postings and are given their weight without a shuffle; of the
+    others none is frequent enough to make a large group.
+    """
+    tokens = ANALYZERS[analyzer](F.col(text))
+    postings = write_once(_postings(term_counts(spread_small(base.select(id, text)), id, tokens)))
+    vocabulary = write_once(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    hot = write_once(vocabulary.orderBy(F.desc("df"), "token").limit(HOT_KEYS).select("token"))
+    n = base.count()
+    weighted = lookup(postings, vocabulary, ["token"], hot=hot).select(
+        "id", "token", (F.col("tf") * _idf(n, F.col("df"))).alias("w")
+    )
+    vectors = weighted.groupBy("id").agg(
+        F.collect_list(F.struct("token", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    )
+    rows = vectors.select(
+        "id", F.col("t.token").alias("tokens"), F.transform("t.w", lambda w: w / F.col("norm")).alias("weights")
+    )
+    return TextIndex(write_once(rows), vocabulary, hot, n, analyzer)
+
+
 def near_text(
     queries: DataFrame,
-    base: DataFrame,
+    base: DataFrame | TextIndex,
     k: int = RETRIEVAL_K,
     *,
     query: str = "query_id",
@@ -264,26 +301,18 @@ def near_text(
     """``(query, id, distance, rank)``: the k nearest base texts by TF-IDF cosine.
 
     Distances are rounded to 9 digits; equal ones are ordered by id. Texts that share
-    no token with the query are not returned.
+    no token with the query are not returned. A base that is asked more than once is
+    better passed as ``index_text(base)``.
     """
-    tokens = ANALYZERS[analyzer]
+    index = base if isinstance(base, TextIndex) else index_text(base, id=id, text=text, analyzer=analyzer)
     query_type = queries.schema[query].dataType.simpleString()
-    base_terms = term_counts(base, id, tokens(F.col(text)))
-    n = base.count()
-
-    # Document frequencies: counts combine before the shuffle. Written once, read thrice.
-    vocabulary = cut_lineage(
-        _postings(base_terms).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    )
-    # The most frequent tokens hold most postings; they are looked up without a shuffle.
-    hot = vocabulary.orderBy(F.desc("df"), "token").limit(HOT_KEYS).select("token")
-
-    asked = _postings(term_counts(queries, query, tokens(F.col(question))))
-    weights = cut_lineage(
-        lookup(asked, vocabulary, ["token"], "left", hot=hot).select(
+    tokens = ANALYZERS[index.analyzer](F.col(question))
+    asked = _postings(term_counts(queries.select(query, question), query, tokens))
+    weights = write_once(
+        lookup(asked, index.vocabulary, ["token"], "left", hot=index.hot).select(
             F.col("id").alias("query"),
             "token",
-            (F.col("tf") * _idf(n, F.coalesce("df", F.lit(0)))).alias("w"),
+            (F.col("tf") * _idf(index.n, F.coalesce("df", F.lit(0)))).alias("w"),
             F.col("df").isNotNull().alias("known"),
         )
     )
@@ -292,63 +321,46 @@ def near_text(
     for block in _query_blocks(cells, "query"):
         held = weights.filter(block).toArrow()  # within MAX_QUERY_CELLS
         if held.num_rows:
-            parts.append(_near_block(held, base_terms, vocabulary, hot, n, query_type, k))
+            parts.append(_near_block(held, index.rows, query_type, k))
     if not parts:
+        id_type = index.rows.schema["id"].dataType.simpleString()
         return queries.sparkSession.createDataFrame(
-            [], f"{query} {query_type}, {id} {base.schema[id].dataType.simpleString()}, distance double, rank int"
+            [], f"{query} {query_type}, {id} {id_type}, distance double, rank int"
         )
     ranked = top_k(_in_passes(parts), "query", ["distance", "id"], k)
     return ranked.select(F.col("query").alias(query), F.col("id").alias(id), "distance", "rank")
 
 
-def _near_block(
-    held: pa.Table, base_terms: DataFrame, vocabulary: DataFrame, hot: DataFrame, n: int, query_type: str, k: int
-) -> DataFrame:
-    spark = base_terms.sparkSession
+def _near_block(held: pa.Table, rows: DataFrame, query_type: str, k: int) -> DataFrame:
     asked = held.to_pandas()
     asked["q"], names = pd.factorize(asked["query"])
     names = names.tolist()
     norm = np.sqrt(np.bincount(asked["q"], weights=asked["w"] ** 2, minlength=len(names)))
+    asked["w"] /= norm[asked["q"]]
     asked = asked[asked["known"]]
+    # Query postings by token: those of token c stand from first[c] to first[c + 1].
     code, known = pd.factorize(asked["token"])
     by_token = np.argsort(code, kind="stable")
-    starts = np.searchsorted(code[by_token], np.arange(len(known) + 1))
-    shared = spark.sparkContext.broadcast(
-        (starts, asked["q"].to_numpy()[by_token], (asked["w"] / norm[asked["q"]]).to_numpy()[by_token], len(names))
-    )
-    # Not more rows than the block has postings.
-    codes = spark.createDataFrame(
-        pd.DataFrame({"token": list(known), "code": np.arange(len(known), dtype=np.int32)}), "token string, code int"
-    )
-    weighted = lookup(_postings(base_terms), vocabulary, ["token"], "inner", hot=hot).select(
-        "id", "token", (F.col("tf") * _idf(n, F.col("df"))).alias("w")
-    )
-    vectors = (
-        weighted.join(F.broadcast(codes), "token", "left")
-        .groupBy("id")
-        .agg(
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-            F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "w"))).alias("shared"),
-        )
-        .filter(F.size("shared") > 0)
-        .select("id", "norm", F.col("shared.code").alias("codes"), F.col("shared.w").alias("w"))
-    )
+    first = np.searchsorted(code[by_token], np.arange(len(known) + 1))
+    q_of, w_of = asked["q"].to_numpy()[by_token], asked["w"].to_numpy()[by_token]
+    shared = rows.sparkSession.sparkContext.broadcast((list(known), first, q_of, w_of, len(names)))
 
-    def score(rows: pa.RecordBatch) -> np.ndarray:
-        first, q_of, w_of, n_queries = shared.value
-        lists = rows.column("codes")
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        known, first, q_of, w_of, n_queries = shared.value
+        lists = batch.column("tokens")
         sizes = np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        codes_here = lists.flatten().to_numpy()
-        w_here = rows.column("w").flatten().to_numpy() / rows.column("norm").to_numpy()[row]
+        codes = pc.index_in(lists.flatten(), value_set=pa.array(known, pa.string()))
+        here = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
+        codes = codes.fill_null(0).to_numpy()[here]
+        row = np.repeat(np.arange(len(sizes)), sizes)[here]
+        weight = batch.column("weights").flatten().to_numpy()[here]
         dots = np.zeros((n_queries, len(sizes)))
-        order = np.argsort(codes_here, kind="stable")
-        edges = np.flatnonzero(np.diff(codes_here[order], prepend=-1, append=-1))
+        order = np.argsort(codes, kind="stable")
+        edges = np.flatnonzero(np.diff(codes[order], prepend=-1, append=-1))
         for lo, hi in zip(edges[:-1], edges[1:]):  # one token at a time, all its rows at once
-            mine = order[lo:hi]
-            c = codes_here[mine[0]]
+            mine, c = order[lo:hi], codes[order[lo]]
             span = slice(first[c], first[c + 1])
-            dots[np.ix_(q_of[span], row[mine])] += np.outer(w_of[span], w_here[mine])
+            dots[np.ix_(q_of[span], row[mine])] += np.outer(w_of[span], weight[mine])
         return np.where(dots > 0, np.round(1.0 - dots, DIGITS), np.inf)
 
-    return _scan_top_k(vectors, score, query_type, names, k)
+    return _scan_top_k(rows, score, query_type, names, k)

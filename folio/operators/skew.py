@@ -25,6 +25,7 @@ def lookup(
         raise ValueError("how must be inner or left")
     hot = hot_keys(facts, on) if hot is None else hot
     hot_dim = dim.join(F.broadcast(hot), on, "left_semi")
-    frequent = facts.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_dim), on, how)
+    some = facts if how == "inner" else facts.join(F.broadcast(hot), on, "left_semi")
+    frequent = some.join(F.broadcast(hot_dim), on, how)
     rare = facts.join(F.broadcast(hot), on, "left_anti").join(dim, on, how)
     return frequent.unionByName(rare)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folio.constants import RETRIEVAL_K
 from folio.operators import parse, rag
+from folio.operators.retrieve import index_text
 from folio.sinks import tables
 
 
@@ -45,13 +46,19 @@ def answer_requests(
     out: str,
     checkpoint: str,
     k: int = RETRIEVAL_K,
-    **columns: str,
+    id: str = "id",
+    text: str = "text",
+    analyzer: str = "word",
 ) -> StreamingQuery:
-    """Write the prompts of arriving requests (``request_id, value``), one folder per micro-batch."""
+    """Write the prompts of arriving requests (``request_id, value``), one folder per micro-batch.
+
+    The knowledge base is indexed once, before the first micro-batch.
+    """
+    index = index_text(kb, id=id, text=text, analyzer=analyzer)
 
     def step(batch: DataFrame, number: int) -> None:
         routed = rag.route_requests(rag.parse_requests(batch), models)
-        prompts = rag.rag_prompt(routed, kb, k, **columns)
+        prompts = rag.rag_prompt(routed, kb, k, id=id, text=text, index=index)
         prompts.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return _each_batch(requests, step, checkpoint)
