@@ -36,7 +36,7 @@ def chunk_fixed(
     df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
     """One row per fixed-stride chunk; ``text`` is replaced by ``chunk_no, chunk``."""
-    return _explode(df, text, fixed_chunks(F.col(text), size, overlap))
+    return _explode(spread_small(df), text, fixed_chunks(F.col(text), size, overlap))
 
 
 def chunk_recursive(

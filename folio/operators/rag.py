@@ -8,6 +8,7 @@ from folio.constants import RETRIEVAL_K
 from folio.functions import prompts, text as X
 from folio.operators.ordered import joined_text
 from folio.operators.retrieve import TextIndex, near_text
+from folio.session import write_once
 
 REQUEST_SCHEMA = "question string, model string, external_db boolean"
 
@@ -46,9 +47,11 @@ def rag_context(
 ) -> DataFrame:
     """One context text per request: its hits in rank order.
 
-    ``hits`` holds at most k rows per request, so a group is never large.
+    ``hits`` holds at most k rows per request, so a group is never large. It is
+    written down first: Spark then knows its size when it plans the join, and
+    broadcasts it if it is small instead of shuffling the knowledge base.
     """
-    lines = hits.select(query, "rank", id).join(kb, id).select(
+    lines = write_once(hits.select(query, "rank", id)).join(kb, id).select(
         query,
         "rank",
         prompts.context_line(*[F.col(c) for c in ("type", "medicine_a", "medicine_b", "dosage", "function")]).alias(

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folio.constants import RETRIEVAL_K
-from folio.operators.skew import HOT_KEYS, lookup
+from folio.operators.skew import lookup
 from folio.plugins import Embed
 from folio.session import spread_small, write_once
 
@@ -33,6 +33,7 @@ MAX_BLOCK_QUERIES = 4_096
 # Scores that a task holds at one time.
 MAX_SCORE_CELLS = 4_000_000
 MAX_BLOCKS = 1 << 20
+HOT_TOKENS = 500_000
 DIGITS = 9
 
 
@@ -214,12 +215,13 @@ ANALYZERS = {"word": words, "char2": letter_pairs}
 
 
 def term_counts(df: DataFrame, id: str, tokens: Column) -> DataFrame:
-    """``(id, terms array<struct<token, tf>>)`` without a shuffle.
+    """``(id, tokens array<string>, tfs array<int>)``: distinct tokens and their counts.
 
-    A row's tokens are sorted and cut where the value changes, inside the row.
+    A row's tokens are sorted and cut where the value changes, inside the row, so
+    nothing is shuffled.
     """
     ordered = df.select(F.col(id).alias("id"), F.sort_array(tokens).alias("s"))
-    runs = ordered.withColumn(
+    ends = ordered.withColumn(
         "e",
         F.when(
             F.size("s") > 0,
@@ -229,23 +231,19 @@ def term_counts(df: DataFrame, id: str, tokens: Column) -> DataFrame:
             ),
         ).otherwise(F.array().cast("array<int>")),
     )
-    return runs.select(
+    return ends.select(
         "id",
-        F.transform(
-            F.col("e"),
-            lambda end, j: F.struct(
-                F.get("s", end - F.lit(1)).alias("token"),
-                (end - F.coalesce(F.get("e", j - F.lit(1)), F.lit(0))).alias("tf"),
-            ),
-        ).alias("terms"),
+        F.transform("e", lambda end: F.get("s", end - F.lit(1))).alias("tokens"),
+        F.transform("e", lambda end, j: end - F.coalesce(F.get("e", j - F.lit(1)), F.lit(0))).alias("tfs"),
     )
 
 
 def _postings(terms: DataFrame) -> DataFrame:
+    """One row per ``(id, token, tf)``."""
     # explode() would add a filter on the array below, where the optimizer inlines it
     # and computes the whole array a second time, once per element.
-    rows = terms.select("id", F.explode_outer("terms").alias("t"))
-    return rows.select("id", "t.token", "t.tf").filter("token IS NOT NULL")
+    rows = terms.select("id", F.explode_outer(F.arrays_zip("tokens", "tfs")).alias("t"))
+    return rows.select("id", F.col("t.tokens").alias("token"), F.col("t.tfs").alias("tf")).filter("token IS NOT NULL")
 
 
 def _idf(n: int, df: Column) -> Column:
@@ -256,35 +254,41 @@ def _idf(n: int, df: Column) -> Column:
 class TextIndex:
     """A base prepared for text retrieval; serves any number of query batches."""
 
-    rows: DataFrame  # id, tokens array<string>, weights array<double> of length 1
+    rows: DataFrame  # id, tokens array<string>, tfs array<int>, norm
     vocabulary: DataFrame  # token, df
-    hot: DataFrame  # the HOT_KEYS most frequent tokens
     n: int
     analyzer: str
 
 
-def index_text(base: DataFrame, *, id: str = "id", text: str = "text", analyzer: str = "word") -> TextIndex:
-    """Unit TF-IDF vectors of the base texts.
+def index_text(
+    base: DataFrame, *, id: str = "id", text: str = "text", analyzer: str = "word", keep: bool = True
+) -> TextIndex:
+    """Token counts of the base texts, document frequencies and vector lengths.
 
-    Texts are cut into tokens once and their counts written down. The most frequent
-    tokens hold most postings and are given their weight without a shuffle; of the
-    others none is frequent enough to make a large group.
+    Texts are cut into tokens once and the counts written down. With ``keep`` the rows
+    are written together with their vector lengths, which pays off from the second
+    query batch on.
     """
     tokens = ANALYZERS[analyzer](F.col(text))
-    postings = write_once(_postings(term_counts(spread_small(base.select(id, text)), id, tokens)))
-    vocabulary = write_once(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-    hot = write_once(vocabulary.orderBy(F.desc("df"), "token").limit(HOT_KEYS).select("token"))
+    terms = write_once(term_counts(spread_small(base.select(id, text)), id, tokens))
+    # Counts combine before the shuffle, so a token found in every text is one row per task.
+    only = terms.select(F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
+    vocabulary = write_once(only.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     n = base.count()
-    weighted = lookup(postings, vocabulary, ["token"], hot=hot).select(
-        "id", "token", (F.col("tf") * _idf(n, F.col("df"))).alias("w")
-    )
-    vectors = weighted.groupBy("id").agg(
-        F.collect_list(F.struct("token", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
-    rows = vectors.select(
-        "id", F.col("t.token").alias("tokens"), F.transform("t.w", lambda w: w / F.col("norm")).alias("weights")
-    )
-    return TextIndex(write_once(rows), vocabulary, hot, n, analyzer)
+
+    # Tokens with at least total/HOT_TOKENS postings: there cannot be more than
+    # HOT_TOKENS of them. They are given their weight by broadcast and never shuffled;
+    # any other token is too rare to make a large group.
+    total, size = vocabulary.agg(F.sum("df"), F.count(F.lit(1))).first()
+    if size <= HOT_TOKENS:
+        found = _postings(terms).join(F.broadcast(vocabulary), "token")
+    else:
+        hot = vocabulary.filter(F.col("df") >= total / HOT_TOKENS).select("token")
+        found = lookup(_postings(terms), vocabulary, ["token"], hot=hot)
+    weighted = found.withColumn("w", F.col("tf") * _idf(n, F.col("df")))
+    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    rows = terms.join(norms, "id")
+    return TextIndex(write_once(rows) if keep else rows, vocabulary, n, analyzer)
 
 
 def near_text(
@@ -304,24 +308,25 @@ def near_text(
     no token with the query are not returned. A base that is asked more than once is
     better passed as ``index_text(base)``.
     """
-    index = base if isinstance(base, TextIndex) else index_text(base, id=id, text=text, analyzer=analyzer)
+    index = (
+        base if isinstance(base, TextIndex) else index_text(base, id=id, text=text, analyzer=analyzer, keep=False)
+    )
     query_type = queries.schema[query].dataType.simpleString()
     tokens = ANALYZERS[index.analyzer](F.col(question))
-    asked = _postings(term_counts(queries.select(query, question), query, tokens))
-    weights = write_once(
-        lookup(asked, index.vocabulary, ["token"], "left", hot=index.hot).select(
-            F.col("id").alias("query"),
-            "token",
-            (F.col("tf") * _idf(index.n, F.coalesce("df", F.lit(0)))).alias("w"),
-            F.col("df").isNotNull().alias("known"),
-        )
+    asked = write_once(_postings(term_counts(queries.select(query, question), query, tokens)))
+    # Only the vocabulary's rows for asked tokens; they are no more than the asked ones.
+    known = index.vocabulary.join(asked.select("token").distinct(), "token")
+    idf = _idf(index.n, F.coalesce("df", F.lit(0)))
+    weights = asked.join(known, "token", "left").select(
+        F.col("id").alias("query"), "token", (F.col("tf") * idf).alias("w"), F.when(F.col("df").isNotNull(), idf).alias("idf")
     )
-    cells = weights.groupBy("query").agg(F.count(F.lit(1)).alias("cells"))
+    blocks = _query_blocks(asked.groupBy(F.col("id").alias("query")).agg(F.count(F.lit(1)).alias("cells")), "query")
+    rows = write_once(index.rows) if len(blocks) > 1 and not isinstance(base, TextIndex) else index.rows
     parts = []
-    for block in _query_blocks(cells, "query"):
+    for block in blocks:
         held = weights.filter(block).toArrow()  # within MAX_QUERY_CELLS
         if held.num_rows:
-            parts.append(_near_block(held, index.rows, query_type, k))
+            parts.append(_near_block(held, rows, query_type, k))
     if not parts:
         id_type = index.rows.schema["id"].dataType.simpleString()
         return queries.sparkSession.createDataFrame(
@@ -337,12 +342,14 @@ def _near_block(held: pa.Table, rows: DataFrame, query_type: str, k: int) -> Dat
     names = names.tolist()
     norm = np.sqrt(np.bincount(asked["q"], weights=asked["w"] ** 2, minlength=len(names)))
     asked["w"] /= norm[asked["q"]]
-    asked = asked[asked["known"]]
+    asked = asked[asked["idf"].notna()]
     # Query postings by token: those of token c stand from first[c] to first[c + 1].
     code, known = pd.factorize(asked["token"])
     by_token = np.argsort(code, kind="stable")
     first = np.searchsorted(code[by_token], np.arange(len(known) + 1))
-    q_of, w_of = asked["q"].to_numpy()[by_token], asked["w"].to_numpy()[by_token]
+    q_of = asked["q"].to_numpy()[by_token]
+    # The base's weight is tf * idf / norm; its idf is put on the query's side.
+    w_of = (asked["w"] * asked["idf"]).to_numpy()[by_token]
     shared = rows.sparkSession.sparkContext.broadcast((list(known), first, q_of, w_of, len(names)))
 
     def score(batch: pa.RecordBatch) -> np.ndarray:
@@ -353,7 +360,7 @@ def _near_block(held: pa.Table, rows: DataFrame, query_type: str, k: int) -> Dat
         here = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
         codes = codes.fill_null(0).to_numpy()[here]
         row = np.repeat(np.arange(len(sizes)), sizes)[here]
-        weight = batch.column("weights").flatten().to_numpy()[here]
+        weight = batch.column("tfs").flatten().to_numpy()[here] / batch.column("norm").to_numpy()[row]
         dots = np.zeros((n_queries, len(sizes)))
         order = np.argsort(codes, kind="stable")
         edges = np.flatnonzero(np.diff(codes[order], prepend=-1, append=-1))

@@ -82,7 +82,8 @@ def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books of formulas: an order is a formula, its part names are the ingredients."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    named = items.join(part, "l_partkey").groupBy("l_orderkey").agg(
+    # One shuffle by order serves both the join's parallelism and the grouping.
+    named = items.repartition("l_orderkey").join(part, "l_partkey").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("items")
     )
     key = F.col("l_orderkey").cast("string")

@@ -20,7 +20,7 @@ def bounds(request, monkeypatch):
     if request.param == "many passes":
         monkeypatch.setattr(R, "MAX_BLOCK_QUERIES", 3)
         monkeypatch.setattr(R, "MAX_SCORE_CELLS", 10)
-        monkeypatch.setattr(R, "HOT_KEYS", 2)
+        monkeypatch.setattr(R, "HOT_TOKENS", 4)
 
 
 def best(scores, k):
