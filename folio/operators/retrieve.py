@@ -141,7 +141,8 @@ def near_vector(
 ) -> DataFrame:
     """``(query, id, distance, rank)``: the k nearest base rows by cosine distance.
 
-    Distances are rounded to 9 digits; equal ones are ordered by id.
+    Ids are unique on both sides. Distances are rounded to 9 digits; equal ones are
+    ordered by id.
     """
     query_type = queries.schema[query].dataType.simpleString()
     q = queries.select(F.col(query).alias("query"), F.col(query_vector).cast("array<double>").alias("v"))
@@ -304,8 +305,8 @@ def near_text(
 ) -> DataFrame:
     """``(query, id, distance, rank)``: the k nearest base texts by TF-IDF cosine.
 
-    Distances are rounded to 9 digits; equal ones are ordered by id. Texts that share
-    no token with the query are not returned. A base that is asked more than once is
+    Ids are unique on both sides. Distances are rounded to 9 digits; equal ones are
+    ordered by id. Texts that share no token with the query are not returned. A base that is asked more than once is
     better passed as ``index_text(base)``.
     """
     index = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folio.constants import ANSWER_MARK
 
-STATE = "answer string, begun boolean"
+STATE = "answer string, begun boolean, pending binary"
 
 
 def assemble_stream(
@@ -23,23 +24,31 @@ def assemble_stream(
 ) -> DataFrame:
     """``(session, seq, answer)``: the answer so far, after each chunk.
 
-    Keeps one string and one flag per session. Chunks that arrive in one micro-batch
+    ``chunk`` is text, or UTF-8 bytes that may be cut inside a character; the bytes of
+    an unfinished character wait in the state. Besides them the state holds one string
+    and one flag per session. Chunks that arrive in one micro-batch
     are put in order; across micro-batches, order of arrival counts. A session ends
     with its ``is_last`` chunk, if the stream has that column, or after ``idle_ms``
-    without a chunk.
+    without a chunk. Waiting for that never ends, so such a stream needs a trigger
+    that runs on a clock.
     """
     key_type = chunks.schema[session].dataType.simpleString()
     seq_type = chunks.schema[seq].dataType.simpleString()
+    is_bytes = chunks.schema[chunk].dataType.simpleString() == "binary"
     has_end = "is_last" in chunks.columns
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        answer, begun = state.get if state.exists else ("", False)
+        answer, begun, pending = state.get if state.exists else ("", False, b"")
+        decoder = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        decoder.setstate((bytes(pending), 0))
         arrived = pd.concat(list(batches)).sort_values(seq, kind="stable")
         so_far = []
         for text in arrived[chunk]:
+            if is_bytes:
+                text = decoder.decode(bytes(text))
             if marker in text:
                 begun = True
                 answer += text.split(marker)[1]
@@ -49,7 +58,7 @@ def assemble_stream(
         if has_end and arrived["is_last"].any():
             state.remove()
         else:
-            state.update((answer, begun))
+            state.update((answer, begun, decoder.getstate()[0]))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({session: key[0], seq: arrived[seq].to_numpy(), "answer": so_far})

@@ -64,14 +64,17 @@ def answer_requests(
     return _each_batch(requests, step, checkpoint)
 
 
-def write_answers(answers: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write every snapshot of ``assemble_stream``, one folder per micro-batch."""
+def write_answers(answers: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Write every snapshot of ``assemble_stream``, one folder per micro-batch.
+
+    Handles what is there and ends, or goes on at the interval ``every``.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = answers.writeStream.outputMode("update").foreachBatch(step)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = answers.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def drain(query: StreamingQuery) -> None:

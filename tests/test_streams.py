@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -61,12 +62,45 @@ def test_last_chunk_clears_the_session(spark, tmp_path):
     rows = [("s", 0, "Answer:a", False), ("s", 1, "b", True), ("s", 2, "Answer:c", False)]
     for i, r in enumerate(rows):
         put(source, f"{i}.json", [dict(zip(("session_id", "seq", "chunk", "is_last"), r))])
-        stream = assemble_stream(files.stream_chunks(spark, str(source), schema), idle_ms=3_600_000)
+        stream = assemble_stream(files.stream_chunks(spark, str(source), schema))
         jobs.drain(jobs.write_answers(stream, str(tmp_path / "out"), str(tmp_path / "state")))
     got = {r.seq: r.answer for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: "a", 1: "ab", 2: "c"}
 
 
+def test_idle_session_starts_anew(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    put(source, "0.json", [{"session_id": "s", "seq": 0, "chunk": "Answer:a"}])
+    stream = assemble_stream(files.stream_chunks(spark, str(source)), idle_ms=1)
+    query = jobs.write_answers(stream, out, str(tmp_path / "state"), every="500 milliseconds")
+    try:
+        until = time.time() + 60
+        while (query.lastProgress or {}).get("batchId", 0) < 2 and time.time() < until:
+            time.sleep(0.2)
+        put(source, "1.json", [{"session_id": "s", "seq": 1, "chunk": "Answer:b"}])
+        seen = {}
+        while 1 not in seen and time.time() < until:
+            time.sleep(0.5)
+            seen = {r.seq: r.answer for r in spark.read.schema("session_id string, seq int, answer string").parquet(out).collect()}
+    finally:
+        query.stop()
+    assert seen == {0: "a", 1: "b"}
+
+
+def test_bytes_cut_inside_a_character(spark, tmp_path):
+    source, raw = tmp_path / "in", "xAnswer:麻黄汤".encode()
+    cuts = [raw[:9], raw[9:12], raw[12:16], raw[16:]]
+    schema = "session_id string, seq int, chunk binary"
+    for some in ([0, 1], [2, 3]):
+        part = spark.createDataFrame([("s", i, cuts[i]) for i in some], schema)
+        part.write.mode("append").parquet(str(source))
+        answers = assemble_stream(spark.readStream.schema(schema).parquet(str(source)))
+        jobs.drain(jobs.write_answers(answers, str(tmp_path / "out"), str(tmp_path / "state")))
+    got = {r.seq: r.answer for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    assert got[3] == "麻黄汤"
+
+
 def test_streamed_kb(spark, tmp_path):
     source, root = tmp_path / "books", str(tmp_path / "kb")
     source.mkdir()
