@@ -12,7 +12,7 @@ from folio.functions import arrays as A, prompts, text as X
 from folio.functions.rows import unroll
 from folio.operators import answers, chunk, dataset, kb, ordered, parse, rag, retrieve, tokens
 from folio.plans import standins as S
-from folio.session import checkpoint_dir
+from folio.session import checkpoint_dir, spread_small
 from folio.sources import books
 from folio.streaming import jobs
 from folio.streaming.answers import assemble_stream
@@ -53,7 +53,8 @@ def chunk_append_ids(spark, d):
 
 @query
 def pages_text(spark, d):
-    return S.table(spark, d, "pages").select("page_id", "url", X.markup_to_text(F.col("html")).alias("text"))
+    pages = spread_small(S.table(spark, d, "pages"))
+    return pages.select("page_id", "url", X.markup_to_text(F.col("html")).alias("text"))
 
 
 @query
