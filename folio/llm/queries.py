@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import packing, sharding, token_files
+from folio.llm import decontaminate, packing, pii, quality, sharding, token_files
 from folio.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_decontaminate(spark, d):
+    found = decontaminate.find_hits(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    n_hit = decontaminate.hit_words(F.col("hits"))
+    ids = F.array_sort(F.transform("hits.items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "hits.n_words",
+        n_hit.alias("n_hit"),
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 @query
 def op2_token_files(spark, d):
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -54,3 +69,27 @@ def op7_sharding(spark, d):
 @query
 def op8_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), tokenizer_path(), end_id=0).drop("ids")
+
+
+@query
+def op9_pii(spark, d):
+    found = table(spark, d, "documents").select("doc_id", pii.personal_data(F.col("text")).alias("found"))
+
+    def count(kind):
+        return F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(pii.span_text(F.col("found.base")), 256).alias("base_sha256"),
+        pii.span_text(F.col("found.spans")).alias("spans"),
+    )
+
+
+@query
+def op10_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality.fit_rules(docs, table(spark, d, "labels"))
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept"]
+    judged = docs.select("doc_id", quality.rule_verdict(F.col("text"), model).alias("v"))
+    return judged.select("doc_id", *[f"v.{c}" for c in columns])
