@@ -34,3 +34,54 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+# Lines weigh words; grams of 25 words; the least gram of each stretch of 50 words; first
+# places; diagonals; runs of equal lines along them.
+ORACLES["op6_line_dedup"] = r"""
+WITH body AS (
+  SELECT doc_id, md5(text) AS digest, string_split(text, chr(10)) AS parts FROM documents
+), cut AS (
+  SELECT DISTINCT doc_id, digest, line_no,
+         trim(parts[line_no + 1], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT *, unnest(range(len(parts))) AS line_no FROM body)
+), measured AS (
+  SELECT doc_id, digest, line_no, md5(line)[1:16] AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM cut WHERE line <> ''
+), lines AS (
+  SELECT *, row_number() OVER w - 1 AS pos, sum(words) OVER w - words AS before
+  FROM measured WINDOW w AS (PARTITION BY doc_id, digest ORDER BY line_no)
+), framed AS (
+  SELECT *, max(before + words) OVER g AS gram_end, max(before + words) OVER s AS stretch_end, list(h) OVER g AS hs
+  FROM lines WINDOW g AS (PARTITION BY doc_id, digest ORDER BY before RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING),
+                    s AS (PARTITION BY doc_id, digest ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), grams AS (
+  SELECT doc_id, digest, pos, before, gram_end, md5(array_to_string(hs, ',')) AS gram FROM framed WHERE gram_end - before >= 25
+), selected AS (
+  SELECT DISTINCT s.doc_id, s.digest, g.pos, g.gram
+  FROM framed s JOIN grams g
+    ON g.doc_id = s.doc_id AND g.digest = s.digest AND g.before >= s.before AND g.gram_end <= s.stretch_end
+  WHERE s.stretch_end - s.before >= 50
+  QUALIFY row_number() OVER (PARTITION BY s.doc_id, s.digest, s.pos ORDER BY g.gram, g.pos) = 1
+), first_place AS (
+  SELECT gram, doc_id AS doc0, digest AS digest0, pos AS pos0 FROM selected
+  QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, digest, pos) = 1
+), diagonals AS (
+  SELECT DISTINCT doc_id, digest, doc0, digest0, pos0 - pos AS shift FROM selected JOIN first_place USING (gram)
+  WHERE (doc0, digest0, pos0) < (doc_id, digest, pos)
+), equal AS (
+  SELECT d.*, a.pos, a.line_no, a.words,
+         a.pos - row_number() OVER (PARTITION BY d.doc_id, d.digest, d.doc0, d.digest0, d.shift ORDER BY a.pos) AS run
+  FROM diagonals d JOIN lines a ON a.doc_id = d.doc_id AND a.digest = d.digest
+  JOIN lines b ON b.doc_id = d.doc0 AND b.digest = d.digest0 AND b.pos = a.pos + d.shift AND b.h = a.h
+), gone AS (
+  SELECT DISTINCT doc_id, digest, line_no FROM (
+    SELECT *, sum(words) OVER (PARTITION BY doc_id, digest, doc0, digest0, shift, run) AS weight FROM equal)
+  WHERE weight >= 25
+), listed AS (
+  SELECT doc_id, digest, list(line_no ORDER BY line_no) AS lines FROM gone GROUP BY doc_id, digest
+)
+SELECT b.doc_id, len(parts)::BIGINT AS n_lines, coalesce(len(lines), 0)::BIGINT AS n_deleted,
+       coalesce(array_to_string(lines, ','), '') AS deleted,
+       array_to_string(list_filter(parts, lambda p, k: NOT coalesce(list_contains(lines, k - 1), false)), chr(10)) AS text
+FROM body b LEFT JOIN listed l ON l.doc_id = b.doc_id AND l.digest = b.digest
+"""

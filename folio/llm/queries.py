@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import decontaminate, packing, pii, quality, sharding, token_files
+from folio.llm import decontaminate, line_dedup, packing, pii, quality, sharding, token_files
 from folio.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,21 @@ def op2_token_files(spark, d):
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+@query
+def op6_line_dedup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lines = F.size(F.split("text", "\n")).cast("long")
+    done = line_dedup.delete_repeats(docs.withColumn("n_lines", F.coalesce(F.when(lines >= 0, lines), F.lit(0))))
+    deleted = F.col("deleted_lines")
+    return done.select(
+        "doc_id",
+        "n_lines",
+        F.size(deleted).cast("long").alias("n_deleted"),
+        F.array_join(F.transform(deleted, lambda k: k.cast("string")), ",").alias("deleted"),
+        "text",
+    )
+
+
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
 
