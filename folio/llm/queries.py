@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import decontaminate, line_dedup, packing, pii, quality, sharding, token_files
+from folio.llm import decontaminate, language, line_dedup, packing, pii, quality, sharding, token_files, toxicity
 from folio.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,40 @@ def op2_token_files(spark, d):
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+def _remainder(parts: int):
+    """crc32 of the id's text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+@query
+def op3_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    learned = table(spark, d, "labels").filter(_remainder(4) != 2)
+    model = toxicity.fit_toxicity(docs, learned)
+    judged = docs.select("doc_id", toxicity.toxicity(F.col("text"), model).alias("t"))
+    return judged.select(
+        "doc_id",
+        F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"),
+        "t.score",
+        (F.col("t.score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"),
+        F.size("t.passages").cast("long").alias("n_passages"),
+    )
+
+
+@query
+def op4_language(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = language.fit_language(docs.filter(_remainder(3) != 1))
+    judged = docs.select("doc_id", language.predict_language(F.col("text"), model).alias("p"))
+    return judged.select(
+        "doc_id",
+        F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"),
+        F.col("p.lang").alias("lang_pred"),
+        "p.score",
+        "p.rejected",
+    )
+
+
 @query
 def op6_line_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
