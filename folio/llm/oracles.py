@@ -85,3 +85,29 @@ SELECT b.doc_id, len(parts)::BIGINT AS n_lines, coalesce(len(lines), 0)::BIGINT
        array_to_string(list_filter(parts, lambda p, k: NOT coalesce(list_contains(lines, k - 1), false)), chr(10)) AS text
 FROM body b LEFT JOIN listed l ON l.doc_id = b.doc_id AND l.digest = b.digest
 """
+
+# Shingle sets of distinct texts, pairs by shared shingles, and the smallest id by iteration.
+ORACLES["op5_jaccard_join"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM worded WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reached AS (
+  SELECT a AS doc_id, a AS other FROM links
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, d.doc_id) AS component_id
+FROM worded d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

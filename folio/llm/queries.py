@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import decontaminate, language, line_dedup, packing, pii, quality, sharding, token_files, toxicity
+from folio.llm import decontaminate, jaccard, language, line_dedup, packing, pii, quality, sharding, token_files, toxicity
 from folio.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,11 @@ def op4_language(spark, d):
     )
 
 
+@query
+def op5_jaccard_join(spark, d):
+    return jaccard.near_groups(table(spark, d, "documents")).drop("digest")
+
+
 @query
 def op6_line_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
