@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from folio.llm.components import components
 from folio.llm.texts import mixed, slices, window_hashes, word_hashes
@@ -393,17 +393,36 @@ def links(docs: DataFrame, classes: DataFrame, met: DataFrame, id: str, text: st
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, n_shingles, component_id): a row for each row of ``docs``; ``digest``
-    is the xxhash64 of its text, which tells rows apart that share a doc_id."""
+    """(doc_id, digest, n_shingles, component_id, keeper): a row for each row of ``docs``.
+    ``digest`` is the xxhash64 of the text, which tells rows apart that share a doc_id;
+    ``keeper`` marks one (doc_id, digest) of each component, that of the smallest doc_id."""
     measured = measure(docs, id, text)
     rows = measured.filter("n_shingles IS NOT NULL").select("doc_id", "digest", "n_shingles", "key", "class")
     classes = rows.filter("n_shingles > 0").groupBy("key", "class").agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.first("n_shingles").alias("n_shingles"))
     sizes = {r["n_shingles"]: r["count"] for r in classes.filter(F.col("n_shingles") <= SMALL).groupBy("n_shingles").count().collect()}
     met = memberships(docs, text, frequent_members(measured), choose_boundary(sizes))
-    edges = links(docs, classes, met, id, text)
-    roots = components(write_once(edges))
+    roots = components(write_once(links(docs, classes, met, id, text)))
     rooted = rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "digest", "n_shingles", F.coalesce("root", "key").alias("_root"))
-    least = rooted.filter("_root IS NOT NULL").groupBy("_root").agg(F.min("doc_id").alias("_least"))
-    return rooted.join(least, "_root", "left").select(
-        "doc_id", "digest", "n_shingles", F.when(F.col("_root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    least = rooted.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(first).alias("_first"))
+    joined = rooted.join(least, "_root", "left")
+    return joined.select(
+        "doc_id",
+        "digest",
+        "n_shingles",
+        F.when(F.col("_root").isNull(), F.col("doc_id")).otherwise(F.col("_first.doc_id")).alias("component_id"),
+        F.coalesce(first == F.col("_first"), F.lit(True)).alias("keeper"),
     )
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near duplicates, with the columns of ``docs``. Of rows
+    equal in id and text one stays; rows with an empty set all stay."""
+    name = "_rep"
+    while any(f"{name}{end}" in docs.columns for end in ("", "empty", "n")):
+        name += "_"
+    kept = near_groups(docs, id, text).filter("keeper").select(F.struct("doc_id", "digest").alias(name), (F.col("n_shingles") == 0).alias(f"{name}empty")).distinct()
+    rep = F.struct(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("digest"))
+    copies = F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))
+    met = docs.withColumn(name, rep).join(kept, name).withColumn(f"{name}n", copies)
+    return met.filter(F.col(f"{name}empty") | (F.col(f"{name}n") == 1)).select(*docs.columns)

@@ -93,7 +93,7 @@ def op4_language(spark, d):
 
 @query
 def op5_jaccard_join(spark, d):
-    return jaccard.near_groups(table(spark, d, "documents")).drop("digest")
+    return jaccard.near_groups(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query
