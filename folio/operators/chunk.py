@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from folio.constants import CHUNK_OVERLAP, CHUNK_SIZE
 from folio.functions.rows import unroll
-from folio.session import spread_small
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -36,7 +35,7 @@ def chunk_fixed(
     df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
     """One row per fixed-stride chunk; ``text`` is replaced by ``chunk_no, chunk``."""
-    return _explode(spread_small(df), text, fixed_chunks(F.col(text), size, overlap))
+    return _explode(df, text, fixed_chunks(F.col(text), size, overlap))
 
 
 def chunk_recursive(
@@ -47,7 +46,7 @@ def chunk_recursive(
     separators: tuple[str, ...] = SEPARATORS,
 ) -> DataFrame:
     """One row per chunk, cut at the coarsest separator that keeps chunks within ``size``."""
-    return _explode(spread_small(df), text, recursive_chunks(F.col(text), size, overlap, separators))
+    return _explode(df, text, recursive_chunks(F.col(text), size, overlap, separators))
 
 
 def _explode(df: DataFrame, text: str, chunks: Column) -> DataFrame:
@@ -99,6 +98,11 @@ def _cut(text: str, sep: str) -> list[str]:
 
 def _gather(pieces: list[str], size: int, overlap: int) -> list[str]:
     """Join neighbouring pieces up to ``size``, repeating up to ``overlap`` characters."""
+    if all(len(p) == 1 for p in pieces) and overlap < size:
+        # Single characters: chunks are plain slices, the last one short.
+        text, stride = "".join(pieces), size - overlap
+        cuts = [text[at : at + size].strip() for at in range(0, max(len(text) - overlap, 1), stride)]
+        return [c for c in cuts if c]
     out: list[str] = []
     first, held = 0, 0  # pieces[first:i] are held, `held` characters in all
     for i, piece in enumerate(pieces):

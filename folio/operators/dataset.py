@@ -122,7 +122,7 @@ def expand_variants(df: DataFrame, response: str = "response") -> DataFrame:
     items = X.numbered_items(X.remove(F.col(response), "\n", " "))
     variants = F.concat(F.array("input"), items)
     others = [c for c in df.columns if c not in ("input", "output", response, "prompt")]
-    answer = F.substring(F.col("output"), len(K.NAME_MARK) + 1, 1 << 30)
+    answer = F.substring(F.col("output"), F.lit(len(K.NAME_MARK) + 1), F.length("output"))
     answered = df.filter(F.col(response).isNotNull())
     return unroll(answered, [*others, answer.alias("output")], variants, "variant_no", "input")
 

@@ -12,7 +12,7 @@ SCHEMA = "id string, medicine_a string, medicine_b string, dosage string, functi
 
 
 def pair_id(a: Column, b: Column) -> Column:
-    """Id of a new pair. Pairs are ordered: (a, b) is not (b, a)."""
+    """Id of a new pair. Pairs are ordered: (a, b) is not (b, a); neither side is NULL."""
     return F.md5(F.concat_ws("\x1f", a, b))
 
 
@@ -21,6 +21,15 @@ def kb_lookup(rows: DataFrame, kb: DataFrame) -> DataFrame:
     return lookup(rows, kb, KEY)
 
 
+def _has_key() -> Column:
+    return F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull()
+
+
+def key_rejects(rows: DataFrame) -> DataFrame:
+    """Rows that an upsert leaves out, because a side of their pair is NULL."""
+    return rows.filter(~_has_key()).withColumn("reject", F.lit("missing key"))
+
+
 def last_write_wins(rows: DataFrame, seq: list[str]) -> DataFrame:
     """One row per pair: values of its last row, id of its first row.
 
@@ -28,6 +37,7 @@ def last_write_wins(rows: DataFrame, seq: list[str]) -> DataFrame:
     of the input still sends one row per task.
     """
     order = F.struct(*seq)
+    rows = rows.filter(_has_key())
     ids = F.col("id") if "id" in rows.columns else pair_id(F.col("medicine_a"), F.col("medicine_b"))
     return (
         rows.withColumn("id", ids)

@@ -14,16 +14,32 @@ REQUEST_SCHEMA = "question string, model string, external_db boolean"
 
 
 def parse_requests(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Decode JSON requests; ``external_db`` defaults to true, blank questions are dropped.
+    """Decode JSON requests; ``external_db`` defaults to true.
 
-    Works on batches and streams.
+    Works on batches and streams. What can't be asked is in ``request_rejects``.
     """
     keep = [c for c in raw.columns if c != value]
-    r = F.from_json(F.col(value), REQUEST_SCHEMA)
-    decoded = raw.select(*keep, r.alias("r")).select(
-        *keep, "r.question", "r.model", F.coalesce("r.external_db", F.lit(True)).alias("external_db")
+    return decode_requests(raw, value).filter("reject IS NULL").select(*keep, "question", "model", "external_db")
+
+
+def request_rejects(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Requests that ``parse_requests`` leaves out: undecoded, with the reason in ``reject``."""
+    return decode_requests(raw, value).filter("reject IS NOT NULL").select(*raw.columns, "reject")
+
+
+def decode_requests(raw: DataFrame, value: str = "value") -> DataFrame:
+    """``raw`` with ``question, model, external_db`` and ``reject``, NULL for a good request."""
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    decoded = raw.withColumn("_r", F.from_json(F.col(value), f"{REQUEST_SCHEMA}, _bad string", options))
+    question = F.col("_r.question")
+    reject = (
+        F.when(F.col(value).isNull() | F.col("_r").isNull() | (F.col("_r._bad").isNotNull() & question.isNull()), "malformed")
+        .when(question.isNull(), "no question")
+        .when(X.strip_form_field(question) == "", "blank question")
+    )
+    return decoded.select(
+        *raw.columns, question.alias("question"), "_r.model", F.coalesce("_r.external_db", F.lit(True)).alias("external_db"), reject.alias("reject")
     )
-    return decoded.filter(X.strip_form_field(F.col("question")) != "")
 
 
 def route_requests(requests: DataFrame, models: DataFrame) -> DataFrame:

@@ -25,14 +25,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from folio.constants import RETRIEVAL_K
 from folio.operators.skew import lookup
 from folio.plugins import Embed
-from folio.session import spread_small, write_once
+from folio.session import write_once
 
 # Postings (or vector components) of one query block: about 32 MB as numbers.
 MAX_QUERY_CELLS = 4_000_000
 MAX_BLOCK_QUERIES = 4_096
 # Scores that a task holds at one time.
 MAX_SCORE_CELLS = 4_000_000
-MAX_BLOCKS = 1 << 20
 HOT_TOKENS = 500_000
 DIGITS = 9
 
@@ -98,24 +97,19 @@ def _arrow_type(name: str) -> pa.DataType:
 
 
 def _query_blocks(cells: DataFrame, query: str) -> list[Column]:
-    """Conditions that cut the queries into blocks within the bounds.
+    """Conditions that deal the queries into blocks of about the bounds' size.
 
-    ``cells`` has one row per query with its number of cells. Only counts come back.
+    ``cells`` has one row per query with its number of cells. Only totals come back. A
+    block holds a whole query at least, so the largest query bounds it too.
     """
-    n_blocks = 1
-    while True:
-        block = F.pmod(F.xxhash64(query), F.lit(n_blocks))
-        largest = (
-            cells.groupBy(block.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("cells").alias("cells"))
-            .agg(F.max("n"), F.max(F.when(F.col("n") > 1, F.col("cells"))))
-            .first()
-        )
-        if (largest[0] or 0) <= MAX_BLOCK_QUERIES and (largest[1] or 0) <= MAX_QUERY_CELLS:
-            return [block == i for i in range(n_blocks)] if n_blocks > 1 else [F.lit(True)]
-        n_blocks *= 2
-        if n_blocks > MAX_BLOCKS:
-            raise ValueError("query ids must be unique")
+    n, ids, total = cells.agg(F.count(F.lit(1)), F.countDistinct(query), F.sum("cells")).first()
+    if n != ids:
+        raise ValueError(f"query ids must be unique and not null: {n} queries have {ids} ids")
+    within = n <= MAX_BLOCK_QUERIES and (total or 0) <= MAX_QUERY_CELLS
+    # Hashing deals unevenly, so blocks are planned half full.
+    n_blocks = 1 if within else 2 * max(-(-n // MAX_BLOCK_QUERIES), -(-total // MAX_QUERY_CELLS))
+    block = F.pmod(F.xxhash64(query), F.lit(n_blocks))
+    return [block == i for i in range(n_blocks)] if n_blocks > 1 else [F.lit(True)]
 
 
 def _in_passes(parts: list[DataFrame]) -> DataFrame:
@@ -142,11 +136,15 @@ def near_vector(
     """``(query, id, distance, rank)``: the k nearest base rows by cosine distance.
 
     Ids are unique on both sides. Distances are rounded to 9 digits; equal ones are
-    ordered by id.
+    ordered by id. Rows that ``vector_rejects`` names, with the length of the first
+    query's vector, are no candidates and get no neighbours.
     """
     query_type = queries.schema[query].dataType.simpleString()
     q = queries.select(F.col(query).alias("query"), F.col(query_vector).cast("array<double>").alias("v"))
     b = base.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    given = q.filter(_vector_fault(F.col("v"), None).isNull()).agg(F.min_by(F.size("v"), "query")).first()[0]
+    q = q.filter(_vector_fault(F.col("v"), given).isNull())
+    b = b.filter(_vector_fault(F.col("v"), given).isNull())
     cells = q.select("query", F.size("v").alias("cells"))
     parts = []
     for block in _query_blocks(cells, "query"):
@@ -164,6 +162,19 @@ def near_vector(
     return ranked.select(F.col("query").alias(query), F.col("id").alias(id), "distance", "rank")
 
 
+def _vector_fault(v: Column, dims: int | None) -> Column:
+    fault = F.when(v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x)), "missing value").when(
+        ~F.exists(v, lambda x: x != 0), "zero vector"
+    )
+    return fault if dims is None else fault.when(F.size(v) != dims, "wrong length")
+
+
+def vector_rejects(rows: DataFrame, vector: str, dims: int | None = None) -> DataFrame:
+    """Rows whose vector can't be compared, with the reason in ``reject``."""
+    marked = rows.withColumn("reject", _vector_fault(F.col(vector).cast("array<double>"), dims))
+    return marked.filter("reject IS NOT NULL")
+
+
 def _unit_rows(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> np.ndarray:
     """Rows of a list column as unit vectors; a zero vector becomes NaN and is no candidate."""
     if isinstance(column, pa.ChunkedArray):
@@ -178,16 +189,17 @@ def _unit_rows(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> n
 
 
 def _dense_score(base: DataFrame, names: list, matrix: np.ndarray, exclude_self: bool) -> Callable:
-    at = {name: i for i, name in enumerate(names)} if exclude_self else {}
+    id_type = _arrow_type(base.schema["id"].dataType.simpleString())
+    at = pa.array(names if exclude_self else [], id_type)
     shared = base.sparkSession.sparkContext.broadcast((matrix, at))
 
     def score(rows: pa.RecordBatch) -> np.ndarray:
         q_matrix, q_at = shared.value
         distance = np.round(1.0 - q_matrix @ _unit_rows(rows.column("v"), q_matrix.shape[1]).T, DIGITS)
-        if q_at:
-            for j, name in enumerate(rows.column("id").to_pylist()):
-                if name in q_at:
-                    distance[q_at[name], j] = np.inf
+        if len(q_at):
+            at = pc.index_in(rows.column("id"), value_set=q_at)
+            own = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            distance[at.fill_null(0).to_numpy()[own], own] = np.inf
         return distance
 
     return score
@@ -271,7 +283,7 @@ def index_text(
     query batch on.
     """
     tokens = ANALYZERS[analyzer](F.col(text))
-    terms = write_once(term_counts(spread_small(base.select(id, text)), id, tokens))
+    terms = write_once(term_counts(base.select(id, text), id, tokens))
     # Counts combine before the shuffle, so a token found in every text is one row per task.
     only = terms.select(F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
     vocabulary = write_once(only.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
@@ -280,12 +292,9 @@ def index_text(
     # Tokens with at least total/HOT_TOKENS postings: there cannot be more than
     # HOT_TOKENS of them. They are given their weight by broadcast and never shuffled;
     # any other token is too rare to make a large group.
-    total, size = vocabulary.agg(F.sum("df"), F.count(F.lit(1))).first()
-    if size <= HOT_TOKENS:
-        found = _postings(terms).join(F.broadcast(vocabulary), "token")
-    else:
-        hot = vocabulary.filter(F.col("df") >= total / HOT_TOKENS).select("token")
-        found = lookup(_postings(terms), vocabulary, ["token"], hot=hot)
+    total = vocabulary.agg(F.sum("df")).first()[0] or 0
+    hot = vocabulary.filter(F.col("df") >= total / HOT_TOKENS).select("token")
+    found = lookup(_postings(terms), vocabulary, ["token"], hot=hot)
     weighted = found.withColumn("w", F.col("tf") * _idf(n, F.col("df")))
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     rows = terms.join(norms, "id")

@@ -12,8 +12,9 @@ from folio.functions import arrays as A, prompts, text as X
 from folio.functions.rows import unroll
 from folio.operators import answers, chunk, dataset, kb, ordered, parse, rag, retrieve, tokens
 from folio.plans import standins as S
-from folio.session import checkpoint_dir, spread_small
-from folio.sources import books
+from folio.session import checkpoint_dir, delete_at_end
+from folio.sinks import files as csv_files, tables
+from folio.sources import books, files
 from folio.streaming import jobs
 from folio.streaming.answers import assemble_stream
 
@@ -53,8 +54,7 @@ def chunk_append_ids(spark, d):
 
 @query
 def pages_text(spark, d):
-    pages = spread_small(S.table(spark, d, "pages"))
-    return pages.select("page_id", "url", X.markup_to_text(F.col("html")).alias("text"))
+    return S.table(spark, d, "pages").select("page_id", "url", X.markup_to_text(F.col("html")).alias("text"))
 
 
 @query
@@ -97,7 +97,7 @@ def kb_lookup(spark, d):
         F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("medicine_a"), F.col("p_brand").alias("medicine_b")
     )
     rows = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, "l_partkey")
-    return kb.kb_lookup(rows, S.pair_kb(spark, d)).select(
+    return kb.kb_lookup(rows, S.all_types_kb(spark, d)).select(
         "l_orderkey", "l_linenumber", "l_partkey", "id", "dosage", "type"
     )
 
@@ -214,7 +214,7 @@ def tokenize_pair_masked(spark, d):
 
 def _conversation_ids(spark, d):
     rows = S.table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return rows.select("conv_id", "turn", A.truncate(A.word_ids(F.col("text")), 512).alias("ids"))
+    return rows.select("conv_id", "turn", A.word_ids(F.col("text")).alias("ids"))
 
 
 @query
@@ -244,6 +244,11 @@ def parse_requests(spark, d):
     return rag.parse_requests(S.raw_requests(spark, d))
 
 
+@query
+def request_rejects(spark, d):
+    return rag.request_rejects(S.damaged_requests(spark, d))
+
+
 @query
 def route_requests(spark, d):
     return rag.route_requests(_requests(spark, d), S.models(spark))
@@ -256,10 +261,11 @@ def route_rejects(spark, d):
 
 @query
 def near_vector(spark, d):
-    """Neighbours of every vector, itself excluded."""
-    e = S.table(spark, d, "embeddings").select("vec_id", "embedding")
+    """Neighbours of the first vector of each label, itself excluded."""
+    e = S.table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    asked = e.groupBy("label").agg(F.min(F.struct(F.col("vec_id").alias("query_id"), "embedding")).alias("q"))
     found = retrieve.near_vector(
-        e.withColumnRenamed("vec_id", "query_id"),
+        asked.select("q.*"),
         e,
         query_vector="embedding",
         id="vec_id",
@@ -349,16 +355,67 @@ def special_tokens(spark, d):
 @query
 def message_log(spark, d):
     c = S.table(spark, d, "conversations")
-    return answers.message_log(c.filter("role = 'user'"), c.filter("role <> 'user'"), "conv_id", "turn")
+    return answers.message_log(c.filter("role = 'user'"), c.filter("role <> 'user' OR role IS NULL"), "conv_id", "turn")
 
 
 @query
 def answers_streamed(spark, d):
     """Final answers of the stateful stream over the same chunks as ``answer_assemble``."""
     work = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
-    docs = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 4).parquet(f"{d}/documents.parque[t]")
     chunks = unroll(docs, ["doc_id"], F.split("text", "\n"), "seq", "chunk")
     snapshots = assemble_stream(chunks, "doc_id", "seq", "chunk", DOCUMENT_MARK)
     jobs.drain(jobs.write_answers(snapshots, f"{work}/out", f"{work}/state"))
+    delete_at_end(spark, work)
     written = spark.read.schema("doc_id long, seq int, answer string").parquet(f"{work}/out")
     return written.groupBy("doc_id").agg(F.max_by("answer", "seq").alias("answer"))
+
+
+# ---------------------------------------------------------------- files and tables
+
+
+def _work(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def kb_streamed(spark, d):
+    """The first load in batch, then books of the other types as a stream into the same versions."""
+    root = _work(spark, "kb")
+    tables.publish_upsert(spark, root, S.pair_rows(spark, d, "kb-", S.FIRST_LOAD), ["seq"])
+    S.pair_books(spark, d).repartition("path").write.parquet(f"{root}/books")
+    arriving = spark.readStream.schema("path string, text string").option("maxFilesPerTrigger", 3).parquet(f"{root}/books")
+    jobs.drain(jobs.load_kb(arriving, root, f"{root}/checkpoint", S.STREAMED_TITLES))
+    delete_at_end(spark, root)
+    return tables.read_version(spark, root).select(*kb.KEY, *kb.VALUES)
+
+
+@query
+def csv_round_trip(spark, d):
+    """Texts with white space and line breaks at both ends, empty and missing ones."""
+    path = _work(spark, "csv")
+    csv_files.write_csv(S.edged_messages(spark, d), path)
+    delete_at_end(spark, path)
+    return files.read_csv(spark, path, "conv_id long, turn long, role string, text string")
+
+
+@query
+def splits_loaded(spark, d):
+    """Two CSV files read as the splits of one dataset."""
+    work = _work(spark, "splits")
+    items = S.table(spark, d, "benchmark")
+    csv_files.write_csv(items.filter("item_id % 4 <> 0"), f"{work}/train")
+    csv_files.write_csv(items.filter("item_id % 4 = 0"), f"{work}/validation")
+    delete_at_end(spark, work)
+    return files.load_splits(spark, f"{work}/train", f"{work}/validation", ["text"], "item_id long, text string")
+
+
+@query
+def books_round_trip(spark, d):
+    """Books written as files; the next run extracts what is not there yet."""
+    folder = _work(spark, "books")
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("body"))
+    csv_files.write_books(docs.filter("doc_id % 3 = 0"), folder)
+    csv_files.write_books(docs.join(csv_files.extracted_stems(spark, folder), "stem", "left_anti"), folder)
+    delete_at_end(spark, folder)
+    return spark.read.schema("body string, stem string").text(folder).select("stem", "body")

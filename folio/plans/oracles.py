@@ -127,7 +127,7 @@ SELECT coalesce(old.id, new.id) AS id, medicine_a, medicine_b,
 FROM old FULL OUTER JOIN new USING (medicine_a, medicine_b)
 """
 ORACLES["kb_lookup"] = f"""
-WITH kb AS ({_load('kb-', S.FIRST_LOAD)})
+WITH kb AS ({ORACLES["kb_upsert"]})
 SELECT l_orderkey, l_linenumber, l_partkey, kb.id, kb.dosage, kb.type
 FROM lineitem JOIN part ON l_partkey = p_partkey
 JOIN kb ON medicine_a = p_name AND medicine_b = p_brand
@@ -259,7 +259,7 @@ def _fill(ids: str, pad: int) -> str:
 
 ORACLES["collate_batches"] = f"""
 WITH rows AS (
-  SELECT conv_id, turn, list_slice({_word_ids('text')}, 1, 512) AS ids,
+  SELECT conv_id, turn, {_word_ids('text')} AS ids,
          (row_number() OVER (ORDER BY conv_id, turn) - 1) // 8 AS batch_id
   FROM conversations),
 wide AS (
@@ -285,6 +285,12 @@ _ASKED = f"{_list(S.ASKED_MODELS)}[item_id % 4 + 1]"
 _NAMED = f"CASE WHEN contains({_ASKED}, '/') THEN {_ASKED} ELSE 'Qwen/' || {_ASKED} END"
 _MODELS = "(VALUES " + ", ".join(f"({_s(m)}, {_s(p)}, {a})" for m, p, a in S.MODELS) + ") AS m(model, path, active)"
 ORACLES["parse_requests"] = _requests(_ASKED)
+ORACLES["request_rejects"] = f"""
+SELECT item_id AS request_id,
+       CASE item_id % 5 WHEN 1 THEN '{{' || text WHEN 2 THEN '{{"model":"m"}}' WHEN 3 THEN '{{"question":" \u3000"}}' END AS value,
+       CASE item_id % 5 WHEN 2 THEN 'no question' WHEN 3 THEN 'blank question' ELSE 'malformed' END AS reject
+FROM benchmark WHERE item_id % 5 <> 0
+"""
 _ROUTED = f"""
 SELECT request_id, question, model, external_db, path
 FROM ({_requests(_NAMED)}) JOIN {_MODELS} USING (model) WHERE active
@@ -301,7 +307,8 @@ r AS (
   SELECT q.vec_id AS query_id, b.vec_id,
          row_number() OVER (PARTITION BY q.vec_id
            ORDER BY round(1 - list_dot_product(q.v, b.v) / (q.len * b.len), 9), b.vec_id) AS rank
-  FROM n q JOIN n b ON q.vec_id <> b.vec_id)
+  FROM n q JOIN n b ON q.vec_id <> b.vec_id
+  WHERE q.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
 """
 ORACLES["near_vector_centroids"] = f"""
@@ -395,3 +402,23 @@ SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'bot' END AS send
        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role = 'user' DESC) - 1 AS position
 FROM conversations
 """
+
+# ---------------------------------------------------------------- files and tables
+
+ORACLES["kb_streamed"] = f"""
+WITH old AS ({_load('kb-', S.FIRST_LOAD)}), new AS ({_load('in-', S.STREAMED_TITLES)})
+SELECT medicine_a, medicine_b, coalesce(new.dosage, old.dosage) AS dosage,
+       coalesce(new.function, old.function) AS function, coalesce(new.type, old.type) AS type
+FROM old FULL OUTER JOIN new USING (medicine_a, medicine_b)
+"""
+ORACLES["csv_round_trip"] = """
+SELECT conv_id, turn, role,
+       CASE WHEN turn % 7 = 6 THEN '' WHEN conv_id % 11 = 10 THEN NULL
+            ELSE [' ', chr(9), chr(10), '', '"', ','][conv_id % 6 + 1] || text || [' ', chr(9), chr(10), '', '"', ','][conv_id % 6 + 1]
+       END AS text
+FROM conversations
+"""
+ORACLES["splits_loaded"] = """
+SELECT item_id, text, CASE WHEN item_id % 4 = 0 THEN 'validation' ELSE 'train' END AS split FROM benchmark
+"""
+ORACLES["books_round_trip"] = "SELECT CAST(doc_id AS VARCHAR) AS stem, replace(text, chr(10), ' ') AS body FROM documents"

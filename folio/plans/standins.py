@@ -13,6 +13,7 @@ PART_TITLES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
 UNTITLED = "STANDARD"
 ROWS_PER_SECTION = 1 << 32
 
+# Names that requests ask for, of this repository's choice but for their form.
 MODELS = [
     ("Qwen/Qwen2.5-0.5B-Instruct", "/models/qwen-0.5b", True),
     ("Qwen/Qwen2.5-1.5B-Instruct", "/models/qwen-1.5b", True),
@@ -74,10 +75,34 @@ FIRST_LOAD = ["ECONOMY", "PROMO", "SMALL"]
 SECOND_LOAD = ["SMALL", "STANDARD", "MEDIUM", "LARGE"]
 
 
+def all_types_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knowledge base after both loads: pairs of all types."""
+    return KB.kb_upsert(pair_kb(spark, sf_dir), pair_rows(spark, sf_dir, "in-", SECOND_LOAD), ["seq"])
+
+
 def pair_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KB.kb_upsert(None, pair_rows(spark, sf_dir, "kb-", FIRST_LOAD), ["seq"])
 
 
+STREAMED_TITLES = [t for t in SECOND_LOAD if t != "STANDARD"]
+
+
+def pair_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per brand: pairs of the second load in order of their number, each under its title."""
+    rows = pair_rows(spark, sf_dir, "", STREAMED_TITLES)
+    line = F.concat(F.col("type"), F.lit("\n"), F.concat_ws("  ", "medicine_a", "medicine_b", "dosage", "function"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda r: r["line"])
+    books = rows.groupBy("medicine_b").agg(F.array_join(ordered, "\n").alias("text"))
+    return books.select(F.concat(F.lit("book-"), "medicine_b").alias("path"), "text")
+
+
+def edged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with white space around them; every seventh empty, every eleventh missing."""
+    edges = F.get(F.lit([" ", "\t", "\n", "", '"', ","]), (F.col("conv_id") % 6).cast("int"))
+    text = F.when(F.col("turn") % 7 == 6, "").when(F.col("conv_id") % 11 == 10, F.lit(None)).otherwise(F.concat(edges, "text", edges))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+
+
 def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books of formulas: an order is a formula, its part names are the ingredients."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -122,6 +147,21 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return real.unionByName(blank).select("request_id", body.alias("value"))
 
 
+def damaged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests out of benchmark items, all but every fifth of them with a fault."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("question"))
+    good = F.to_json(F.struct("question"))
+    case = F.col("request_id") % 5
+    value = (
+        F.when(case == 1, F.concat(F.lit("{"), F.col("question")))
+        .when(case == 2, F.lit('{"model":"m"}'))
+        .when(case == 3, F.lit('{"question":" \u3000"}'))
+        .when(case == 4, F.lit(None).cast("string"))
+        .otherwise(good)
+    )
+    return items.select("request_id", value.alias("value"))
+
+
 def normalised(requests: DataFrame) -> DataFrame:
     return requests.withColumn("model", prompts.full_model_name(F.col("model")))
 

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPLIT_BYTES = 128 << 20  # what Spark gives one task to read by default
-
 
 def build_session(app: str = "folio", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, skew joins)."""
@@ -52,24 +50,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def write_once(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet to the shared checkpoint folder and read it from there.
 
-    For results that several later steps read: compressed, and read by column. It
-    stays there after the session; clean the folder as for any checkpoint.
+    For results that several later steps read: compressed, and read by column. It is
+    deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input that is too small to fill the cores.
-
-    A small file with one row group is read by a single task. An input that gives
-    every core a full split is returned as it is, so large inputs are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that was written when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

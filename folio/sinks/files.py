@@ -18,12 +18,19 @@ def extracted_stems(spark: SparkSession, folder: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "stem string")
-    return spark.read.schema("value string, stem string").text(folder).select("stem").distinct()
+    # Paths only: the content is not read.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    escaped = F.replace(F.regexp_extract("path", "/stem=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))
+    return files.select(F.url_decode(escaped).alias("stem")).filter("stem <> ''").distinct()
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header and no index column. Every file of an appended folder has its header."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header and no index column. Every file of an appended folder has its header.
+
+    White space is kept. NULL is written as nothing, an empty text as two quotes.
+    """
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def stream_frames(chunks: DataFrame, chunk: str, folder: str, checkpoint: str, sse: bool = True) -> StreamingQuery:

@@ -48,6 +48,14 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.schema(kb.SCHEMA).parquet(_version_path(root, version))
 
 
+def base_version(spark: SparkSession, root: str, note: str) -> int:
+    """The version that was current when this was first asked; ``note`` remembers it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{note}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        spark.range(1).select(F.lit(current_version(spark, root)).alias("version")).write.mode("overwrite").json(note)
+    return spark.read.schema("version int").json(note).first()["version"]
+
+
 def publish_upsert(
     spark: SparkSession, root: str, rows: DataFrame, seq: list[str], version: int | None = None
 ) -> int:

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from folio.functions.text import strip
 from folio.operators.dataset import require_columns, union_splits
 
+# What Spark's parser is told to put for an empty field. As long as it differs from '', a
+# quoted empty field is told apart; the character is not one of text.
+NO_TEXT = "\x00"
 CHUNK_SCHEMA = "session_id string, seq int, chunk string"
 
 
@@ -35,8 +38,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; quoted fields may hold line breaks. A byte-order mark is skipped."""
-    options = {"header": True, "multiLine": True, "escape": '"'}
+    """CSV with a header; quoted fields may hold line breaks. A byte-order mark is skipped.
+
+    An empty field is NULL, a quoted empty one is an empty text.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"', "nullValue": NO_TEXT, "emptyValue": ""}
     return spark.read.schema(schema).options(**options).csv(path)
 
 

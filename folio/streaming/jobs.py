@@ -17,7 +17,9 @@ from folio.operators.retrieve import index_text
 from folio.sinks import tables
 
 
-def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def _each_batch(
+    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     def held(batch: DataFrame, number: int) -> None:
         batch.persist()  # the operators read it more than once
         try:
@@ -26,17 +28,26 @@ def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], check
             batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(held).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def load_kb(books: DataFrame, root: str, checkpoint: str, titles: list[str] | None = None) -> StreamingQuery:
-    """Upsert the pairs of arriving books (``path, text``) into the versions under ``root``."""
+def load_kb(
+    books: DataFrame, root: str, checkpoint: str, titles: list[str] | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Upsert the pairs of arriving books (``path, text``) into the versions under ``root``.
+
+    The version that is there when the stream first starts is written down beside the
+    checkpoint; micro-batch ``n`` makes version ``n + 1`` after it, also when it is run
+    again. Nothing else may write to ``root`` as long as the stream goes on. Without
+    ``every`` the stream handles what is there and ends, else it goes on at that interval.
+    """
+    base = tables.base_version(books.sparkSession, root, f"{checkpoint}.base")
 
     def step(batch: DataFrame, number: int) -> None:
         rows = parse.accepted(parse.section_rows(parse.text_lines(batch, "text"), titles))
-        tables.publish_upsert(batch.sparkSession, root, rows, ["path", "line_no"], version=number + 1)
+        tables.publish_upsert(batch.sparkSession, root, rows, ["path", "line_no"], version=base + number + 1)
 
-    return _each_batch(books, step, checkpoint)
+    return _each_batch(books, step, checkpoint, every)
 
 
 def answer_requests(
@@ -49,10 +60,12 @@ def answer_requests(
     id: str = "id",
     text: str = "text",
     analyzer: str = "word",
+    every: str | None = None,
 ) -> StreamingQuery:
     """Write the prompts of arriving requests (``request_id, value``), one folder per micro-batch.
 
-    The knowledge base is indexed once, before the first micro-batch.
+    The knowledge base is indexed once, before the first micro-batch. Without ``every``
+    the stream handles what is there and ends, else it goes on at that interval.
     """
     index = index_text(kb, id=id, text=text, analyzer=analyzer)
 
@@ -61,7 +74,7 @@ def answer_requests(
         prompts = rag.rag_prompt(routed, kb, k, id=id, text=text, index=index)
         prompts.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _each_batch(requests, step, checkpoint)
+    return _each_batch(requests, step, checkpoint, every)
 
 
 def write_answers(answers: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
