@@ -102,9 +102,7 @@ def _query_blocks(cells: DataFrame, query: str) -> list[Column]:
     ``cells`` has one row per query with its number of cells. Only totals come back. A
     block holds a whole query at least, so the largest query bounds it too.
     """
-    n, ids, total = cells.agg(F.count(F.lit(1)), F.countDistinct(query), F.sum("cells")).first()
-    if n != ids:
-        raise ValueError(f"query ids must be unique and not null: {n} queries have {ids} ids")
+    n, total = cells.agg(F.count(F.lit(1)), F.sum("cells")).first()
     within = n <= MAX_BLOCK_QUERIES and (total or 0) <= MAX_QUERY_CELLS
     # Hashing deals unevenly, so blocks are planned half full.
     n_blocks = 1 if within else 2 * max(-(-n // MAX_BLOCK_QUERIES), -(-total // MAX_QUERY_CELLS))
@@ -112,6 +110,12 @@ def _query_blocks(cells: DataFrame, query: str) -> list[Column]:
     return [block == i for i in range(n_blocks)] if n_blocks > 1 else [F.lit(True)]
 
 
+def _require_ids(queries: DataFrame, query: str) -> None:
+    n, ids = queries.agg(F.count(F.lit(1)), F.countDistinct(query)).first()
+    if n != ids:
+        raise ValueError(f"query ids must be unique and not null: {n} queries have {ids} ids")
+
+
 def _in_passes(parts: list[DataFrame]) -> DataFrame:
     """One result of several passes; with many passes each is written down in turn."""
     if len(parts) > 1:
@@ -139,6 +143,7 @@ def near_vector(
     ordered by id. Rows that ``vector_rejects`` names, with the length of the first
     query's vector, are no candidates and get no neighbours.
     """
+    _require_ids(queries, query)
     query_type = queries.schema[query].dataType.simpleString()
     q = queries.select(F.col(query).alias("query"), F.col(query_vector).cast("array<double>").alias("v"))
     b = base.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -321,6 +326,7 @@ def near_text(
     index = (
         base if isinstance(base, TextIndex) else index_text(base, id=id, text=text, analyzer=analyzer, keep=False)
     )
+    _require_ids(queries, query)
     query_type = queries.schema[query].dataType.simpleString()
     tokens = ANALYZERS[index.analyzer](F.col(question))
     asked = write_once(_postings(term_counts(queries.select(query, question), query, tokens)))

@@ -27,14 +27,14 @@ def test_lines_keep_order_over_splits(spark, tmp_path):
 
 
 def test_csv_round_trip_and_append(spark, tmp_path):
-    rows = [('多行\n"引"', "a,b"), ("x", "y")]
+    rows = [('多行\n"引"', "a,b"), ("x", "y"), (" x ", "\ty"), ("p\n", "\nq"), ("", "empty"), ('"', "\\"), (None, "none")]
     df = spark.createDataFrame(rows, "input string, output string")
     path = str(tmp_path / "t.csv")
     K.write_csv(df, path)
     K.write_csv(df, path, "append")
-    assert sorted(tuple(r) for r in files.read_csv(spark, path, "input string, output string").collect()) == sorted(rows * 2)
+    assert sorted((tuple(r) for r in files.read_csv(spark, path, "input string, output string").collect()), key=repr) == sorted(rows * 2, key=repr)
     K.write_csv(df, path)
-    assert files.read_csv(spark, path, "input string, output string").count() == 2
+    assert files.read_csv(spark, path, "input string, output string").count() == len(rows)
 
 
 def test_csv_with_byte_order_mark(spark, tmp_path):
@@ -110,3 +110,17 @@ def test_versions(spark, tmp_path):
     assert [r.dosage for r in tables.read_version(spark, root, 1).collect()] == ["x"]
     assert tables.read_version(spark, root).first().id == tables.read_version(spark, root, 1).first().id
     assert kb.kb_lookup(row("q", 1).drop("dosage", "function", "type"), tables.read_version(spark, root)).count() == 1
+
+
+def test_extracted_stems_come_from_paths(spark, tmp_path):
+    stems = ["a b", "x+y", "1.2", "書"]
+    folder = str(tmp_path / "books")
+    assert K.extracted_stems(spark, folder).count() == 0
+    K.write_books(spark.createDataFrame([(s, "body") for s in stems], "stem string, body string"), folder)
+    assert sorted(r.stem for r in K.extracted_stems(spark, folder).collect()) == sorted(stems)
+
+
+def test_intermediate_tables_go_at_the_end(spark):
+    from folio.session import write_once
+
+    assert write_once(spark.range(3)).count() == 3

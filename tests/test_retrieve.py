@@ -49,11 +49,24 @@ def test_vectors_without_self(spark):
     assert got == [("a", "b"), ("b", "a"), ("c", "b")]
 
 
-def test_vectors_of_different_length_are_refused(spark):
-    b = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "id int, vector array<double>")
-    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
-    with pytest.raises(Exception, match="differ in length"):
-        R.near_vector(q, b).collect()
+def test_faulty_vectors_are_rejects(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [0.9, 0.1]), (7, [1.0, float("nan")]), (8, [])]
+    b = spark.createDataFrame(rows, "id int, vector array<double>")
+    q = b.withColumnRenamed("id", "query_id")
+    got = sorted((r.query_id, r.id) for r in R.near_vector(q, b).collect())
+    assert got == [(1, 1), (1, 6), (6, 1), (6, 6)]
+    faults = {r.id: r.reject for r in R.vector_rejects(b, "vector", 2).collect()}
+    assert faults == {2: "wrong length", 3: "missing value", 4: "zero vector", 5: "missing value", 7: "missing value", 8: "zero vector"}
+
+
+def test_repeated_query_ids_are_refused(spark):
+    base = spark.createDataFrame([(1, "a b"), (2, "c d")], "id int, text string")
+    asked = spark.createDataFrame([(7, "a"), (7, "c")], "query_id int, question string")
+    with pytest.raises(ValueError, match="unique"):
+        R.near_text(asked, base)
+    vectors = spark.createDataFrame([(7, [1.0]), (7, [2.0])], "query_id int, vector array<double>")
+    with pytest.raises(ValueError, match="unique"):
+        R.near_vector(vectors, vectors.withColumnRenamed("query_id", "id"))
 
 
 def brute_text(asked, base, k, tokens):

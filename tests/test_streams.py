@@ -145,3 +145,47 @@ def test_message_log_keeps_both_sides(spark):
     a = spark.createDataFrame([("c", 0, "a0"), ("c", 1, "a1")], "conv string, at int, text string")
     got = sorted((r.position, r.sender, r.text) for r in message_log(q, a, "conv", "at").collect())
     assert got == [(0, "user", "q0"), (1, "bot", "a0"), (2, "user", "q1"), (3, "bot", "a1")]
+
+
+def test_streamed_kb_goes_on_from_the_current_version(spark, tmp_path):
+    """A root that holds versions already keeps their pairs, also after a restart."""
+    root, source, state = str(tmp_path / "kb"), tmp_path / "in", str(tmp_path / "state")
+    for name in "ab":
+        rows = spark.createDataFrame([(f"i{name}", name, name, "1", "f", "t", 1)], "id string, medicine_a string, medicine_b string, dosage string, function string, type string, seq int")
+        tables.publish_upsert(spark, root, rows, ["seq"])
+    source.mkdir()
+    for number, name in enumerate("cd"):
+        (source / f"{name}.txt").write_text(f"T\n{name}  {name}  2  g", encoding="utf8")
+        jobs.drain(jobs.load_kb(files.stream_books(spark, str(source)), root, state, ["T"]))
+        assert tables.current_version(spark, root) == 3 + number
+    assert sorted(r.medicine_a for r in tables.read_version(spark, root).collect()) == ["a", "b", "c", "d"]
+
+
+def test_upsert_leaves_out_missing_keys(spark):
+    from folio.operators import kb
+
+    rows = spark.createDataFrame([(None, "x", "1", "f", "t", 1), ("x", None, "1", "f", "t", 2), ("x", "y", "1", "f", "t", 3)], "medicine_a string, medicine_b string, dosage string, function string, type string, seq int")
+    once = kb.kb_upsert(None, rows, ["seq"])
+    assert kb.kb_upsert(once, rows, ["seq"]).count() == 1
+    assert [r.reject for r in kb.key_rejects(rows).collect()] == ["missing key"] * 2
+
+
+def test_request_rejects(spark):
+    from folio.operators import rag
+
+    values = ["{bad", '{"model":"m"}', '{"question":"  "}', None, "", '{"question":"q"}', '{"question":"q","external_db":"x"}']
+    raw = spark.createDataFrame(list(enumerate(values)), "request_id int, value string")
+    faults = {r.request_id: r.reject for r in rag.request_rejects(raw).collect()}
+    assert faults == {0: "malformed", 1: "no question", 2: "blank question", 3: "malformed", 4: "malformed"}
+    assert sorted((r.request_id, r.external_db) for r in rag.parse_requests(raw).collect()) == [(5, True), (6, True)]
+
+
+def test_streamed_answers_of_a_folder_table(spark, tmp_path):
+    """A table of many part files is streamed like one file, over several micro-batches."""
+    from folio.plans import catalogue
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(20, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.answers_streamed(spark, str(tmp_path))
+    want = catalogue.answer_assemble(spark, str(tmp_path))
+    assert got.count() == docs.count() and got.exceptAll(want.select(got.columns)).count() == 0
