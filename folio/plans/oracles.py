@@ -67,6 +67,51 @@ chunks AS (
 """
 ORACLES["chunk_fixed"] = f"WITH {_CHUNKS} SELECT * FROM chunks"
 
+# Pieces cut at line breaks, long ones again at spaces; neighbouring pieces of a run walked
+# one by one, and a chunk put out whenever the next piece does not fit.
+ORACLES["chunk_recursive"] = f"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, i, CASE WHEN i = 0 THEN parts[1] ELSE chr(10) || parts[i + 1] END AS piece, (len(parts) > 1) AS cut
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE length(text) > 0), unnest(range(len(parts))) AS t(i)
+), kinds AS (
+  SELECT *, length(piece) >= 500 OR NOT cut AS long FROM lines WHERE piece <> ''
+), pieces AS (
+  SELECT doc_id, i, 0 AS j, piece, false AS long FROM kinds WHERE NOT long
+  UNION ALL
+  SELECT doc_id, i, j, CASE WHEN j = 0 THEN words[1] ELSE ' ' || words[j + 1] END, true
+  FROM (SELECT doc_id, i, string_split(piece, ' ') AS words FROM kinds WHERE long), unnest(range(len(words))) AS t(j)
+), marked AS (
+  SELECT *, length(piece) AS n,
+         CASE WHEN long THEN i ELSE -1 - (i - row_number() OVER (PARTITION BY doc_id, long ORDER BY i, j)) END AS part
+  FROM pieces WHERE piece <> ''
+), runs AS (
+  SELECT doc_id, long, part, min(i) AS first_i, list(piece ORDER BY i, j) AS ps,
+         list_concat([0], list(total ORDER BY i, j)) AS upto
+  FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, long, part ORDER BY i, j) AS total FROM marked)
+  GROUP BY doc_id, long, part
+), walk AS (
+  SELECT doc_id, first_i, 0 AS i, 0 AS first, -1 AS from_piece, -1 AS to_piece, len(ps) AS n_pieces, upto FROM runs
+  UNION ALL
+  SELECT doc_id, first_i, i + 1, CASE WHEN full_now THEN kept ELSE first END,
+         CASE WHEN full_now THEN first ELSE -1 END, CASE WHEN full_now THEN i ELSE -1 END, n_pieces, upto
+  FROM (
+    SELECT *, i < n_pieces AND i > first AND upto[i + 2] - upto[first + 1] > 500 AS full_now,
+           list_filter(range(first, i + 1), lambda f: upto[i + 1] - upto[f + 1] <= 50
+                       AND (f = i OR upto[i + 2] - upto[f + 1] <= 500))[1] AS kept
+    FROM walk WHERE i <= n_pieces)
+  WHERE i < n_pieces
+), cuts AS (
+  SELECT doc_id, first_i, i AS step, from_piece AS a, to_piece AS b FROM walk WHERE from_piece >= 0
+  UNION ALL
+  SELECT doc_id, first_i, n_pieces + 1, first, n_pieces FROM walk WHERE i = n_pieces
+), chunks AS (
+  SELECT c.doc_id, c.first_i, c.step, trim(array_to_string(r.ps[c.a + 1 : c.b], ''), {WS}) AS chunk
+  FROM cuts c JOIN runs r ON r.doc_id = c.doc_id AND r.first_i = c.first_i
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_i, step) - 1 AS INTEGER) AS chunk_no, chunk
+FROM chunks WHERE chunk <> ''
+"""
+
 ORACLES["chunk_append_ids"] = f"""
 WITH {_CHUNKS}
 SELECT CAST((SELECT count(*) FROM benchmark) + row_number() OVER (ORDER BY doc_id, chunk_no) AS VARCHAR) AS id,
