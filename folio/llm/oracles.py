@@ -111,3 +111,23 @@ WITH RECURSIVE worded AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, d.doc_id) AS component_id
 FROM worded d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
+
+# The table filled turn by turn, then one lookup per row.
+ORACLES["op7_sharding"] = r"""
+WITH RECURSIVE shards AS (
+  SELECT list(('0x' || md5('start:' || name)[1:15])::BIGINT % 2039 ORDER BY name) AS starts,
+         list(('0x' || md5('step:' || name)[1:15])::BIGINT % 2038 + 1 ORDER BY name) AS steps, list(name ORDER BY name) AS names
+  FROM (SELECT 'shard-' || lpad(k::VARCHAR, 2, '0') AS name FROM range(16) t(k))
+), fill AS (
+  SELECT 0 AS t, list_resize([]::INTEGER[], 2039, -1) AS taken
+  UNION ALL
+  SELECT t + 1, list_concat(taken[:slot], [t % 16], taken[slot + 2:])
+  FROM (SELECT t, taken, (SELECT arg_min(p, j)
+                          FROM (SELECT j, (starts[t % 16 + 1] + j * steps[t % 16 + 1]) % 2039 AS p FROM range(2039) r(j))
+                          WHERE taken[p + 1] = -1) AS slot
+        FROM fill, shards WHERE t < 2039)
+), placed AS (
+  SELECT doc_id, ('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT % 2039 AS slot FROM documents
+)
+SELECT doc_id, slot, names[taken[slot + 1] + 1] AS shard FROM placed, (SELECT taken FROM fill WHERE t = 2039), shards
+"""
