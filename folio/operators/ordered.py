@@ -1,16 +1,17 @@
 """Ordered scans over long groups, and global row numbers.
 
 A file or a session may hold a large part of all rows, so no window here spans a
-whole group. Rows are cut into blocks of at most ``BLOCK_ROWS`` by their sequence
-number; each block is scanned on its own, and what earlier blocks hand on is worked
-out from one summary row per block.
+whole group. Rows are sorted and numbered once, written down, and cut into blocks of at
+most ``BLOCK_ROWS`` by that number, however far apart their sequence numbers are. Each
+block is scanned on its own, and what earlier blocks hand on is worked out from one
+summary row per block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folio.session import cut_lineage
+from folio.session import write_once
 
 BLOCK_ROWS = 1 << 18
 
@@ -34,7 +35,7 @@ def scan_ordered(
     """
     latest, running_count, first_seq = latest or {}, running_count or {}, first_seq or {}
     keys = [*group, "_block"]
-    blocked = rows.withColumn("_block", F.floor(F.col(seq) / F.lit(block_rows)))
+    blocked = _in_blocks(rows, group, seq, block_rows)
 
     so_far = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.select(
@@ -67,12 +68,17 @@ def scan_ordered(
     )
 
 
+def _in_blocks(rows: DataFrame, group: list[str], seq: str, block_rows: int) -> DataFrame:
+    numbered = with_row_index(rows, [*group, seq], "_row")
+    return numbered.withColumn("_block", F.floor(F.col("_row") / F.lit(block_rows))).drop("_row")
+
+
 def cumulative_text(
     rows: DataFrame, group: list[str], seq: str, text: str, out: str, block_rows: int = 1024
 ) -> DataFrame:
     """Add the concatenation of ``text`` over this and all earlier rows of the group."""
     keys = [*group, "_block"]
-    blocked = rows.withColumn("_block", F.floor(F.col(seq) / F.lit(block_rows)))
+    blocked = _in_blocks(rows, group, seq, block_rows)
     so_far = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.withColumn(out, F.array_join(F.collect_list(text).over(so_far), ""))
 
@@ -101,23 +107,25 @@ def with_row_index(rows: DataFrame, order: list[str], out: str, start: int = 0)
     """Number all rows ``start, start+1, …`` in the given order.
 
     ``order`` must be unique, so that range partitioning spreads the rows evenly. The
-    sorted rows are written to the checkpoint folder once; after that each partition
-    only needs the number of rows in the partitions before it.
+    sorted rows are written down once with their place; after that each partition only
+    needs the number of rows in the partitions before it.
     """
-    fixed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    marked = fixed.select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    fixed = write_once(
+        ordered.select(
+            "*",
+            F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
+        )
     )
     # One row per partition: its size is the number of partitions, not of rows.
-    sizes = sorted(fixed.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    sizes = sorted(fixed.groupBy("_part").count().collect())
     offsets, total = [], start
     for part, n in sizes:
         offsets.append((part, total))
         total += n
     spark = rows.sparkSession
     offset_table = spark.createDataFrame(offsets, "_part int, _offset long")
-    return marked.join(F.broadcast(offset_table), "_part").select(
+    return fixed.join(F.broadcast(offset_table), "_part").select(
         *rows.columns, (F.col("_offset") + F.col("_at")).alias(out)
     )

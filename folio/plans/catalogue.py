@@ -12,7 +12,7 @@ from folio.functions import arrays as A, prompts, text as X
 from folio.functions.rows import unroll
 from folio.operators import answers, chunk, dataset, kb, ordered, parse, rag, retrieve, tokens
 from folio.plans import standins as S
-from folio.session import checkpoint_dir, delete_at_end
+from folio.session import checkpoint_dir, delete_at_end, write_once
 from folio.sinks import files as csv_files, tables
 from folio.sources import books, files
 from folio.streaming import jobs
@@ -97,7 +97,8 @@ def kb_lookup(spark, d):
         F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("medicine_a"), F.col("p_brand").alias("medicine_b")
     )
     rows = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, "l_partkey")
-    return kb.kb_lookup(rows, S.all_types_kb(spark, d)).select(
+    # Both sides are read more than once, for the frequent keys and for the others.
+    return kb.kb_lookup(write_once(rows), write_once(S.all_types_kb(spark, d))).select(
         "l_orderkey", "l_linenumber", "l_partkey", "id", "dosage", "type"
     )
 

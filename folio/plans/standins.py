@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folio.functions import prompts
 from folio.functions.rows import unroll
 from folio.operators import kb as KB
+from folio.session import write_once
 
 # Section titles of the rendered pair books; rows of the last type stand before any title.
 PART_TITLES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
@@ -55,7 +56,7 @@ def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = (len(PART_TITLES) + 1) * ROWS_PER_SECTION
     blank = part.select("p_brand").distinct().select(path, F.lit(end).alias("line_no"), F.lit("").alias("line"))
     tail = part.select(path, (F.lit(end + 1) + F.col("p_partkey")).alias("line_no"), row.alias("line"))
-    return body.unionByName(titles).unionByName(blank).unionByName(tail)
+    return write_once(body.unionByName(titles).unionByName(blank).unionByName(tail))
 
 
 def pair_rows(spark: SparkSession, sf_dir: str, prefix: str, types: list[str]) -> DataFrame:
@@ -107,8 +108,7 @@ def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books of formulas: an order is a formula, its part names are the ingredients."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    # One shuffle by order serves both the join's parallelism and the grouping.
-    named = items.repartition("l_orderkey").join(part, "l_partkey").groupBy("l_orderkey").agg(
+    named = items.join(part, "l_partkey").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("items")
     )
     key = F.col("l_orderkey").cast("string")
@@ -127,7 +127,7 @@ def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     preface = items.select(path).distinct().select(
         "path", F.lit(-1).cast("bigint").alias("line_no"), F.lit("序言").alias("line")
     )
-    return body.unionByName(preface)
+    return write_once(body.unionByName(preface))
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

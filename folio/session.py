@@ -64,13 +64,3 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder that was written when the application ends."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
-
-    Used where a result is read more than once, or where its partitioning must not
-    change between two reads. Survives the loss of any executor.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

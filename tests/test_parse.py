@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from folio.operators import kb, ordered, parse
 
 PAIRS = """防风  荆芥  各9g  未分类
@@ -170,3 +172,11 @@ def test_row_index_follows_the_order(spark):
     df = spark.range(0, 5000, numPartitions=7).selectExpr("id", "5000 - id AS k")
     got = ordered.with_row_index(df, ["k"], "n", start=10).collect()
     assert sorted((r.k, r.n) for r in got) == [(i + 1, i + 10) for i in range(5000)]
+
+
+def test_sparse_numbers_do_not_make_a_block_each(spark):
+    rows = spark.createDataFrame([("g", k * 10**9, k) for k in range(500)], "g string, seq long, v int")
+    blocks = ordered._in_blocks(rows, ["g"], "seq", 100).select("_block").distinct().count()
+    assert blocks == 5
+    got = ordered.scan_ordered(rows, ["g"], "seq", running_count={"n": F.col("v") % 2 == 0}, block_rows=100)
+    assert [r.n for r in got.orderBy("seq").collect()] == [k // 2 + 1 for k in range(500)]
