@@ -359,17 +359,28 @@ def message_log(spark, d):
     return answers.message_log(c.filter("role = 'user'"), c.filter("role <> 'user' OR role IS NULL"), "conv_id", "turn")
 
 
-@query
-def answers_streamed(spark, d):
-    """Final answers of the stateful stream over the same chunks as ``answer_assemble``."""
+def _streamed(spark, d, every_chunk):
+    """Rows of the stateful stream over the same chunks as ``answer_assemble``."""
     work = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
+    # A pattern, so that a table of one file and one of many are both read.
     docs = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 4).parquet(f"{d}/documents.parque[t]")
     chunks = unroll(docs, ["doc_id"], F.split("text", "\n"), "seq", "chunk")
-    snapshots = assemble_stream(chunks, "doc_id", "seq", "chunk", DOCUMENT_MARK)
+    snapshots = assemble_stream(chunks, "doc_id", "seq", "chunk", DOCUMENT_MARK, every_chunk=every_chunk, bounded=True)
     jobs.drain(jobs.write_answers(snapshots, f"{work}/out", f"{work}/state"))
     delete_at_end(spark, work)
-    written = spark.read.schema("doc_id long, seq int, answer string").parquet(f"{work}/out")
-    return written.groupBy("doc_id").agg(F.max_by("answer", "seq").alias("answer"))
+    return spark.read.schema("doc_id long, seq int, answer string").parquet(f"{work}/out")
+
+
+@query
+def answers_streamed(spark, d):
+    """Final answers: the last snapshot of each session."""
+    return _streamed(spark, d, False).groupBy("doc_id").agg(F.max_by("answer", "seq").alias("answer"))
+
+
+@query
+def answer_snapshots(spark, d):
+    """The answer so far after each chunk."""
+    return _streamed(spark, d, True).select("doc_id", "seq", "answer")
 
 
 # ---------------------------------------------------------------- files and tables

@@ -434,6 +434,13 @@ SELECT doc_id, coalesce(string_agg(CASE WHEN contains(chunk, {_MARK}) THEN split
 FROM chunks JOIN firsts USING (doc_id) GROUP BY doc_id
 """
 ORACLES["answers_streamed"] = ORACLES["answer_assemble"]
+ORACLES["answer_snapshots"] = f"""
+WITH {_DOC_CHUNKS}, firsts AS (SELECT doc_id, min(seq) FILTER (WHERE contains(chunk, {_MARK})) AS first FROM chunks GROUP BY doc_id)
+SELECT doc_id, seq,
+       coalesce(string_agg(CASE WHEN seq >= first THEN CASE WHEN contains(chunk, {_MARK}) THEN split_part(chunk, {_MARK}, 2) ELSE chunk END END, '')
+                OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING), '') AS answer
+FROM chunks JOIN firsts USING (doc_id)
+"""
 ORACLES["cumulative_text"] = f"""
 WITH {_DOC_CHUNKS}
 SELECT doc_id, seq, string_agg(chunk, '') OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS so_far

@@ -44,7 +44,7 @@ def test_streamed_answers_equal_batch(spark, tmp_path, cuts):
         rows = [dict(zip(("session_id", "seq", "chunk"), c)) for c in CHUNKS[at : at + n]]
         put(source, f"{i}.json", list(reversed(rows)))
         at += n
-        stream = assemble_stream(files.stream_chunks(spark, str(source)))
+        stream = assemble_stream(files.stream_chunks(spark, str(source)), bounded=True)
         jobs.drain(jobs.write_answers(stream, out, str(tmp_path / "state")))
     snapshots = spark.read.parquet(out).collect()
     assert len(snapshots) == min(at, len(CHUNKS))
@@ -94,7 +94,7 @@ def test_bytes_cut_inside_a_character(spark, tmp_path):
     for some in ([0, 1], [2, 3]):
         part = spark.createDataFrame([("s", i, cuts[i]) for i in some], schema)
         part.write.mode("append").parquet(str(source))
-        answers = assemble_stream(spark.readStream.schema(schema).parquet(str(source)))
+        answers = assemble_stream(spark.readStream.schema(schema).parquet(str(source)), bounded=True)
         jobs.drain(jobs.write_answers(answers, str(tmp_path / "out"), str(tmp_path / "state")))
     got = {r.seq: r.answer for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert sorted(got) == [0, 1, 2, 3]
@@ -189,3 +189,20 @@ def test_streamed_answers_of_a_folder_table(spark, tmp_path):
     got = catalogue.answers_streamed(spark, str(tmp_path))
     want = catalogue.answer_assemble(spark, str(tmp_path))
     assert got.count() == docs.count() and got.exceptAll(want.select(got.columns)).count() == 0
+
+
+def test_a_stream_without_an_end_is_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with pytest.raises(ValueError, match="never end"):
+        assemble_stream(files.stream_chunks(spark, str(tmp_path / "in")))
+
+
+def test_one_snapshot_per_batch(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for i, part in enumerate((CHUNKS[:5], CHUNKS[5:])):
+        put(source, f"{i}.json", [dict(zip(("session_id", "seq", "chunk"), c)) for c in part])
+        stream = assemble_stream(files.stream_chunks(spark, str(source)), every_chunk=False, bounded=True)
+        jobs.drain(jobs.write_answers(stream, out, str(tmp_path / "state")))
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.session_id, r.seq) for r in rows) == [("a", 2), ("b", 1), ("b", 2), ("c", 1), ("d", 1)]
+    assert {r.session_id: r.answer for r in sorted(rows, key=lambda r: r.seq)} == ANSWERS
