@@ -18,13 +18,19 @@ Sets that are equal are one class. Pairs of classes that may link are found by s
 The boundary is the one of least cost, from the number of sets of each small size: rows
 of subsets against rows of list entries and what a list entry costs to scan.
 
-Each list names one member class of it (the least, as a group), and classes with the same
-group are gathered once, however many lists they share. Lists of the frequent members,
-which may hold a third of all documents, are never shuffled: their groups are known from
-the counts, a table of bounded size. A group's sets are split into blocks of at most
-``BLOCK_MEMBERS`` members, and every pair of blocks is one piece of work. In it, the inverted lists of the
-sets are scanned for exact overlaps, until no two classes that are apart are untested,
-and a spanning forest of the links is put out: as many rows as classes, not as pairs.
+A list of at most ``SHORT_LIST`` classes gives their pairs. A pair's lists are counted; what
+is not among the first members of either set adds no more than a known number to the
+overlap, so most pairs that only share a passage fall. A longer list names one class of
+it, the least, as a group for all of them, and classes with the same group are gathered
+once, however many lists they share. Lists of the frequent members, which may hold a
+third of all documents, are never shuffled: their groups are known from the counts, a
+table of bounded size.
+
+The pairs left over and the groups are compared by exact overlaps. A group's sets are
+split into blocks of at most ``BLOCK_MEMBERS`` members, and every pair of blocks is one
+piece of work. In it, the inverted lists of the sets are scanned, until no two classes
+that are apart are untested, and a spanning forest of the links is put out: as many rows
+as classes, not as pairs.
 
 Connected components of the forest's edges give the groups of near duplicates.
 
@@ -52,9 +58,10 @@ from folio.session import write_once
 
 SHINGLE = 5
 PERCENT = 75
-FREQUENT = 100_000  # members that come last in the order; the table of them is sent to every task
-SEEN = 3  # times in a chunk from which a member is counted
-CHUNK_MEMBERS = 4_000_000
+FREQUENT = 1_000_000  # members, at most, that come last in the order; the table of them is sent to every task
+SEEN = 2  # times in a chunk from which a member is counted
+CHUNK_MEMBERS = 3_000_000
+SHORT_LIST = 32  # classes in a list that gives pairs
 SMALL = 12  # sizes that may be light
 SCAN_COST = 8.0  # rows that one list entry is worth
 BLOCK_MEMBERS = 2_000_000
@@ -141,12 +148,13 @@ def subset_keys(members: np.ndarray, boundary: int) -> list[int]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text (its size, key and class), and for each member found often in a chunk (its count and a class)."""
-    chunk: list[tuple[np.ndarray, np.ndarray]] = []
+    chunk: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held, seen = 0, set()
 
     def often() -> pa.RecordBatch:
-        members = np.concatenate([m for m, _ in chunk])
-        shorts = np.concatenate([s for _, s in chunk])
+        members = np.concatenate([m for m, _, _ in chunk])
+        shorts = np.concatenate([np.repeat(s, n) for _, s, n in chunk])
+        chunk.clear()
         order = np.argsort(members)
         members, shorts = members[order], shorts[order]
         starts = np.flatnonzero(np.concatenate([[True], members[1:] != members[:-1]]))
@@ -178,13 +186,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key and key not in seen:
                     seen.add(key)
                     new[k] = True
-            kept = np.repeat(new, sizes)
-            chunk.append((members[kept], np.repeat(shorts, sizes)[kept]))
-            held += int(kept.sum())
+            chunk.append((members[np.repeat(new, sizes)], shorts[new], sizes[new]))
+            held += int(sizes[new].sum())
             if held >= CHUNK_MEMBERS:
                 yield often()
-                chunk, held, seen = [], 0, set()
-    if chunk:
+                held, seen = 0, set()
+    if held:
         yield often()
 
 
@@ -199,22 +206,34 @@ def measure(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def frequent_members(measured: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members, ranks (the rarer the lower) and groups of the ``FREQUENT`` most frequent, by member."""
-    counted = measured.filter("member IS NOT NULL").groupBy("member").agg(F.sum("often").alias("n"), F.min("class").alias("group"))
-    top = counted.orderBy(F.desc("n"), "member").limit(FREQUENT).toPandas()
-    members = top["member"].to_numpy(np.int64).view(np.uint64)
-    ranks = np.lexsort((members, top["n"].to_numpy(np.int64)))
-    rank = np.empty(len(top), np.int64)
-    rank[ranks] = np.arange(1, len(top) + 1)
+    """Members, ranks (the rarer the lower) and groups of the most frequent ones, by member.
+
+    All members of the lowest count that leaves no more than ``FREQUENT`` are taken.
+    """
+    counted = write_once(
+        measured.filter("member IS NOT NULL").groupBy("member").agg(F.sum("often").alias("n"), F.min("class").alias("group"))
+    )
+    # One row per count, not per member.
+    at_least, total = None, 0
+    for n, members in counted.groupBy("n").count().orderBy(F.desc("n")).collect():
+        total += members
+        if total > FREQUENT:
+            break
+        at_least = n
+    top = counted.filter(F.lit(False) if at_least is None else F.col("n") >= at_least).toArrow()
+    members = np.asarray(top["member"], np.int64).view(np.uint64)
+    rank = np.empty(len(members), np.int32)
+    rank[np.lexsort((members, np.asarray(top["n"], np.int64)))] = np.arange(1, len(members) + 1)
     order = np.argsort(members)
-    return members[order], rank[order], top["group"].to_numpy(np.int64)[order]
+    return members[order], rank[order], np.asarray(top["group"], np.int64)[order]
 
 
 # ---------------------------------------------------------------- inverted lists and subsets
 
 
 def entries(texts: pa.Array, frequent: tuple[np.ndarray, np.ndarray, np.ndarray], boundary: int, seen: set) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(list, class, is_group) of each text's class: list entries and subsets, and groups known already."""
+    """(list, class, n) of each text's class of n members: list entries and subsets. Where n is
+    -1, ``class`` is a group that is known already, and ``list`` the class in it."""
     members, ends = text_sets(texts)
     sizes = np.diff(ends)
     known, ranks, groups = frequent
@@ -231,25 +250,46 @@ def entries(texts: pa.Array, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]
     rank_in_text = np.cumsum(rare) - np.concatenate([[0], np.cumsum(rare)])[ends[:-1]][owner] if len(members) else np.empty(0, np.int64)
     wanted = prefix_length(sizes)
     chosen = rare & (rank_in_text <= wanted[owner]) & in_lists[owner]
-    lists, classes = [members[chosen].view(np.int64)], [shorts[owner[chosen]]]
-    n_light = len(lists[0])
-    direct: list[tuple[int, int]] = []
+    out = [(members[chosen].view(np.int64), shorts[owner[chosen]], sizes[owner[chosen]])]
     n_rare = np.bincount(owner[rare], minlength=len(texts))
     for k in np.flatnonzero(in_lists & (n_rare < wanted)):
         a, b = ends[k], ends[k + 1]
         at = place[a:b][is_known[a:b]]
-        at = at[np.argsort(ranks[at])][: wanted[k] - n_rare[k]]
-        direct += [(int(g), int(shorts[k])) for g in np.unique(groups[at])]
+        mine = np.unique(groups[at[np.argsort(ranks[at])][: wanted[k] - n_rare[k]]])
+        out.append((np.full(len(mine), shorts[k]), mine, np.full(len(mine), -1)))
     for k in np.flatnonzero(new & (sizes > 0) & (sizes <= boundary)):
         subsets = np.array(subset_keys(members[ends[k] : ends[k + 1]], boundary), np.uint64).view(np.int64)
-        lists.append(subsets)
-        classes.append(np.full(len(subsets), shorts[k]))
-        n_light += len(subsets)
-    lists.append(np.array([g for g, _ in direct], np.int64))
-    classes.append(np.array([c for _, c in direct], np.int64))
-    is_group = np.zeros(n_light + len(direct), bool)
-    is_group[n_light:] = True
-    return np.concatenate(lists), np.concatenate(classes), is_group
+        out.append((subsets, np.full(len(subsets), shorts[k]), np.full(len(subsets), sizes[k])))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def meetings(lists: np.ndarray, classes: np.ndarray, sizes: np.ndarray, started: int | None) -> list[tuple[np.ndarray, ...]]:
+    """(group, class, other, n_class, n_other) of whole sorted lists without repeated classes.
+    Pairs have group 0 and are from short lists. ``started`` is the group of the first list
+    if it is the rest of a long one."""
+    starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(lists) else np.empty(0, np.int64)
+    lengths = np.diff(np.append(starts, len(lists)))
+    out = []
+    is_long = lengths > SHORT_LIST
+    least = classes[starts] if len(starts) else classes
+    if started is not None and len(starts):
+        is_long[0], least = True, np.concatenate([[started], least[1:]])
+    for m in range(2, SHORT_LIST + 1):
+        at = starts[(lengths == m) & ~is_long]
+        if len(at):
+            i, j = np.triu_indices(m, 1)
+            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            fits = 100 * np.minimum(sizes[a], sizes[b]) >= PERCENT * np.maximum(sizes[a], sizes[b])
+            a, b = a[fits], b[fits]
+            out.append((np.zeros(len(a), np.int64), classes[a], classes[b], sizes[a], sizes[b]))
+    of = np.repeat(np.arange(len(starts)), lengths)
+    long = is_long[of] if len(starts) else np.empty(0, bool)
+    zero = np.zeros(int(long.sum()), np.int64)
+    out.append((least[of[long]] if len(zero) else zero, classes[long], zero, zero, zero))
+    return out
+
+
+_MET = ["group", "class", "other", "n_class", "n_other"]
 
 
 def memberships(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray, np.ndarray], boundary: int) -> DataFrame:
@@ -262,36 +302,52 @@ def memberships(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
             for texts in slices(batch.column(0)):
                 if len(seen) > 200_000:
                     seen.clear()
-                lists, classes, is_group = entries(texts, shared.value, boundary, seen)
-                yield pa.RecordBatch.from_arrays(
-                    # Known groups are dealt out by class: nobody has to meet there.
-                    [pa.array(np.where(is_group, classes, lists)), pa.array(classes), pa.array(lists, mask=~is_group)],
-                    names=["list", "class", "group"],
-                )
+                lists, classes, sizes = entries(texts, shared.value, boundary, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(classes), pa.array(sizes, pa.int64())], names=["list", "class", "n"])
 
-    entered = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(enter, "list long, class long, group long")
-    dealt = entered.repartition("list").sortWithinPartitions("list", "class")
+    entered = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(enter, "list long, class long, n long")
+    dealt = entered.repartition("list").sortWithinPartitions("list", "class", "n")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = least = None
+        held = tuple(np.empty(0, np.int64) for _ in range(3))
+        long_list = group = None
+
+        def put(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*rows)], names=_MET)
+
         for batch in batches:
-            known = np.asarray(batch.column(2).is_valid())
-            lists, classes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            direct = [np.asarray(batch.column(2).drop_null()), classes[known]]
-            lists, classes = lists[~known], classes[~known]
-            if len(lists):
-                starts = np.concatenate([[lists[0] != last], lists[1:] != lists[:-1]])
-                first = np.where(starts, classes, 0)
-                first = first[np.maximum.accumulate(np.where(starts, np.arange(len(lists)), 0))]
-                if not starts[0]:
-                    first[: int(np.argmax(starts)) if starts.any() else len(first)] = least
-                last, least = lists[-1], first[-1]
-                apart = classes != first
-                leaders = np.unique(first[apart])
-                direct = [np.concatenate([direct[0], first[apart], leaders]), np.concatenate([direct[1], classes[apart], leaders])]
-            yield pa.RecordBatch.from_arrays([pa.array(direct[0]), pa.array(direct[1])], names=["group", "class"])
-
-    return write_once(dealt.mapInArrow(meet, "group long, class long").distinct())
+            now = [np.asarray(batch.column(k)) for k in range(3)]
+            direct = now[2] < 0
+            zero = np.zeros(int(direct.sum()), np.int64)
+            rows = [(now[1][direct], now[0][direct], zero, zero, zero)]
+            now = [np.concatenate([h, c[~direct]]) for h, c in zip(held, now)]
+            new = np.ones(len(now[0]), bool)
+            new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])
+            lists, classes, sizes = (c[new] for c in now)
+            if not len(lists):
+                yield put(rows)
+                continue
+            last = int(np.searchsorted(lists, lists[-1]))
+            started = group if lists[0] == long_list else None
+            if len(lists) - last > SHORT_LIST or lists[-1] == long_list:
+                group = group if lists[-1] == long_list else int(classes[last])
+                long_list, last = lists[-1], len(lists)
+                held = tuple(np.empty(0, np.int64) for _ in range(3))
+            else:
+                held = (lists[last:], classes[last:], sizes[last:])
+            yield put(rows + meetings(lists[:last], classes[:last], sizes[:last], started if last else None))
+        yield put(meetings(*held, group if len(held[0]) and held[0][0] == long_list else None))
+
+    met = dealt.mapInArrow(meet, ", ".join(f"{c} long" for c in _MET)).groupBy(*_MET).agg(F.count("*").alias("_lists"))
+    larger, smaller = F.greatest("n_class", "n_other"), F.least("n_class", "n_other")
+    needed = F.ceil(PERCENT * (larger + smaller) / (100 + PERCENT))
+    beyond = F.ceil(PERCENT * larger / 100) - 1
+    light = (larger <= boundary) & (smaller > 0)
+    met = write_once(met.filter((F.col("n_class") == 0) | light | (F.col("_lists") + beyond >= needed)))
+    pairs = met.filter("n_class > 0")
+    return met.filter("n_class = 0").select("group", "class").union(
+        pairs.select(F.col("class").alias("group"), F.explode(F.array("class", "other")).alias("class"))
+    ).distinct()
 
 
 # ---------------------------------------------------------------- exact overlaps within a group
