@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 import regex
 
 PARTS_KEPT = 600_000  # distinct parts remembered within a task
+SLICE = 4 << 20  # bytes of text that callers hand over at once
 
 # The pattern of byte-level vocabularies, and the bytes they write as themselves.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from folio.llm.encoding import Encoder
+from folio.llm.encoding import SLICE, Encoder
 from folio.llm.texts import slices
 
 POOL_SEQUENCES = 1_024  # sequences filled from one pool of remainders
@@ -120,7 +120,7 @@ def pack_documents(
         for batch in batches:
             encoder = encoder or Encoder(tokenizer)
             doc_ids, at = batch.column(0).to_pylist(), 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), SLICE):
                 ids, lengths = encoder.encode(texts, end_id)
                 ends = np.cumsum(lengths)
                 for k, (a, b) in enumerate(zip(ends - lengths, ends)):

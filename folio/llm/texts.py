@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 8 << 20  # text handled at once; a longer text is a slice of its own
+SLICE_BYTES = 3 << 20  # text handled at once; a longer text is a slice of its own
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:

@@ -28,6 +28,7 @@ from folio.llm.encoding import Encoder
 from folio.llm.texts import slices
 
 STRIPE_BYTES = 64 << 20
+SLICE_BYTES = 8 << 20  # text encoded at once
 ROW_GROUP = 1_000  # rows under one index entry and Bloom filter
 FILE_SCHEMA = "part int, doc_id long, first long, n_tokens long, ids array<int>"
 
@@ -45,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         for batch in batches:
             encoder = encoder or Encoder(tokenizer)
             at = 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), SLICE_BYTES):
                 ids, lengths = encoder.encode(texts, end_id)
                 ends = np.cumsum(lengths)
                 yield pa.RecordBatch.from_arrays(
