@@ -357,8 +357,9 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets.
 
     Sets are tested against all others by scanning the lists of their members, those
-    with the longest lists first. Sets of the largest tree so far need no test of their
-    own: whoever is apart from them is tested, or will be.
+    with the longest lists first. Sets of the largest tree so far are put off. Another
+    tree may outgrow it, so those outside the tree that is largest at the end of the first
+    round are tested then; the others lie in that tree, which only grows.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -379,12 +380,12 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     tree = np.arange(n)
     in_tree = np.ones(n, np.int64)
     edges: list[tuple[int, int]] = []
-    for k in np.argsort(-reach, kind="stable"):
-        if in_tree[tree[k]] == in_tree.max() and in_tree[tree[k]] > 1 and tree[k] == int(np.argmax(in_tree)):
-            continue
+    put_off: list[int] = []
+
+    def test(k: int) -> None:
         mine = set_lists[bounds[k] : bounds[k + 1]]
         if not len(mine):
-            continue
+            return
         run = lengths[mine]
         total = np.cumsum(run)
         at = np.repeat(starts[mine] - (total - run), run) + np.arange(total[-1])
@@ -400,6 +401,16 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             in_tree[a] += in_tree[b]
             in_tree[b] = 0
             edges.append((int(k), int(j)))
+
+    for k in np.argsort(-reach, kind="stable"):
+        if in_tree[tree[k]] > 1 and tree[k] == int(np.argmax(in_tree)):
+            put_off.append(k)
+        else:
+            test(k)
+    inside = int(np.argmax(tree == np.argmax(in_tree)))  # a set of the tree, whatever its label will be
+    for k in put_off:
+        if tree[k] != tree[inside]:
+            test(k)
     return edges
 
 

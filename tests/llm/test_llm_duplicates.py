@@ -212,6 +212,16 @@ def test_forest_connects_all_links():
                 assert find(a) == find(b)
 
 
+def test_forest_tests_sets_put_off_in_a_tree_that_is_outgrown():
+    core = list(range(300))
+    k, j = [*core, *range(1000, 1080)], [*core, *range(2000, 2020)]
+    a = [[*k, *range(3000, 3040), 5000 + i] for i in range(6)]
+    b = [[*j, *range(4000, 4050), 6000 + i] for i in range(7)]
+    sets = [np.array(sorted(s), np.uint64) for s in [*a, k, *b, j]]
+    edges = jaccard.forest(sets)
+    assert len(edges) == len(sets) - 1  # k and j link, so all are one group
+
+
 def test_boundary_follows_cost():
     assert jaccard.choose_boundary({}) == 1
     assert jaccard.choose_boundary({4: 1000}) >= 4
