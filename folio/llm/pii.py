@@ -112,7 +112,7 @@ _D = "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w)))
 # What has no ASCII form by itself, a run of spelled digits, or a disguised mark.
 _RULES = re.compile(
     rf"""
-    (?P<odd>[^\x00-\x7f])
+    (?P<odd>(?-i:[^\x00-\x7f]))
   | (?P<at>[ ]*[\[({{<][ ]*(?:{_AT}|@)[ ]*[\])}}>][ ]*)
   | (?P<dot>[ ]*[\[({{<][ ]*(?:{_DOT}|\.)[ ]*[\])}}>][ ]*)
   | (?P<bare_at>(?<=[A-Za-z0-9])(?:[ ]+(?:{_AT}|@)[ ]+|[ ]+@|@[ ]+)(?=[A-Za-z0-9-]+(?:[ ]*\.[ ]*[A-Za-z0-9]|[ ]*[\[({{<]?[ ]*\b(?:{_DOT})\b)))
@@ -123,24 +123,6 @@ _RULES = re.compile(
     re.VERBOSE | re.IGNORECASE,
 )
 _DIGIT_WORD = re.compile(_D, re.IGNORECASE)
-_ODD = re.compile(r"[^\x00-\u024f\u1e00-\u1eff]|[\xad\xb7\xa0]")
-_IN_BRACKETS = re.compile(rf"[\[({{<][ ]*(?:{_AT}|{_DOT}|@|\.)[ ]*[\])}}>]")
-_AT_DOMAIN = re.compile(r" (?:at|arroba|arobase|ät) +[a-z0-9-]+\.[a-z0-9]")
-_HINT_WORDS = frozenset([*_DIGITS, *_DOT.split("|"), "plus"])
-
-
-def may_be_disguised(text: str) -> bool:
-    """False only where no rule could help to find anything."""
-    low = text.lower()
-    return (
-        not text.isascii() and _ODD.search(text) is not None
-        or not _HINT_WORDS.isdisjoint(low.replace("-", " ").split())
-        or any(c in text for c in "[({<") and _IN_BRACKETS.search(low) is not None
-        or " @" in text or "@ " in text or " . " in text
-        or (" at " in low or " ar" in low or " ät " in low) and _AT_DOMAIN.search(low) is not None
-    )
-
-
 def plain_character(c: str) -> str:
     """The ASCII character that ``c`` looks like; '' if it has no width; else ``c``."""
     if c in _NO_WIDTH:
@@ -155,6 +137,34 @@ def plain_character(c: str) -> str:
     return folded if len(folded) == 1 and folded.isascii() else c
 
 
+_WORD = re.compile(r"\w+")
+_IN_BRACKETS = re.compile(rf"[\[({{<][ ]*(?:{_AT}|@|\.)[ ]*[\])}}>]")
+_AT_DOMAIN = re.compile(rf" (?:{_AT}) +[a-z0-9-]+ *\. *[a-z0-9]")
+_HINT_WORDS = frozenset([*_DIGITS, *_DOT.split("|"), "plus"])
+_LETTERS = str.maketrans("ıİſ", "iis")  # what IGNORECASE takes for i and s
+# Characters that have another form; beyond the Latin blocks any character may.
+_LATIN = [chr(k) for k in (*range(0x80, 0x250), *range(0x1E00, 0x1F00))]
+_ODD = re.compile(rf"[^\x00-\u024f\u1e00-\u1eff]|[{''.join(c for c in _LATIN if plain_character(c) != c)}]")
+
+
+def may_be_disguised(text: str) -> bool:
+    """False only where no rule could help to find anything.
+
+    A rule's word stands between word boundaries, so it is a whole run of word characters.
+    """
+    if not text.isascii():
+        if _ODD.search(text):
+            return True
+        text = text.translate(_LETTERS)
+    low = text.lower()
+    return (
+        not _HINT_WORDS.isdisjoint(_WORD.findall(low))
+        or any(c in text for c in "[({<") and _IN_BRACKETS.search(low) is not None
+        or " @" in text or "@ " in text or " . " in text
+        or (" at " in low or " ar" in low or " ät " in low) and _AT_DOMAIN.search(low) is not None
+    )
+
+
 class Rewritten:
     """A text after the transducer; ``source`` has the source span of each character."""
 
@@ -188,7 +198,7 @@ class Rewritten:
                 copy(m.start())
                 if kind == "digits":
                     for d in _DIGIT_WORD.finditer(text, *m.span()):
-                        put(_DIGITS[d.group().lower()], *d.span())
+                        put(_DIGITS[d.group().translate(_LETTERS).lower()], *d.span())
                 else:
                     if kind == "bare_at" and "@" not in m.group():
                         self.weak.add(len(self.source))
