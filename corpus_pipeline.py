@@ -30,7 +30,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     mark = "_deleted"
     while mark in docs.columns:
         mark += "_"
-    done = line_dedup.delete_repeats(docs, deleted=mark)
+    done = line_dedup.delete_repeats(docs, deleted=mark, every_place=True)
     bare = F.btrim(F.col("text"), F.lit(line_dedup.SPACE)) == ""
     return _counted(done.filter((F.size(mark) == 0) | ~bare).drop(mark))
 

@@ -5,7 +5,7 @@ line weighs as many words as it has. A gram is a line and as many of the next as
 ``GRAM_WORDS`` words; its hash is that of its lines' hashes. Over the grams inside each
 stretch of lines of ``RUN_WORDS`` words the least hash is selected. Two documents that
 share a run of that many words hold the same whole stretch, so both select the same gram
-in it: the guarantee.
+in it.
 
 A selected gram is joined with its first selected occurrence, in the order of document
 and line. The pair gives a diagonal: a document, an earlier place, and the distance
@@ -13,6 +13,13 @@ between their lines. Along a diagonal both documents are compared line by line,
 extends the match both ways, and every run of equal lines of ``GRAM_WORDS`` words or
 more is a repeat: its lines in the later place are deleted.
 
+A gram's first place need not be where the whole run occurs earlier. With
+``every_place`` whole stretches are hashed as well, those from each line on and those up
+to each line, and the lines of every stretch whose hash has an earlier place are deleted.
+Each line of a repeated run of ``RUN_WORDS`` words lies in such a stretch: the guarantee.
+Only documents that have a diagonal are hashed. If neither place of a stretch is the first
+of its gram, both documents have one; otherwise the diagonal itself covers the stretch.
+
 Only hashes, places and weights are shuffled, a few dozen bytes per line, and text once,
 to the lines that go. A gram that very many documents share is reduced to its first
 place before the shuffle, and the join back is one that Spark can split. A diagonal's
@@ -30,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.session import write_once
 
-RUN_WORDS = 50  # a repeated run of so many words is always found
+RUN_WORDS = 50  # with every_place, a repeated run of so many words is always found
 GRAM_WORDS = 25  # words that a run must have to be deleted
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -94,7 +101,36 @@ def repeated_lines(lines: DataFrame, found: DataFrame, gram_words: int = GRAM_WO
     return runs.withColumn("_weight", weight).filter(F.col("_weight") >= gram_words).select("doc", "line_no").distinct()
 
 
-def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+def repeated_stretches(lines: DataFrame, found: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """(doc, line_no) of the lines to delete: stretches that have an earlier place in a document of ``found``."""
+    end = F.col("before") + F.col("words")
+    inside = lines.withColumn("end", end).join(found.select("doc").distinct(), "doc", "left_semi")
+    by_doc = Window.partitionBy("doc")
+    after = by_doc.orderBy("before").rangeBetween(0, run_words - 1)
+    upto = by_doc.orderBy("end").rangeBetween(1 - run_words, 0)
+
+    def stretch(over: Window) -> Column:
+        whole = F.max("end").over(over) - F.min("before").over(over) >= run_words
+        hashed = F.unhex(F.md5(F.concat_ws(",", F.collect_list("h").over(over))))
+        return F.when(whole, F.struct(hashed.alias("stretch"), F.min("pos").over(over).alias("pos"), F.max("pos").over(over).alias("until")))
+
+    both = inside.select("doc", F.array(stretch(after), stretch(upto)).alias("_both"))
+    stretches = both.select("doc", F.explode(F.array_compact(F.array_distinct("_both"))).alias("_s")).select("doc", "_s.*")
+    place = F.struct("doc", "pos")
+    first = stretches.groupBy("stretch").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first < _last")
+    again = stretches.join(first.select("stretch", "_first"), "stretch").filter(F.col("_first") < place)
+    # A line goes if a stretch from it or from a line before it reaches it.
+    ends = again.groupBy("doc", "pos").agg(F.max("until").alias("until"))
+    marked = inside.select("doc", "pos", "line_no", F.lit(None).cast("int").alias("until")).unionByName(
+        ends.select("doc", "pos", F.lit(None).cast("int").alias("line_no"), "until")
+    )
+    reach = F.max("until").over(by_doc.orderBy("pos"))
+    return marked.withColumn("_reach", reach).filter("line_no IS NOT NULL AND _reach >= pos").select("doc", "line_no")
+
+
+def find_repeats(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS, every_place: bool = False
+) -> DataFrame:
     """(doc, lines): line numbers to delete, ascending, of each document that has any."""
     along = Window.partitionBy("doc").orderBy("line_no")
     measured = document_lines(docs, id, text)
@@ -108,9 +144,11 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", run_wo
             (F.sum("words").over(along) - F.col("words")).alias("before"),
         )
     )
-    found = diagonals(write_once(selected_grams(lines, run_words, gram_words)))
-    gone = repeated_lines(lines, write_once(found), gram_words)
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
+    found = write_once(diagonals(write_once(selected_grams(lines, run_words, gram_words))))
+    gone = repeated_lines(lines, found, gram_words)
+    if every_place:
+        gone = gone.unionByName(repeated_stretches(lines, found, run_words))
+    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
 
 
 def delete_repeats(
@@ -120,11 +158,13 @@ def delete_repeats(
     run_words: int = RUN_WORDS,
     gram_words: int = GRAM_WORDS,
     deleted: str = "deleted_lines",
+    every_place: bool = False,
 ) -> DataFrame:
-    """``docs`` with the repeated lines cut from ``text``; their numbers in a new array column."""
+    """``docs`` with the repeated lines cut from ``text``; their numbers in a new array column.
+    With ``every_place``, all lines of every run of ``run_words`` words that occurs earlier."""
     if deleted in docs.columns:
         raise ValueError(f"docs already has a column {deleted}; choose another name")
-    gone = find_repeats(docs, id, text, run_words, gram_words)
+    gone = find_repeats(docs, id, text, run_words, gram_words, every_place)
     key, body = "_doc", F.col(text).cast("string")
     while any(f"{key}{end}" in docs.columns for end in ("", "of", "lines", "gone")):
         key += "_"

@@ -96,11 +96,11 @@ def op5_jaccard_join(spark, d):
     return jaccard.near_groups(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query
-def op6_line_dedup(spark, d):
+def _line_dedup(spark, d, every_place):
     docs = table(spark, d, "documents").select("doc_id", "text")
     lines = F.size(F.split("text", "\n")).cast("long")
-    done = line_dedup.delete_repeats(docs.withColumn("n_lines", F.coalesce(F.when(lines >= 0, lines), F.lit(0))))
+    counted = docs.withColumn("n_lines", F.coalesce(F.when(lines >= 0, lines), F.lit(0)))
+    done = line_dedup.delete_repeats(counted, every_place=every_place)
     deleted = F.col("deleted_lines")
     return done.select(
         "doc_id",
@@ -111,6 +111,18 @@ def op6_line_dedup(spark, d):
     )
 
 
+@query
+def op6_line_dedup(spark, d):
+    """As its SQL has it: the first place of each gram only."""
+    return _line_dedup(spark, d, False)
+
+
+@query
+def op6_line_dedup_every_place(spark, d):
+    """Every run that occurs earlier anywhere; no SQL."""
+    return _line_dedup(spark, d, True)
+
+
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
 

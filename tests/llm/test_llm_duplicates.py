@@ -101,6 +101,45 @@ def test_line_dedup_equals_its_definition(spark):
     assert any(want.values())
 
 
+def brute_runs(docs, run=50):
+    """Lines of each run of ``run`` words or more that occurs earlier anywhere, by document."""
+    lines = {}
+    for doc_id, text in docs:
+        if text is not None:
+            kept = [(k, s) for k, s in ((k, p.strip(line_dedup.SPACE)) for k, p in enumerate(text.split("\n"))) if s]
+            lines[(doc_id is not None, doc_id or 0, hashlib.md5(text.encode()).hexdigest())] = [(k, s, len(s.split())) for k, s in kept]
+    places = [(doc, a) for doc in sorted(lines) for a in range(len(lines[doc]))]
+    gone = {}
+    for n in range(1, max(map(len, lines.values())) + 1):
+        seen = set()
+        for doc, a in places:
+            some = lines[doc][a : a + n]
+            if len(some) == n and sum(r[2] for r in some) >= run:
+                key = tuple(r[1] for r in some)
+                if key in seen:
+                    gone.setdefault(doc[1:], set()).update(r[0] for r in some)
+                seen.add(key)
+    return gone
+
+
+def test_every_earlier_run_is_found(spark):
+    random.seed(31)
+    line = lambda n: " ".join(f"t{random.randint(0, 10**6)}" for _ in range(n))
+    docs = [d for d in made_documents() if d[0] != 202]
+    for k in range(1000, 1120, 3):
+        x, y, ends = line(30), line(30), [line(49), "and", line(9)]
+        docs += [(k, f"{x}\n{line(40)}"), (k + 1, "\n".join([line(7), x, y, line(60), *ends])), (k + 2, "\n".join([*ends, line(8), x, "", y, line(60)]))]
+    want = {}
+    for found in (brute_runs(docs), {(d[0] or 0, d[1]): v for d, v in brute_repeats(docs).items()}):
+        for doc, v in found.items():
+            want.setdefault(doc, set()).update(v)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {(r["doc"][0] or 0, r["doc"][1]): r["lines"] for r in line_dedup.find_repeats(frame, every_place=True).collect()}
+    assert got == {d: sorted(v) for d, v in want.items()}
+    fewer = {(r["doc"][0] or 0, r["doc"][1]): r["lines"] for r in line_dedup.find_repeats(frame).collect()}
+    assert any(set(v) - set(fewer.get(d, ())) for d, v in got.items() if d[0] >= 1000)
+
+
 def test_shared_passages_are_found_and_clean_documents_stay(spark):
     random.seed(3)
     line = lambda n: " ".join(f"t{random.randint(0, 10**6)}" for _ in range(n))
