@@ -4,7 +4,8 @@ A word's subwords are its character n-grams with edge marks, and the word itself
 to ``BUCKETS`` rows of an embedding table. A text is the mean of all its subwords'
 embeddings; a linear layer and a softmax give a probability per language. Both layers
 are trained by stochastic gradient descent in numpy on at most ``SAMPLE_ROWS`` texts with
-a language, those of smallest hash, stratified by language. On a part of them held back,
+a language, those of smallest hash, stratified by language; beyond ``SAMPLE_ROWS / FEWEST``
+languages on ``FEWEST`` of each, so that sample and table grow with them. On a part of them held back,
 a temperature is fitted, so that scores can be read as probabilities, and the score below
 which a prediction is best rejected.
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.llm.texts import distinct, hash_strings, mixed, slices, split_words
 
-SAMPLE_ROWS = 2_400  # texts that the model is trained and calibrated on
+SAMPLE_ROWS = 2_400  # texts that the model is trained and calibrated on; with very many languages FEWEST of each
 SAMPLE_CHARS = 2_000  # characters of a training text that are read
 BUCKETS = 1 << 17
 DIMENSIONS = 10
@@ -168,10 +169,10 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: s
         F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("h"),
     ).filter("text IS NOT NULL AND lang IS NOT NULL")
     # A hash bound that leaves about the sample's size of each language, from exact counts.
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(500).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    each = max(1, SAMPLE_ROWS // len(counts))
+    each = max(FEWEST, SAMPLE_ROWS // len(counts))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * each / n + 20 / n))])
     place = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32)
     some = known.filter(place < F.get(F.array(F.try_element_at(share, F.col("lang"))), F.lit(0)))

@@ -99,6 +99,13 @@ def test_language_on_held_out_rows(spark):
             assert r["pred"] in model["names"]
 
 
+def test_languages_beyond_the_sample_are_learned(spark):
+    n = 520
+    rows = [(k * n + i, f"w{i:03} x{i:03} y{i:03}", f"l{i:03}") for k in range(6) for i in range(n)]
+    model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model is not None and len(model["names"]) == n
+
+
 def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "hello", None)], "doc_id long, text string, lang string")
     assert language.fit_language(docs) is None
