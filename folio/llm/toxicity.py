@@ -2,7 +2,7 @@
 
 Each word (lower case, edge punctuation off) has a log-odds score between toxic and clean
 texts, smoothed by a Dirichlet prior that leaves a word seen on neither side at zero; words that
-are not surely on one side score a small negative drift. One linear scan finds every
+are not surely toxic, clean ones included, score one small negative drift. One linear scan finds every
 maximal segment: a passage whose score can't be raised by making it longer or shorter.
 For scores that are log-odds, the best segment of a clean text of n words follows an
 extreme-value law; its scale is the root of a moment equation and its constant is fitted
@@ -32,7 +32,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folio.llm.texts import distinct, slices, split_words
 
 SAMPLE_ROWS = 8_000  # labelled texts that the model is fitted on
-SAMPLE_CHARS = 20_000  # characters of a training text that are read
 WORDS = 50_000  # words with a score of their own
 PRIOR = 1.0  # occurrences of each word in the prior, shared out as the words of both sides are
 SHUFFLES = 8  # a word counts if its log-odds are surer than any word's under shuffled labels
@@ -160,11 +159,11 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict | None:
         return None
 
     first = np.flatnonzero(half)
-    scores, clean_counts = word_scores([texts[k][:SAMPLE_CHARS] for k in first], toxic[first])
+    scores, clean_counts = word_scores([texts[k] for k in first], toxic[first])
     weights = np.array(list(clean_counts.values()))
     scale = scale_of(np.array([scores.get(w, DRIFT) for w in clean_counts]), weights)
     rest = np.flatnonzero(~half)
-    segments, n_words = text_segments(pa.array([texts[k][:SAMPLE_CHARS] for k in rest], pa.large_string()), scores)
+    segments, n_words = text_segments(pa.array([texts[k] for k in rest], pa.large_string()), scores)
     y = toxic[rest]
     best = np.array([max((v for _, _, v in s), default=0.0) for s in segments])
     clean = ~y & (n_words > 0)
@@ -187,7 +186,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict | None:
-    """Fit on a bounded sample of ``labels``. Its ids are few enough to broadcast, its texts to collect."""
+    """Fit on a bounded number of rows of ``labels``, whose ids are broadcast and whose whole texts are collected."""
     sample = (
         labels.select(F.col(id).alias("_id"), F.col(label).alias("_toxic"))
         .filter("_id IS NOT NULL AND _toxic IS NOT NULL")
@@ -196,7 +195,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
         .orderBy(F.md5(F.col("_id").cast("string")), "_id")
         .limit(SAMPLE_ROWS)
     )
-    read = docs.select(F.col(id).alias("_id"), F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("_text"))
+    read = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"))
     got = read.join(F.broadcast(sample), "_id").select(F.md5(F.col("_id").cast("string")).alias("h"), "_toxic", F.coalesce("_text", F.lit("")).alias("_text"))
     rows = got.toPandas().sort_values(["h", "_text"]).drop_duplicates(["_text", "_toxic"])
     return fit(rows["_text"].tolist(), rows["_toxic"].to_numpy() > 0)

@@ -73,6 +73,12 @@ def test_toxic_words_are_learned(spark):
     assert frame.limit(0).withColumn("t", toxicity.toxicity(F.col("text"), model)).count() == 0
 
 
+def test_toxic_words_late_in_a_training_text_are_learned():
+    toxic = np.arange(200) % 4 < 2
+    texts = ["corn water " * 2_000 + ("scum" if t else "house") for t in toxic]
+    assert "scum" in toxicity.fit(texts, toxic)["scores"]
+
+
 def test_subwords_of_a_word_do_not_depend_on_its_neighbours():
     alone, n_alone = language.subwords(pa.array(["straße"], pa.large_string()))
     both, counts = language.subwords(pa.array(["a", "straße", "zz"], pa.large_string()))
