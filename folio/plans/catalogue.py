@@ -276,6 +276,22 @@ def near_vector(spark, d):
     return found.select("query_id", "vec_id", "rank")
 
 
+@query
+def near_vector_rows(spark, d):
+    """Neighbours of every row whose id is divisible by 20, itself excluded."""
+    e = S.table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieve.near_vector(
+        asked,
+        e,
+        query_vector="embedding",
+        id="vec_id",
+        vector="embedding",
+        exclude_self=True,
+    )
+    return found.select("query_id", "vec_id", "rank")
+
+
 @query
 def near_vector_centroids(spark, d):
     """Vectors nearest to the mean vector of each label."""

@@ -356,6 +356,16 @@ r AS (
   WHERE q.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
 """
+ORACLES["near_vector_rows"] = f"""
+WITH e AS ({_UNIT}), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM e),
+r AS (
+  SELECT q.vec_id AS query_id, b.vec_id,
+         row_number() OVER (PARTITION BY q.vec_id
+           ORDER BY round(1 - list_dot_product(q.v, b.v) / (q.len * b.len), 9), b.vec_id) AS rank
+  FROM n q JOIN n b ON q.vec_id <> b.vec_id
+  WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+"""
 ORACLES["near_vector_centroids"] = f"""
 WITH e AS ({_UNIT}),
 means AS (SELECT label, i, avg(v[i]) AS x FROM e, unnest(range(1, 65)) AS t(i) GROUP BY label, i),
