@@ -131,3 +131,44 @@ WITH RECURSIVE shards AS (
 )
 SELECT doc_id, slot, names[taken[slot + 1] + 1] AS shard FROM placed, (SELECT taken FROM fill WHERE t = 2039), shards
 """
+
+# Terms in ten documents of a language; shares in every group, whether it has the term or
+# not; distances of pairs of sources and of a source from its language.
+ORACLES["op13_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT doc, lang, source, unnest(w) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, coalesce(v, 0)::HUGEINT AS v
+  FROM (SELECT DISTINCT lang, source FROM docs)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counted GROUP BY lang, source) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)
+), shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v) AS p
+  FROM groups JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)
+), of_lang AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (max(total) + 2 * max(v)) AS q
+  FROM shares JOIN (SELECT lang, sum(total) AS total, max(v) AS v FROM groups GROUP BY lang) USING (lang)
+  GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, b.source, 0 FROM groups a JOIN groups b USING (lang) WHERE a.source <> b.source AND a.v = 0
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM shares JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

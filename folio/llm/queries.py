@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import decontaminate, jaccard, language, line_dedup, packing, pii, quality, sharding, token_files, toxicity
+from folio.llm import decontaminate, divergence, jaccard, language, line_dedup, packing, pii, quality, sharding, token_files, toxicity
 from folio.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,8 @@ def op10_quality(spark, d):
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept"]
     judged = docs.select("doc_id", quality.rule_verdict(F.col("text"), model).alias("v"))
     return judged.select("doc_id", *[f"v.{c}" for c in columns])
+
+
+@query
+def op13_divergence(spark, d):
+    return divergence.source_divergence(table(spark, d, "documents"))

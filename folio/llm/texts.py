@@ -40,6 +40,14 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(real)), kept[offsets]
 
 
+def translated(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """Texts (large strings, no nulls) with each byte replaced by its entry in ``table``."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(table[body]))
+
+
 def distinct(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """For every word its place among the distinct words; the distinct words."""
     coded = words.dictionary_encode()
