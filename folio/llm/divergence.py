@@ -279,7 +279,6 @@ def recount(docs: DataFrame, shards: DataFrame, chosen: list[int], n_shards: int
     for row in range(rows.num_rows):
         terms = rows["terms"].slice(row, 1).combine_chunks().flatten().cast(pa.large_string())
         held[rows["shard"][row].as_py()] = Shard(rows["langs"][row].as_py(), rows["widths"][row].as_py(), terms)
-    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[tuple[str, str, int], np.ndarray] = {}
@@ -299,7 +298,7 @@ def recount(docs: DataFrame, shards: DataFrame, chosen: list[int], n_shards: int
         n_cells = 0
         for batch in batches:
             for lang, rows in _by_lang(batch):
-                if not any(lang in s.widths for s in shared.value.values()):
+                if not any(lang in s.widths for s in held.values()):
                     continue
                 sources = batch.column("source").take(pa.array(rows)).dictionary_encode()
                 names, of_row, at = sources.dictionary.to_pylist(), np.asarray(sources.indices, np.int64), 0
@@ -312,7 +311,7 @@ def recount(docs: DataFrame, shards: DataFrame, chosen: list[int], n_shards: int
                         continue
                     hashes = key_hashes(lang, values)
                     of_shard = hashes.view(np.int64) % n_shards
-                    for number, shard in shared.value.items():
+                    for number, shard in held.items():
                         mine = np.flatnonzero(of_shard == number)
                         place = np.full(len(values), -1, np.int64)
                         place[mine] = shard.places(lang, values.take(pa.array(mine)), hashes[mine])

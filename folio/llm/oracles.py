@@ -172,3 +172,46 @@ WITH docs AS (
 )
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+# crc32 of an id and a run, byte by byte through its table; runs that lose a code point;
+# words one edit apart meet at what is left when a code point is taken out; forms of forms.
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t
+  FROM range(256) AS r(k)
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), of_document AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, run, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc || ':' || run, ''),
+           lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM of_document, crc_table
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), shorter AS (
+  SELECT word, n, k, left(word, k::INT) || substr(word, k::INT + 2) AS less
+  FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.less = b.less AND a.k = b.k AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.less = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.less = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), paths AS (
+  SELECT word, word AS at, form AS next, 0 AS steps FROM judged
+  UNION ALL
+  SELECT p.word, j.word, j.form, steps + 1 FROM paths p JOIN judged j ON p.next = j.word
+)
+SELECT j.word, j.form, p.at AS root, j.n, j.n_near::BIGINT AS n_near, j.form_n FROM judged j JOIN paths p ON p.word = j.word AND p.next IS NULL
+"""

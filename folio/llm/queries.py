@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import decontaminate, divergence, jaccard, language, line_dedup, packing, pii, quality, sharding, token_files, toxicity
+from folio.llm import decontaminate, divergence, jaccard, language, line_dedup, lm, packing, pii, quality, sharding, token_files, toxicity, variants
 from folio.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,7 @@ def op6_line_dedup_every_place(spark, d):
     return _line_dedup(spark, d, True)
 
 
+LM_END = 50_256  # the vocabulary's own end of text
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
 
@@ -161,6 +162,20 @@ def op10_quality(spark, d):
     return judged.select("doc_id", *[f"v.{c}" for c in columns])
 
 
+@query
+def op11_lm_scores(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = lm.fit_lm(docs.filter(_remainder(7) != 2), tokenizer_path(), LM_END)
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False)).alias("held_out")
+    scored = lm.score_texts(docs, model)
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op12_spelling_variants(spark, d):
+    return variants.spelling_variants(table(spark, d, "documents"))
+
+
 @query
 def op13_divergence(spark, d):
     return divergence.source_divergence(table(spark, d, "documents"))
