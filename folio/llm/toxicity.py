@@ -1,27 +1,36 @@
 """Toxicity of texts from their maximum-scoring passages.
 
-Each word (lower case, edge punctuation off) has a log-odds score between toxic and clean
-texts, smoothed by a Dirichlet prior that leaves a word seen on neither side at zero; words that
-are not surely toxic, clean ones included, score one small negative drift. One linear scan finds every
-maximal segment: a passage whose score can't be raised by making it longer or shorter.
-For scores that are log-odds, the best segment of a clean text of n words follows an
-extreme-value law; its scale is the root of a moment equation and its constant is fitted
-on clean training texts. It turns a segment's score into the number of such segments
-expected by chance, and segments under a bound are significant passages. What a text's
-significant segments add up to is calibrated to a probability by a logistic fit on
-training rows that the word scores did not see.
-
-The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, those of smallest hash, and
-holds at most ``WORDS`` words. Every row is scored in one pass without a shuffle.
+Each word (lower case, edge punctuation off) has a score: its log-odds between toxic and
+clean training texts, against those of all texts. A word's counts are smoothed by a
+Dirichlet prior of ``PRIOR`` texts around its longest prefix, that prefix's around the
+next shorter one, and so on to the share of all texts. So words that begin alike share
+their evidence, a word seen once says little, and a word never seen scores as its prefix.
+Every word costs ``DRIFT``, so that only toxic words add to a passage.
+
+One linear scan finds every maximal segment: a passage whose score can't be raised by
+making it longer or shorter. The best segment of a clean text of n words follows an
+extreme-value law; its scale is the root of a moment equation over the words of clean
+texts and its constant is fitted on their best segments. It turns a segment's score into
+the number of such segments expected by chance, and segments under a bound are
+significant passages. What a text's significant segments add up to is calibrated to a
+probability by a logistic fit. For all three fits a training text's words are scored
+without the fold of training texts that it is in.
+
+The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, those of smallest hash. Whole
+texts of these are read by the tasks; the driver gets counts of words and prefixes that
+are in ``LEAST_TEXTS`` or more of them (``FEATURES`` at most, the most frequent), and scores
+of segments. Every row is scored in one pass without a shuffle.
 
 Defined results: null and empty texts have no segments and get the score of a text
 without evidence; without training rows of both labels every score is 0; equal texts get
-equal scores; repeated label rows of a document count once (the highest label); an empty
-table gives no rows.
+equal scores; equal training texts with the same label count once; repeated label rows of
+a document count once (the highest label); an empty table gives no rows; texts of any
+length are read whole, a long one alone; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +39,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folio.llm.texts import distinct, slices, split_words
+from folio.session import write_once
 
 SAMPLE_ROWS = 8_000  # labelled texts that the model is fitted on
-WORDS = 50_000  # words with a score of their own
-PRIOR = 1.0  # occurrences of each word in the prior, shared out as the words of both sides are
-SHUFFLES = 8  # a word counts if its log-odds are surer than any word's under shuffled labels
-DRIFT = -0.05  # score of all other words
+FEATURES = 300_000  # words and prefixes with a score
+LEAST_TEXTS = 3
+PREFIXES = range(3, 9)  # code points
+WORD = "="  # before a whole word, among prefixes
+PRIOR = 5.0  # texts that the next shorter prefix stands for
+DRIFT = 1.2
+FOLDS = 4
 SIGNIFICANT = 0.05  # segments expected by chance, at most
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|-_~+=/\\@"
 TOXIC_FROM = 0.3
+BIN = 0.05  # width of a histogram's bins of word scores
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -49,36 +63,44 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return (plain_codes[codes] if len(codes) else np.empty(0, np.int64)), values, offsets
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word, from the numbers of texts on either side: log-odds, and those in standard errors."""
-    n_toxic, n_clean = toxic.sum(), clean.sum()
-    share = n_toxic / (n_toxic + n_clean)
-    a, b = toxic + PRIOR * share, clean + PRIOR * (1 - share)
-    odds = np.log(a / (n_toxic + PRIOR - a)) - np.log(b / (n_clean + PRIOR - b))
-    return odds, odds / np.sqrt(1 / a + 1 / b)
+# ---------------------------------------------------------------- scores of words
 
 
-def word_scores(texts: list[str], toxic: np.ndarray, seed: int = 3) -> tuple[dict[str, float], dict[str, float]]:
-    """Scores of the words that are surely toxic; how many clean texts have each word."""
-    codes, values, offsets = words_of(pa.array(texts, pa.large_string()))
-    # A text counts a word once, so that no text outweighs the rest.
-    of_text = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    size = max(len(values), 1)
-    pairs = np.unique(of_text * size + codes)
-    text, word = pairs // size, pairs % size
+def features(word: str) -> list[str]:
+    """A word's prefixes, shortest first, and the word."""
+    return [word[:k] for k in PREFIXES if k <= len(word)] + [WORD + word]
 
-    def sides(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        on = labels[text]
-        return np.bincount(word[on], minlength=size).astype(float), np.bincount(word[~on], minlength=size).astype(float)
 
-    rng = np.random.default_rng(seed)
-    chance = max(float(log_odds(*sides(rng.permutation(toxic)))[1].max()) for _ in range(SHUFFLES))
-    clean = sides(toxic)[1]
-    odds, sure = log_odds(sides(toxic)[0], clean)
-    names = values.to_pylist()
-    found = [k for k in np.flatnonzero(sure > chance) if names[k]]
-    kept = sorted(found, key=lambda k: (-odds[k], names[k]))[:WORDS]
-    return {names[k]: float(odds[k]) for k in kept}, dict(zip(names, clean.tolist()))
+def parent(feature: str) -> str | None:
+    """What a word or prefix is smoothed by."""
+    if feature[0] == WORD and len(feature) > 1:
+        last = min(len(feature) - 1, PREFIXES[-1])
+        return feature[1 : 1 + last] if last >= PREFIXES[0] else None
+    return feature[:-1] if len(feature) > PREFIXES[0] else None
+
+
+def smoothed_scores(names: list[str], counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Log-odds of words and prefixes from ``counts``, their numbers of clean and toxic texts."""
+    place = {f: k for k, f in enumerate(names)}
+    share = totals[1] / totals.sum()
+    smooth = np.empty(len(names))
+    # A prefix before those that it begins; a whole word after all prefixes.
+    for k in sorted(range(len(names)), key=lambda k: (names[k][0] == WORD and len(names[k]) > 1, len(names[k]))):
+        above, found = parent(names[k]), None
+        while above is not None and found is None:
+            found, above = place.get(above), parent(above)
+        prior = share if found is None else smooth[found]
+        smooth[k] = (counts[k, 1] + PRIOR * prior) / (counts[k].sum() + PRIOR)
+    return np.log(smooth / (1 - smooth)) - np.log(share / (1 - share))
+
+
+def word_score(word: str, scores: dict[str, float]) -> float:
+    """The score of the longest part of a word that has one."""
+    for feature in reversed(features(word)):
+        found = scores.get(feature)
+        if found is not None:
+            return found
+    return 0.0
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -108,11 +130,11 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), after - before) for a, b, before, after, _ in out]
 
 
-def text_segments(texts: pa.Array, scores: dict[str, float]) -> tuple[list[list[tuple[int, int, float]]], np.ndarray]:
-    """Maximal segments of each text, and its number of words."""
+def text_segments(texts: pa.Array, scores: dict[str, float]) -> tuple[list[list[tuple[int, int, float]]], np.ndarray, np.ndarray]:
+    """Maximal segments of each text, its number of words, and the scores of all words in a row."""
     codes, values, offsets = words_of(texts)
-    of_value = np.fromiter((scores.get(v, 0.0) for v in values.to_numpy(zero_copy_only=False)), float, len(values))
-    s = np.where(of_value == 0.0, DRIFT, of_value)[codes] if len(codes) else np.empty(0)
+    of_value = np.fromiter((word_score(v, scores) for v in values.to_pylist()), float, len(values)) - DRIFT
+    s = of_value[codes] if len(codes) else np.empty(0)
     positive = np.flatnonzero(s > 0)
     total = np.concatenate([[0.0], np.cumsum(s)])
     out: list[list[tuple[int, int, float]]] = []
@@ -127,7 +149,7 @@ def text_segments(texts: pa.Array, scores: dict[str, float]) -> tuple[list[list[
         steps = np.column_stack([gaps, s[at]]).ravel().tolist()
         place = np.column_stack([at, at]).ravel() - offsets[k]
         out.append([(int(place[a]), int(place[b - 1]) + 1, v) for a, b, v in maximal_segments(steps)])
-    return out, np.diff(offsets)
+    return out, np.diff(offsets), s
 
 
 def scale_of(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -152,26 +174,19 @@ def evidence(segments: list[tuple[int, int, float]], n_words: int, scale: float,
     return float(sum(strong)), len(strong)
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> dict | None:
-    """Word scores on one half of the rows, calibration on the other."""
-    half = np.arange(len(texts)) % 2 == 0
-    if not all((toxic[h] == v).any() for h in (half, ~half) for v in (False, True)):
-        return None
+def calibrate(toxic: np.ndarray, n_words: np.ndarray, segments: list[list[float]], bins: np.ndarray, times: np.ndarray) -> dict:
+    """Scale and constant of the extreme-value law, slope and intercept of the logistic fit.
 
-    first = np.flatnonzero(half)
-    scores, clean_counts = word_scores([texts[k] for k in first], toxic[first])
-    weights = np.array(list(clean_counts.values()))
-    scale = scale_of(np.array([scores.get(w, DRIFT) for w in clean_counts]), weights)
-    rest = np.flatnonzero(~half)
-    segments, n_words = text_segments(pa.array([texts[k] for k in rest], pa.large_string()), scores)
-    y = toxic[rest]
-    best = np.array([max((v for _, _, v in s), default=0.0) for s in segments])
-    clean = ~y & (n_words > 0)
-    # For the extreme-value law, exp(-scale * best) has mean 1 / (constant * n) for long texts.
+    ``bins`` and ``times`` are the scores of the words of clean texts, as a histogram.
+    """
+    scale = scale_of(bins, times) if len(bins) else 1.0
+    best = np.array([max(s, default=0.0) for s in segments])
+    clean = ~toxic & (n_words > 0)
+    # exp(-scale * best) has mean 1 / (constant * n) for long texts.
     constant = float(np.clip(1 / max(np.mean(n_words[clean] * np.exp(-scale * best[clean])), 1e-9), 1e-6, 1.0)) if clean.any() else 1.0
-    x = np.array([evidence(s, int(n), scale, constant)[0] for s, n in zip(segments, n_words)])
-    slope, intercept = logistic(np.log1p(x), y)
-    return {"scores": scores, "scale": scale, "constant": constant, "slope": slope, "intercept": intercept}
+    x = np.array([evidence([(0, 0, v) for v in s], int(n), scale, constant)[0] for s, n in zip(segments, n_words)])
+    slope, intercept = logistic(np.log1p(x), toxic)
+    return {"scale": scale, "constant": constant, "slope": slope, "intercept": intercept}
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -185,20 +200,82 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict | None:
-    """Fit on a bounded number of rows of ``labels``, whose ids are broadcast and whose whole texts are collected."""
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, cell, n): texts that have a word or prefix; a cell is a fold and a label."""
+    for batch in batches:
+        cells, at = batch.column(1).to_pylist(), 0
+        for texts in slices(batch.column(0)):
+            codes, values, offsets = words_of(texts)
+            known = [features(v) for v in values.to_pylist()]
+            counts: Counter = Counter()
+            for k in range(len(texts)):
+                mine = {f for c in set(codes[offsets[k] : offsets[k + 1]].tolist()) for f in known[c]}
+                counts.update((f, cells[at + k]) for f in mine)
+            at += len(texts)
+            names, of = list(zip(*counts)) or [(), ()] if counts else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(of, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["feature", "cell", "n"])
+
+
+def _training_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> DataFrame:
+    """(text, cell) of the labelled rows that the model is fitted on. Written once."""
     sample = (
         labels.select(F.col(id).alias("_id"), F.col(label).alias("_toxic"))
         .filter("_id IS NOT NULL AND _toxic IS NOT NULL")
         .groupBy("_id")
-        .agg(F.max("_toxic").alias("_toxic"))
+        .agg((F.max("_toxic") > 0).cast("int").alias("_toxic"))
         .orderBy(F.md5(F.col("_id").cast("string")), "_id")
         .limit(SAMPLE_ROWS)
     )
-    read = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    got = read.join(F.broadcast(sample), "_id").select(F.md5(F.col("_id").cast("string")).alias("h"), "_toxic", F.coalesce("_text", F.lit("")).alias("_text"))
-    rows = got.toPandas().sort_values(["h", "_text"]).drop_duplicates(["_text", "_toxic"])
-    return fit(rows["_text"].tolist(), rows["_toxic"].to_numpy() > 0)
+    read = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = read.join(F.broadcast(sample), "_id").select("text", "_toxic", F.md5("text").alias("_h")).dropDuplicates(["_h", "_toxic"])
+    fold = F.pmod(F.xxhash64("_h"), F.lit(FOLDS)).cast("int")
+    return write_once(rows.select("text", (2 * fold + F.col("_toxic")).cast("int").alias("cell")))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict | None:
+    """Fit on a bounded number of rows of ``labels``; None without rows of both labels."""
+    rows = _training_rows(docs, labels, id, text, label)
+    totals = np.zeros((FOLDS, 2))
+    for row in rows.groupBy("cell").count().collect():
+        totals[row["cell"] // 2, row["cell"] % 2] = row["count"]
+    if not totals.sum(axis=0).all():
+        return None
+    cells = [F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(2 * FOLDS)]
+    counted = rows.mapInArrow(_count_features, "feature string, cell int, n long").groupBy("feature").agg(F.sum("n").alias("n"), *cells)
+    held = counted.filter(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "feature").limit(FEATURES).toArrow()
+    names = held["feature"].to_pylist()
+    counts = np.column_stack([np.asarray(held[f"c{k}"], float) for k in range(2 * FOLDS)]).reshape(-1, FOLDS, 2)
+
+    def table(kept: np.ndarray) -> dict[str, float]:
+        if not totals[kept].sum(axis=0).all():
+            kept = np.ones(FOLDS, bool)
+        return dict(zip(names, smoothed_scores(names, counts[:, kept].sum(axis=1), totals[kept].sum(axis=0)).tolist()))
+
+    without = [table(np.arange(FOLDS) != f) for f in range(FOLDS)]
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts (toxic, words, segments) and of the histogram (bin, times)."""
+        for batch in batches:
+            of = np.asarray(batch.column(1))
+            for cell in np.unique(of):
+                for texts in slices(batch.column(0).filter(pa.array(of == cell))):
+                    found, n_words, scores = text_segments(texts, without[cell // 2])
+                    bins, times = np.unique(np.round(scores / BIN).astype(np.int64), return_counts=True) if cell % 2 == 0 else ([], [])
+                    n, m = len(texts), len(bins)
+                    columns = [
+                        pa.array([bool(cell % 2)] * n + [None] * m, pa.bool_()),
+                        pa.array([*n_words.tolist(), *[None] * m], pa.int64()),
+                        pa.array([[v for _, _, v in s] for s in found] + [None] * m, pa.list_(pa.float64())),
+                        pa.array([None] * n + [int(b) for b in bins], pa.int64()),
+                        pa.array([None] * n + [int(t) for t in times], pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["toxic", "words", "segments", "bin", "times"])
+
+    judged = write_once(rows.mapInArrow(cross, "toxic boolean, words long, segments array<double>, bin long, times long"))
+    hist = judged.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("times").alias("times")).toArrow()
+    fitted = judged.filter("toxic IS NOT NULL").select("toxic", "words", "segments").toArrow()  # a row for each training text
+    model = calibrate(np.asarray(fitted["toxic"], bool), np.asarray(fitted["words"]), fitted["segments"].to_pylist(), np.asarray(hist["bin"]) * BIN, np.asarray(hist["times"], float))
+    return model | {"scores": table(np.ones(FOLDS, bool))}
 
 
 def toxicity(text: Column, model: dict | None) -> Column:
@@ -213,7 +290,7 @@ def toxicity(text: Column, model: dict | None) -> Column:
                     scores += [0.0] * len(texts)
                     passages += [[]] * len(texts)
                     continue
-                for found, n in zip(*text_segments(texts, model["scores"])):
+                for found, n in zip(*text_segments(texts, model["scores"])[:2]):
                     x, _ = evidence(found, int(n), model["scale"], model["constant"])
                     z = model["slope"] * np.log1p(x) + model["intercept"]
                     scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
