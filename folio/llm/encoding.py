@@ -36,9 +36,10 @@ _BESIDE_SPACE = f" [{_SPACE}]|[{_SPACE}] "
 
 
 class Encoder:
-    """Made inside a task. ``path`` names the tokenizer's file on every machine."""
+    """Made inside a task. ``path`` names the tokenizer's file on every machine; ``kept`` parts are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = PARTS_KEPT):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,7 +99,7 @@ class Encoder:
         if not self.byte_level:
             ids, lengths = self._whole(texts.to_pylist())
             return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
-        if len(self.place) > PARTS_KEPT:
+        if len(self.place) > self.kept:
             self._forget()
         odd = np.asarray(pc.match_substring_regex(texts, _BESIDE_SPACE))
         for content in self.special:
