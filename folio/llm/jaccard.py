@@ -27,10 +27,10 @@ third of all documents, are never shuffled: their groups are known from the coun
 table of bounded size.
 
 The pairs left over and the groups are compared by exact overlaps. A group's sets are
-split into blocks of at most ``BLOCK_MEMBERS`` members, and every pair of blocks is one
-piece of work. In it, the inverted lists of the sets are scanned, until no two classes
-that are apart are untested, and a spanning forest of the links is put out: as many rows
-as classes, not as pairs.
+split into blocks of about ``BLOCK_MEMBERS`` members, and every pair of blocks is one
+piece of work. In it, sets meet in lists of their rarest members and are compared, until
+no two classes that are apart are untested, and a spanning forest of the links is put
+out: as many rows as classes, not as pairs.
 
 Connected components of the forest's edges give the groups of near duplicates.
 
@@ -53,18 +53,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folio.llm.components import components
-from folio.llm.texts import mixed, slices, window_hashes, word_hashes
+from folio.llm.texts import mixed, release, slices, window_hashes, word_hashes
 from folio.session import write_once
 
 SHINGLE = 5
 PERCENT = 75
 FREQUENT = 1_000_000  # members, at most, that come last in the order; the table of them is sent to every task
 SEEN = 2  # times in a chunk from which a member is counted
-CHUNK_MEMBERS = 3_000_000
+CHUNK_MEMBERS = 500_000
 SHORT_LIST = 32  # classes in a list that gives pairs
 SMALL = 12  # sizes that may be light
 SCAN_COST = 8.0  # rows that one list entry is worth
-BLOCK_MEMBERS = 2_000_000
+BLOCK_MEMBERS = 500_000
+COMPARED = 500_000  # members of sets that are compared with one at a time
 
 
 # ---------------------------------------------------------------- sets
@@ -155,8 +156,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = np.concatenate([m for m, _, _ in chunk])
         shorts = np.concatenate([np.repeat(s, n) for _, s, n in chunk])
         chunk.clear()
-        order = np.argsort(members)
+        order = np.argsort(members).astype(np.int32)
         members, shorts = members[order], shorts[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], members[1:] != members[:-1]]))
         counts = np.diff(np.append(starts, len(members)))
         least = np.minimum.reduceat(shorts, starts)
@@ -193,6 +195,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, seen = 0, set()
     if held:
         yield often()
+    chunk, seen = [], set()
+    release()
 
 
 _MEASURED = ["doc_id", "digest", "n_shingles", "key", "member", "often", "class"]
@@ -304,6 +308,8 @@ def memberships(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
                     seen.clear()
                 lists, classes, sizes = entries(texts, shared.value, boundary, seen)
                 yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(classes), pa.array(sizes, pa.int64())], names=["list", "class", "n"])
+        del seen
+        release()
 
     entered = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(enter, "list long, class long, n long")
     dealt = entered.repartition("list").sortWithinPartitions("list", "class", "n")
@@ -337,6 +343,7 @@ def memberships(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
                 held = (lists[last:], classes[last:], sizes[last:])
             yield put(rows + meetings(lists[:last], classes[:last], sizes[:last], started if last else None))
         yield put(meetings(*held, group if len(held[0]) and held[0][0] == long_list else None))
+        release()
 
     met = dealt.mapInArrow(meet, ", ".join(f"{c} long" for c in _MET)).groupBy(*_MET).agg(F.count("*").alias("_lists"))
     larger, smaller = F.greatest("n_class", "n_other"), F.least("n_class", "n_other")
@@ -356,60 +363,93 @@ def memberships(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarr
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets.
 
-    Sets are tested against all others by scanning the lists of their members, those
-    with the longest lists first. Sets of the largest tree so far are put off. Another
-    tree may outgrow it, so those outside the tree that is largest at the end of the first
-    round are tested then; the others lie in that tree, which only grows.
+    Sets that link share one of their first members in the order of this group, rarest
+    first, so only those are in lists, and only sets that meet there are compared, by
+    their whole overlap. A set is compared with those outside its tree; of two trees that
+    meet the smaller one is relabelled. Sets of the largest tree so far are put off.
+    Another tree may outgrow it, so those outside the tree that is largest at the end of
+    the first round are tested then; the others lie in that tree, which only grows.
     """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), sizes)
-    members = np.concatenate(sets)
-    order = np.argsort(members, kind="stable")
-    members, owner = members[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], members[1:] != members[:-1]]))
-    lengths = np.diff(np.append(starts, len(members)))
-    # The lists of each set, without those it has alone.
-    of_list = np.repeat(np.arange(len(starts)), lengths)
-    shared = lengths[of_list] > 1
-    by_set = np.argsort(owner[shared], kind="stable")
-    set_lists = of_list[shared][by_set]
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[shared], minlength=n))])
-    reach = np.bincount(owner[shared], lengths[of_list[shared]].astype(float), minlength=n)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    ends = np.cumsum(sizes)
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    members = rank[codes]  # of all sets in a row, as ranks
+    by_rank = np.sort(counts)
+    del codes, counts
+    for a, b in zip(ends - sizes, ends):
+        members[a:b].sort()
+    place = np.arange(len(members)) - np.repeat(ends - sizes, sizes)
+    entered = (place < np.repeat(prefix_length(sizes), sizes)) & (by_rank[members] > 1)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[entered]
+    listed = members[entered]
+    bounds = np.searchsorted(owner, np.arange(n + 1))  # entries of each set
+    order = np.argsort(listed, kind="stable")
+    postings = owner[order]
+    starts = np.flatnonzero(np.diff(listed[order], prepend=-1))
+    lengths = np.diff(np.append(starts, len(postings)))
+    of_list = np.empty(len(listed), np.int32)
+    of_list[order] = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
+    del place, entered, owner, listed, order
 
     tree = np.arange(n)
-    in_tree = np.ones(n, np.int64)
+    inside: dict[int, list[int]] = {}  # sets of each tree of more than one
+    largest, most = -1, 1
     edges: list[tuple[int, int]] = []
-    put_off: list[int] = []
+    marked = np.zeros(len(by_rank), bool)
+
+    def join(k: int, j: int) -> None:
+        nonlocal largest, most
+        a, b = int(tree[k]), int(tree[j])
+        if len(inside.get(a, (a,))) < len(inside.get(b, (b,))):
+            a, b = b, a
+        moved = inside.pop(b, [b])
+        tree[moved] = a
+        whole = inside.setdefault(a, [a])
+        whole += moved
+        if len(whole) > most:
+            largest, most = a, len(whole)
+        edges.append((int(k), int(j)))
 
     def test(k: int) -> None:
-        mine = set_lists[bounds[k] : bounds[k + 1]]
-        if not len(mine):
+        lists = of_list[bounds[k] : bounds[k + 1]]
+        if not len(lists):
             return
-        run = lengths[mine]
+        run = lengths[lists]
         total = np.cumsum(run)
-        at = np.repeat(starts[mine] - (total - run), run) + np.arange(total[-1])
-        common = np.bincount(owner[at], minlength=n)
-        linked = 100 * common >= PERCENT * (sizes[k] + sizes - common)
-        for j in np.flatnonzero(linked & (tree != tree[k])):
-            a, b = tree[k], tree[j]
-            if a == b:
+        near = np.zeros(n, bool)
+        near[postings[np.repeat(starts[lists] - (total - run), run) + np.arange(total[-1])]] = True
+        near &= (tree != tree[k]) & (100 * np.minimum(sizes, sizes[k]) >= PERCENT * np.maximum(sizes, sizes[k]))
+        found = np.flatnonzero(near)
+        if not len(found):
+            return
+        mine = members[ends[k] - sizes[k] : ends[k]]
+        marked[mine] = True
+        # As many at a time as make a bounded number of members.
+        parts = np.split(found, np.flatnonzero(np.diff(np.cumsum(sizes[found]) // COMPARED)) + 1)
+        for some in parts:
+            some = some[tree[some] != tree[k]]
+            if not len(some):
                 continue
-            if in_tree[a] < in_tree[b]:
-                a, b = b, a
-            tree[tree == b] = a
-            in_tree[a] += in_tree[b]
-            in_tree[b] = 0
-            edges.append((int(k), int(j)))
-
+            m = sizes[some]
+            at = np.repeat(ends[some] - np.cumsum(m), m) + np.arange(int(m.sum()))
+            common = np.add.reduceat(marked[members[at]].astype(np.int64), np.cumsum(m) - m)
+            for j in some[100 * common >= PERCENT * (sizes[k] + m - common)]:
+                if tree[j] != tree[k]:
+                    join(k, j)
+        marked[mine] = False
+
+    reach = np.bincount(np.repeat(np.arange(n), np.diff(bounds)), lengths[of_list].astype(float), minlength=n)
+    put_off = []
     for k in np.argsort(-reach, kind="stable"):
-        if in_tree[tree[k]] > 1 and tree[k] == int(np.argmax(in_tree)):
+        if tree[k] == largest:
             put_off.append(k)
         else:
             test(k)
-    inside = int(np.argmax(tree == np.argmax(in_tree)))  # a set of the tree, whatever its label will be
     for k in put_off:
-        if tree[k] != tree[inside]:
+        if tree[k] != largest:
             test(k)
     return edges
 
@@ -452,6 +492,8 @@ def links(docs: DataFrame, classes: DataFrame, met: DataFrame, id: str, text: st
                     sets[set_key(mine)] = mine.copy()
                 at += len(texts)
         yield from found()
+        sets = {}
+        release()
 
     return dealt.mapInArrow(compare, "a binary, b binary")
 
