@@ -65,6 +65,7 @@ SHORT_LIST = 32  # classes in a list that gives pairs
 SMALL = 12  # sizes that may be light
 SCAN_COST = 8.0  # rows that one list entry is worth
 BLOCK_MEMBERS = 500_000
+BIT_WORDS = 2_000_000  # 64-bit words of members' bits in a piece of work
 COMPARED = 500_000  # members of sets that are compared with one at a time
 
 
@@ -392,7 +393,17 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     lengths = np.diff(np.append(starts, len(postings)))
     of_list = np.empty(len(listed), np.int32)
     of_list[order] = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
-    del place, entered, owner, listed, order
+    del place, entered, listed, order
+
+    # Bits of the most frequent members bound the overlap of two sets from above.
+    n_bits = min(int((by_rank > 1).sum()), 16 * len(members) // n + 64, 64 * (BIT_WORDS // n + 1))
+    bits = np.zeros((n, -(-n_bits // 64)), np.uint64)
+    bit = len(by_rank) - 1 - members
+    frequent = bit < n_bits
+    owner = np.repeat(np.arange(n), sizes)
+    np.bitwise_or.at(bits, (owner[frequent], bit[frequent] >> 6), np.uint64(1) << (bit[frequent] & 63).astype(np.uint64))
+    others = np.bincount(owner[~frequent & (by_rank[members] > 1)], minlength=n)
+    del bit, frequent, owner
 
     tree = np.arange(n)
     inside: dict[int, list[int]] = {}  # sets of each tree of more than one
@@ -423,6 +434,8 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         near[postings[np.repeat(starts[lists] - (total - run), run) + np.arange(total[-1])]] = True
         near &= (tree != tree[k]) & (100 * np.minimum(sizes, sizes[k]) >= PERCENT * np.maximum(sizes, sizes[k]))
         found = np.flatnonzero(near)
+        at_most = np.bitwise_count(bits[found] & bits[k]).sum(axis=1, dtype=np.int64) + np.minimum(others[found], others[k])
+        found = found[100 * at_most >= PERCENT * (sizes[found] + sizes[k] - at_most)]
         if not len(found):
             return
         mine = members[ends[k] - sizes[k] : ends[k]]
