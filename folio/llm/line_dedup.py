@@ -13,11 +13,11 @@ between their lines. Along a diagonal both documents are compared line by line,
 extends the match both ways, and every run of equal lines of ``GRAM_WORDS`` words or
 more is a repeat: its lines in the later place are deleted.
 
-A gram's first place need not be where the whole run occurs earlier. With
-``every_place`` whole stretches are hashed as well, those from each line on and those up
-to each line, and the lines of every stretch whose hash has an earlier place are deleted.
-Each line of a repeated run of ``RUN_WORDS`` words lies in such a stretch: the guarantee.
-Only documents that have a diagonal are hashed. If neither place of a stretch is the first
+A gram's first place need not be where the whole run occurs earlier. So whole stretches
+are hashed as well, those from each line on and those up to each line, and the lines of
+every stretch whose hash has an earlier place are deleted. Each line of a repeated run of
+``RUN_WORDS`` words lies in such a stretch: the guarantee, at whatever place it occurs
+earlier. Only documents that have a diagonal are hashed. If neither place of a stretch is the first
 of its gram, both documents have one; otherwise the diagonal itself covers the stretch.
 
 Only hashes, places and weights are shuffled, a few dozen bytes per line, and text once,
@@ -37,26 +37,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.session import write_once
 
-RUN_WORDS = 50  # with every_place, a repeated run of so many words is always found
+RUN_WORDS = 50  # a repeated run of so many words is always found
 GRAM_WORDS = 25  # words that a run must have to be deleted
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def line_hash(line: Column) -> Column:
-    """Half of an md5 in hex, so that other engines can compute it too."""
-    return F.substring(F.md5(line), 1, 16)
+def text_hash(text: Column) -> Column:
+    """The first 60 bits of an md5, a hash that other engines can compute too."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def document_key(id: str, body: Column) -> Column:
+    """Orders and names documents: by id, and rows that share it by their text's hash."""
+    return F.struct(F.col(id).alias("id"), text_hash(body).alias("digest"))
+
+
+def joined_hash(hashes: Column) -> Column:
+    return text_hash(F.concat_ws(",", F.transform(hashes, lambda h: h.cast("string"))))
 
 
 def document_lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(doc, pos, line_no, h, words): lines that are not blank; ``doc`` orders and names documents."""
     body = F.col(text).cast("string")
-    doc = F.struct(F.col(id).alias("id"), F.md5(body).alias("digest")).alias("doc")
-    lines = docs.select(doc, F.posexplode(F.split(body, "\n")).alias("line_no", "_line"))
+    doc = document_key(id, body)
+    lines = docs.select(doc.alias("doc"), F.posexplode(F.split(body, "\n")).alias("line_no", "_line"))
     trimmed = lines.select("doc", "line_no", F.btrim("_line", F.lit(SPACE)).alias("_line")).filter("_line <> ''")
     measured = trimmed.select(
         "doc",
         "line_no",
-        line_hash(F.col("_line")).alias("h"),
+        text_hash(F.col("_line")).alias("h"),
         F.size(F.split("_line", "[ \t\n\x0b\x0c\r]+")).alias("words"),
     )
     # Rows equal in id and text are one document.
@@ -70,7 +79,7 @@ def selected_grams(lines: DataFrame, run_words: int = RUN_WORDS, gram_words: int
     stretch = by_words.rangeBetween(0, run_words - 1)
     ends = F.col("before") + F.col("words")
     grams = lines.withColumn("_end", F.max(ends).over(gram)).withColumn(
-        "_gram", F.when(F.col("_end") - F.col("before") >= gram_words, F.md5(F.concat_ws(",", F.collect_list("h").over(gram))))
+        "_gram", F.when(F.col("_end") - F.col("before") >= gram_words, joined_hash(F.collect_list("h").over(gram)))
     )
     found = grams.select(
         "doc",
@@ -111,7 +120,7 @@ def repeated_stretches(lines: DataFrame, found: DataFrame, run_words: int = RUN_
 
     def stretch(over: Window) -> Column:
         whole = F.max("end").over(over) - F.min("before").over(over) >= run_words
-        hashed = F.unhex(F.md5(F.concat_ws(",", F.collect_list("h").over(over))))
+        hashed = joined_hash(F.collect_list("h").over(over))
         return F.when(whole, F.struct(hashed.alias("stretch"), F.min("pos").over(over).alias("pos"), F.max("pos").over(over).alias("until")))
 
     both = inside.select("doc", F.array(stretch(after), stretch(upto)).alias("_both"))
@@ -129,7 +138,7 @@ def repeated_stretches(lines: DataFrame, found: DataFrame, run_words: int = RUN_
 
 
 def find_repeats(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS, every_place: bool = False
+    docs: DataFrame, id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS
 ) -> DataFrame:
     """(doc, lines): line numbers to delete, ascending, of each document that has any."""
     along = Window.partitionBy("doc").orderBy("line_no")
@@ -145,9 +154,7 @@ def find_repeats(
         )
     )
     found = write_once(diagonals(write_once(selected_grams(lines, run_words, gram_words))))
-    gone = repeated_lines(lines, found, gram_words)
-    if every_place:
-        gone = gone.unionByName(repeated_stretches(lines, found, run_words))
+    gone = repeated_lines(lines, found, gram_words).unionByName(repeated_stretches(lines, found, run_words))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
 
 
@@ -158,17 +165,16 @@ def delete_repeats(
     run_words: int = RUN_WORDS,
     gram_words: int = GRAM_WORDS,
     deleted: str = "deleted_lines",
-    every_place: bool = False,
 ) -> DataFrame:
-    """``docs`` with the repeated lines cut from ``text``; their numbers in a new array column.
-    With ``every_place``, all lines of every run of ``run_words`` words that occurs earlier."""
+    """``docs`` with the repeated lines cut from ``text``, all lines of every run of ``run_words``
+    words that occurs earlier among them; their numbers in a new array column."""
     if deleted in docs.columns:
         raise ValueError(f"docs already has a column {deleted}; choose another name")
-    gone = find_repeats(docs, id, text, run_words, gram_words, every_place)
+    gone = find_repeats(docs, id, text, run_words, gram_words)
     key, body = "_doc", F.col(text).cast("string")
     while any(f"{key}{end}" in docs.columns for end in ("", "of", "lines", "gone")):
         key += "_"
-    doc = F.struct(F.col(id).alias("id"), F.md5(body).alias("digest"))
+    doc = document_key(id, body)
     keyed = docs.withColumn(key, doc).withColumn(f"{key}lines", F.split(body, "\n")).drop(text)
     gone = gone.select(F.col("doc").alias(f"{key}of"), F.col("lines").alias(f"{key}gone"))
     joined = keyed.join(gone, F.col(key).eqNullSafe(F.col(f"{key}of")), "left")

@@ -36,26 +36,28 @@ FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 # Lines weigh words; grams of 25 words; the least gram of each stretch of 50 words; first
-# places; diagonals; runs of equal lines along them.
+# places; diagonals; runs of equal lines along them; and all stretches that occur earlier.
 ORACLES["op6_line_dedup"] = r"""
 WITH body AS (
-  SELECT doc_id, md5(text) AS digest, string_split(text, chr(10)) AS parts FROM documents
+  SELECT doc_id, ('0x' || md5(text)[1:15])::BIGINT AS digest, string_split(text, chr(10)) AS parts FROM documents
 ), cut AS (
   SELECT DISTINCT doc_id, digest, line_no,
          trim(parts[line_no + 1], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
   FROM (SELECT *, unnest(range(len(parts))) AS line_no FROM body)
 ), measured AS (
-  SELECT doc_id, digest, line_no, md5(line)[1:16] AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  SELECT doc_id, digest, line_no, ('0x' || md5(line)[1:15])::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
   FROM cut WHERE line <> ''
 ), lines AS (
-  SELECT *, row_number() OVER w - 1 AS pos, sum(words) OVER w - words AS before
+  SELECT *, row_number() OVER w - 1 AS pos, sum(words) OVER w - words AS before, sum(words) OVER w AS after
   FROM measured WINDOW w AS (PARTITION BY doc_id, digest ORDER BY line_no)
 ), framed AS (
-  SELECT *, max(before + words) OVER g AS gram_end, max(before + words) OVER s AS stretch_end, list(h) OVER g AS hs
+  SELECT *, max(after) OVER g AS gram_end, max(after) OVER s AS stretch_end, max(pos) OVER s AS until, list(h) OVER g AS hs, list(h) OVER s AS following,
+         min(before) OVER u AS stretch_start, min(pos) OVER u AS since, list(h) OVER u AS preceding
   FROM lines WINDOW g AS (PARTITION BY doc_id, digest ORDER BY before RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING),
-                    s AS (PARTITION BY doc_id, digest ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+                    s AS (PARTITION BY doc_id, digest ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+                    u AS (PARTITION BY doc_id, digest ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
 ), grams AS (
-  SELECT doc_id, digest, pos, before, gram_end, md5(array_to_string(hs, ',')) AS gram FROM framed WHERE gram_end - before >= 25
+  SELECT doc_id, digest, pos, before, gram_end, ('0x' || md5(array_to_string(hs, ','))[1:15])::BIGINT AS gram FROM framed WHERE gram_end - before >= 25
 ), selected AS (
   SELECT DISTINCT s.doc_id, s.digest, g.pos, g.gram
   FROM framed s JOIN grams g
@@ -73,10 +75,19 @@ WITH body AS (
          a.pos - row_number() OVER (PARTITION BY d.doc_id, d.digest, d.doc0, d.digest0, d.shift ORDER BY a.pos) AS run
   FROM diagonals d JOIN lines a ON a.doc_id = d.doc_id AND a.digest = d.digest
   JOIN lines b ON b.doc_id = d.doc0 AND b.digest = d.digest0 AND b.pos = a.pos + d.shift AND b.h = a.h
+), stretches AS (
+  SELECT doc_id, digest, pos, until, array_to_string(following, ',') AS stretch FROM framed WHERE stretch_end - before >= 50
+  UNION
+  SELECT doc_id, digest, since, pos, array_to_string(preceding, ',') FROM framed WHERE after - stretch_start >= 50
+), again AS (
+  SELECT doc_id, digest, pos, until FROM stretches
+  QUALIFY (doc_id, digest, pos) > min((doc_id, digest, pos)) OVER (PARTITION BY stretch)
 ), gone AS (
   SELECT DISTINCT doc_id, digest, line_no FROM (
     SELECT *, sum(words) OVER (PARTITION BY doc_id, digest, doc0, digest0, shift, run) AS weight FROM equal)
   WHERE weight >= 25
+  UNION
+  SELECT l.doc_id, l.digest, l.line_no FROM again a JOIN lines l ON l.doc_id = a.doc_id AND l.digest = a.digest AND l.pos BETWEEN a.pos AND a.until
 ), listed AS (
   SELECT doc_id, digest, list(line_no ORDER BY line_no) AS lines FROM gone GROUP BY doc_id, digest
 )

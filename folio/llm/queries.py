@@ -96,13 +96,13 @@ def op5_jaccard_join(spark, d):
     return jaccard.near_groups(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def _line_dedup(spark, d, every_place):
+@query
+def op6_line_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     lines = F.size(F.split("text", "\n")).cast("long")
     counted = docs.withColumn("n_lines", F.coalesce(F.when(lines >= 0, lines), F.lit(0)))
-    done = line_dedup.delete_repeats(counted, every_place=every_place)
     deleted = F.col("deleted_lines")
-    return done.select(
+    return line_dedup.delete_repeats(counted).select(
         "doc_id",
         "n_lines",
         F.size(deleted).cast("long").alias("n_deleted"),
@@ -111,18 +111,6 @@ def _line_dedup(spark, d, every_place):
     )
 
 
-@query
-def op6_line_dedup(spark, d):
-    """As its SQL has it: the first place of each gram only."""
-    return _line_dedup(spark, d, False)
-
-
-@query
-def op6_line_dedup_every_place(spark, d):
-    """Every run that occurs earlier anywhere; no SQL."""
-    return _line_dedup(spark, d, True)
-
-
 LM_END = 50_256  # the vocabulary's own end of text
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
