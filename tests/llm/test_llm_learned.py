@@ -38,10 +38,12 @@ def test_segments_of_texts_are_those_of_their_words():
     random.seed(6)
     scores = {"bad": 3.0, "vile": 2.0, "so": -1.0}
     texts = [" ".join(random.choice(["Bad!", "vile", "so", "word", "(bad)"]) for _ in range(random.randint(0, 30))) for _ in range(200)] + [""]
-    got, n_words = toxicity.text_segments(pa.array(texts, pa.large_string()), scores)
+    scores = {f"={w}": v for w, v in scores.items()}
+    got, n_words, of_words = toxicity.text_segments(pa.array(texts, pa.large_string()), scores)
+    assert len(of_words) == n_words.sum()
     for text, found, n in zip(texts, got, n_words):
         words = [w.lower().strip("!()") for w in text.split()]
-        want = brute_segments([scores.get(w, toxicity.DRIFT) for w in words])
+        want = brute_segments([scores.get(f"={w}", 0.0) - toxicity.DRIFT for w in words])
         assert n == len(words) and len(found) == len(want)
         assert np.allclose([f[2] for f in found], [w[2] for w in want])
 
@@ -73,10 +75,49 @@ def test_toxic_words_are_learned(spark):
     assert frame.limit(0).withColumn("t", toxicity.toxicity(F.col("text"), model)).count() == 0
 
 
-def test_toxic_words_late_in_a_training_text_are_learned():
-    toxic = np.arange(200) % 4 < 2
-    texts = ["corn water " * 2_000 + ("scum" if t else "house") for t in toxic]
-    assert "scum" in toxicity.fit(texts, toxic)["scores"]
+def test_toxic_words_late_in_a_training_text_are_learned(spark):
+    rows = [(k, f"corn{k} " + "corn water " * 2_000 + ("scum" if k % 4 < 2 else "house"), int(k % 4 < 2)) for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(frame, frame)
+    assert model["scores"]["=scum"] > toxicity.DRIFT > 0 > model["scores"]["=house"]
+
+
+def test_smoothed_scores_follow_the_chain_of_prefixes():
+    counts = {"abc": (5, 3), "abcd": (1, 3), "=abcd": (0, 3), "=ab": (9, 0), "=abcdefghij": (0, 1)}
+    names = list(counts)
+    got = dict(zip(names, toxicity.smoothed_scores(names, np.array([counts[f] for f in names], float), np.array([80.0, 20.0]))))
+    logit = lambda p: np.log(p / (1 - p))
+    m = toxicity.PRIOR
+    abc = (3 + m * 0.2) / (8 + m)
+    abcd = (3 + m * abc) / (4 + m)
+    want = {"abc": abc, "abcd": abcd, "=abcd": (3 + m * abcd) / (3 + m), "=ab": m * 0.2 / (9 + m), "=abcdefghij": (1 + m * abcd) / (1 + m)}
+    for f in names:
+        assert np.isclose(got[f], logit(want[f]) - logit(0.2))
+    assert toxicity.word_score("abcx", got) == got["abc"] and toxicity.word_score("ab", got) == got["=ab"]
+    assert toxicity.word_score("xyz", got) == 0.0 and toxicity.word_score("", got) == 0.0 and toxicity.word_score("=", got) == 0.0
+
+
+def test_scale_is_the_root_of_the_moment_equation_and_calibration_is_plain():
+    bins, times = np.array([-1.0, 0.5, 2.0]), np.array([80.0, 15.0, 5.0])
+    root = toxicity.scale_of(bins, times)
+    assert np.isclose((times * np.exp(root * bins)).sum() / times.sum(), 1)
+    toxic = np.arange(400) % 5 == 0
+    segments = [[9.0, 2.0] if t else [1.0] for t in toxic]
+    model = toxicity.calibrate(toxic, np.full(400, 50), segments, bins, times)
+    expected = 1 / (50 * np.exp(-root * 1.0))
+    assert np.isclose(model["constant"], np.clip(expected, 1e-6, 1))
+    assert model["slope"] > 0 and model["intercept"] < 0
+
+
+def test_toxic_share_on_held_out_rows(spark):
+    d = SF_DIR
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit_toxicity(docs, labels.filter(~held))
+    judged = docs.join(labels.filter(held), "doc_id").select("toxic", toxicity.toxicity(F.col("text"), model)["score"].alias("p")).collect()
+    caught = [r["p"] >= toxicity.TOXIC_FROM for r in judged if r["toxic"]]
+    marked = [r["p"] >= toxicity.TOXIC_FROM for r in judged if not r["toxic"]]
+    assert np.mean(caught) >= 0.6 and np.mean(marked) <= 0.05  # 400 labelled rows; more in larger tables
 
 
 def test_subwords_of_a_word_do_not_depend_on_its_neighbours():
