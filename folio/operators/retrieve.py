@@ -23,7 +23,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folio.constants import RETRIEVAL_K
-from folio.operators.skew import lookup
 from folio.plugins import Embed
 from folio.session import write_once
 
@@ -270,40 +269,86 @@ def _idf(n: int, df: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A base prepared for text retrieval; serves any number of query batches."""
+    """A base prepared for text retrieval; serves any number of query batches.
 
-    rows: DataFrame  # id, tokens array<string>, tfs array<int>, norm
+    A row's length in the vector space needs the document frequency of each of its
+    tokens. Those of the most frequent tokens go to the tasks, which work the length out
+    while they read the row; ``rest`` is what the other tokens add to its square.
+    """
+
+    rows: DataFrame  # id, tokens array<string>, tfs array<int>, rest double
     vocabulary: DataFrame  # token, df
     n: int
     analyzer: str
+    hot: pa.Table  # token, df: at most HOT_TOKENS
+
+
+def hot_tokens(vocabulary: DataFrame) -> tuple[DataFrame, pa.Table]:
+    """The tokens of largest document frequency, as many as ``HOT_TOKENS`` allows; and the others."""
+    # Bands of an eighth of a power of two: their number does not grow with the base.
+    band = F.floor(F.log2(F.col("df").cast("double")) * 8)
+    least, total = None, 0
+    for row in vocabulary.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        total += row["count"]
+        if total > HOT_TOKENS:
+            break
+        least = row["band"]
+    is_hot = F.lit(False) if least is None else band >= least
+    return vocabulary.filter(~is_hot), vocabulary.filter(is_hot).select("token", F.col("df").cast("long").alias("df")).toArrow()
+
+
+def make_index(terms: DataFrame, vocabulary: DataFrame, n: int, analyzer: str) -> TextIndex:
+    """An index from written term counts ``(id, tokens, tfs)`` and a written vocabulary."""
+    rare, hot = hot_tokens(vocabulary)
+    if hot.num_rows == vocabulary.count():
+        return TextIndex(terms.withColumn("rest", F.lit(0.0)), vocabulary, n, analyzer, hot)
+    # The others are rare, so no key is frequent, and few of a row's tokens are shuffled.
+    w = F.col("tf") * _idf(n, F.col("df"))
+    known = hot.column("token").combine_chunks().cast(pa.string())
+    shared = terms.sparkSession.sparkContext.broadcast(known)
+
+    def rare_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            tokens = lists.flatten()
+            new = np.asarray(pc.is_null(pc.index_in(tokens, value_set=shared.value)), bool)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[new]
+            columns = [batch.column("id").take(pa.array(row)), tokens.filter(pa.array(new)), batch.column("tfs").flatten().filter(pa.array(new))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "token", "tf"])
+
+    id_type = terms.schema["id"].dataType.simpleString()
+    met = terms.mapInArrow(rare_postings, f"id {id_type}, token string, tf int").join(rare, "token")
+    rest = met.groupBy("id").agg(F.sum(w * w).alias("rest"))
+    rows = terms.join(rest, "id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    return TextIndex(write_once(rows), vocabulary, n, analyzer, hot)
+
+
+def token_frequencies(terms: DataFrame) -> DataFrame:
+    """(token, df): in how many rows each token is. Counts combine before the shuffle."""
+    only = terms.select(F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
+    return only.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def index_text(
-    base: DataFrame, *, id: str = "id", text: str = "text", analyzer: str = "word", keep: bool = True
-) -> TextIndex:
-    """Token counts of the base texts, document frequencies and vector lengths.
+def index_text(base: DataFrame, *, id: str = "id", text: str = "text", analyzer: str = "word") -> TextIndex:
+    """Token counts of the base texts, cut into tokens once, and document frequencies."""
+    terms = write_once(term_counts(base.select(id, text), id, ANALYZERS[analyzer](F.col(text))))
+    return make_index(terms, write_once(token_frequencies(terms)), terms.count(), analyzer)
 
-    Texts are cut into tokens once and the counts written down. With ``keep`` the rows
-    are written together with their vector lengths, which pays off from the second
-    query batch on.
-    """
-    tokens = ANALYZERS[analyzer](F.col(text))
-    terms = write_once(term_counts(base.select(id, text), id, tokens))
-    # Counts combine before the shuffle, so a token found in every text is one row per task.
-    only = terms.select(F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
-    vocabulary = write_once(only.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-    n = base.count()
 
-    # Tokens with at least total/HOT_TOKENS postings: there cannot be more than
-    # HOT_TOKENS of them. They are given their weight by broadcast and never shuffled;
-    # any other token is too rare to make a large group.
-    total = vocabulary.agg(F.sum("df")).first()[0] or 0
-    hot = vocabulary.filter(F.col("df") >= total / HOT_TOKENS).select("token")
-    found = lookup(_postings(terms), vocabulary, ["token"], hot=hot)
-    weighted = found.withColumn("w", F.col("tf") * _idf(n, F.col("df")))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rows = terms.join(norms, "id")
-    return TextIndex(write_once(rows) if keep else rows, vocabulary, n, analyzer)
+class RowNorms:
+    """Lengths of rows, from the document frequencies of the frequent tokens and ``rest``."""
+
+    def __init__(self, hot: pa.Table, n: int):
+        self.tokens = hot.column("token").combine_chunks().cast(pa.string())
+        self.idf = np.append(np.log((1 + n) / (1.0 + np.asarray(hot["df"], float))) + 1.0, 0.0)
+
+    def of(self, batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column("tokens")
+        sizes = np.diff(lists.offsets.to_numpy())
+        place = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.tokens), -1).to_numpy()
+        w = batch.column("tfs").flatten().to_numpy() * self.idf[place]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return np.sqrt(np.bincount(row, w * w, minlength=len(sizes)) + batch.column("rest").to_numpy())
 
 
 def near_text(
@@ -323,9 +368,40 @@ def near_text(
     ordered by id. Texts that share no token with the query are not returned. A base that is asked more than once is
     better passed as ``index_text(base)``.
     """
-    index = (
-        base if isinstance(base, TextIndex) else index_text(base, id=id, text=text, analyzer=analyzer, keep=False)
-    )
+    index = base if isinstance(base, TextIndex) else index_text(base, id=id, text=text, analyzer=analyzer)
+    asked = ask(queries, index, query, question)
+    norms = RowNorms(index.hot, index.n)
+
+    def weights(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column("tokens")
+        return batch.column("tfs").flatten().to_numpy() / np.repeat(norms.of(batch), np.diff(lists.offsets.to_numpy()))
+
+    parts = [_scan_top_k(index.rows, held.score(weights), asked.query_type, held.names, k) for held in asked.blocks()]
+    if not parts:
+        id_type = index.rows.schema["id"].dataType.simpleString()
+        return queries.sparkSession.createDataFrame(
+            [], f"{query} {asked.query_type}, {id} {id_type}, distance double, rank int"
+        )
+    ranked = top_k(_in_passes(parts), "query", ["distance", "id"], k)
+    return ranked.select(F.col("query").alias(query), F.col("id").alias(id), "distance", "rank")
+
+
+@dataclass(frozen=True)
+class Asked:
+    """A batch of questions as weighted tokens, in blocks that a task can hold."""
+
+    weights: DataFrame  # query, token, w, idf
+    conditions: list[Column]
+    query_type: str
+
+    def blocks(self) -> Iterator[QueryBlock]:
+        for condition in self.conditions:
+            held = self.weights.filter(condition).toArrow()  # within MAX_QUERY_CELLS
+            if held.num_rows:
+                yield QueryBlock(held)
+
+
+def ask(queries: DataFrame, index: TextIndex, query: str, question: str) -> Asked:
     _require_ids(queries, query)
     query_type = queries.schema[query].dataType.simpleString()
     tokens = ANALYZERS[index.analyzer](F.col(question))
@@ -336,54 +412,52 @@ def near_text(
     weights = asked.join(known, "token", "left").select(
         F.col("id").alias("query"), "token", (F.col("tf") * idf).alias("w"), F.when(F.col("df").isNotNull(), idf).alias("idf")
     )
-    blocks = _query_blocks(asked.groupBy(F.col("id").alias("query")).agg(F.count(F.lit(1)).alias("cells")), "query")
-    rows = write_once(index.rows) if len(blocks) > 1 and not isinstance(base, TextIndex) else index.rows
-    parts = []
-    for block in blocks:
-        held = weights.filter(block).toArrow()  # within MAX_QUERY_CELLS
-        if held.num_rows:
-            parts.append(_near_block(held, rows, query_type, k))
-    if not parts:
-        id_type = index.rows.schema["id"].dataType.simpleString()
-        return queries.sparkSession.createDataFrame(
-            [], f"{query} {query_type}, {id} {id_type}, distance double, rank int"
-        )
-    ranked = top_k(_in_passes(parts), "query", ["distance", "id"], k)
-    return ranked.select(F.col("query").alias(query), F.col("id").alias(id), "distance", "rank")
-
-
-def _near_block(held: pa.Table, rows: DataFrame, query_type: str, k: int) -> DataFrame:
-    asked = held.to_pandas()
-    asked["q"], names = pd.factorize(asked["query"])
-    names = names.tolist()
-    norm = np.sqrt(np.bincount(asked["q"], weights=asked["w"] ** 2, minlength=len(names)))
-    asked["w"] /= norm[asked["q"]]
-    asked = asked[asked["idf"].notna()]
-    # Query postings by token: those of token c stand from first[c] to first[c + 1].
-    code, known = pd.factorize(asked["token"])
-    by_token = np.argsort(code, kind="stable")
-    first = np.searchsorted(code[by_token], np.arange(len(known) + 1))
-    q_of = asked["q"].to_numpy()[by_token]
-    # The base's weight is tf * idf / norm; its idf is put on the query's side.
-    w_of = (asked["w"] * asked["idf"]).to_numpy()[by_token]
-    shared = rows.sparkSession.sparkContext.broadcast((list(known), first, q_of, w_of, len(names)))
-
-    def score(batch: pa.RecordBatch) -> np.ndarray:
-        known, first, q_of, w_of, n_queries = shared.value
-        lists = batch.column("tokens")
+    cells = asked.groupBy(F.col("id").alias("query")).agg(F.count(F.lit(1)).alias("cells"))
+    return Asked(weights, _query_blocks(cells, "query"), query_type)
+
+
+class QueryBlock:
+    """Questions of one block: names, and their postings by token."""
+
+    def __init__(self, held: pa.Table):
+        asked = held.to_pandas()
+        asked["q"], names = pd.factorize(asked["query"])
+        self.names = names.tolist()
+        norm = np.sqrt(np.bincount(asked["q"], weights=asked["w"] ** 2, minlength=len(self.names)))
+        asked["w"] /= norm[asked["q"]]
+        asked = asked[asked["idf"].notna()]
+        # Query postings by token: those of token c stand from first[c] to first[c + 1].
+        code, known = pd.factorize(asked["token"])
+        by_token = np.argsort(code, kind="stable")
+        self.tokens = pa.array(list(known), pa.string())
+        self.first = np.searchsorted(code[by_token], np.arange(len(known) + 1))
+        self.q_of = asked["q"].to_numpy()[by_token]
+        # The base's weight is tf * idf / norm; its idf is put on the query's side.
+        self.w_of = (asked["w"] * asked["idf"]).to_numpy()[by_token]
+
+    def dots(self, lists: pa.Array, weight: np.ndarray) -> np.ndarray:
+        """Scalar products, queries x rows, with rows of tokens and their weights."""
         sizes = np.diff(lists.offsets.to_numpy())
-        codes = pc.index_in(lists.flatten(), value_set=pa.array(known, pa.string()))
+        codes = pc.index_in(lists.flatten(), value_set=self.tokens)
         here = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
         codes = codes.fill_null(0).to_numpy()[here]
         row = np.repeat(np.arange(len(sizes)), sizes)[here]
-        weight = batch.column("tfs").flatten().to_numpy()[here] / batch.column("norm").to_numpy()[row]
-        dots = np.zeros((n_queries, len(sizes)))
+        weight = weight[here]
+        out = np.zeros((len(self.names), len(sizes)))
         order = np.argsort(codes, kind="stable")
         edges = np.flatnonzero(np.diff(codes[order], prepend=-1, append=-1))
         for lo, hi in zip(edges[:-1], edges[1:]):  # one token at a time, all its rows at once
             mine, c = order[lo:hi], codes[order[lo]]
-            span = slice(first[c], first[c + 1])
-            dots[np.ix_(q_of[span], row[mine])] += np.outer(w_of[span], weight[mine])
-        return np.where(dots > 0, np.round(1.0 - dots, DIGITS), np.inf)
+            span = slice(self.first[c], self.first[c + 1])
+            out[np.ix_(self.q_of[span], row[mine])] += np.outer(self.w_of[span], weight[mine])
+        return out
+
+    def score(self, weights: Callable[[pa.RecordBatch], np.ndarray]) -> Callable[[pa.RecordBatch], np.ndarray]:
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            return as_distance(self.dots(batch.column("tokens"), weights(batch)))
+
+        return score
+
 
-    return _scan_top_k(rows, score, query_type, names, k)
+def as_distance(dots: np.ndarray) -> np.ndarray:
+    return np.where(dots > 0, np.round(1.0 - dots, DIGITS), np.inf)

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folio import constants as K
 from folio.functions import arrays as A, prompts, text as X
 from folio.functions.rows import unroll
-from folio.operators import answers, chunk, dataset, kb, ordered, parse, rag, retrieve, tokens
+from folio.operators import answers, chunk, dataset, kb, ordered, parse, pruned, rag, retrieve, tokens
 from folio.plans import standins as S
 from folio.session import checkpoint_dir, delete_at_end, write_once
-from folio.sinks import files as csv_files, tables
+from folio.sinks import files as csv_files, tables, text_index
 from folio.sources import books, files
 from folio.streaming import jobs
 from folio.streaming.answers import assemble_stream
@@ -325,6 +325,27 @@ def near_text_pairs(spark, d):
     return found.select("request_id", "doc_id", "rank")
 
 
+@query
+def near_text_pruned(spark, d):
+    """The same answers, from blocks that can reach them."""
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    blocks = pruned.block_index(retrieve.index_text(docs, id="doc_id"))
+    found = pruned.near_text_pruned(_asked(spark, d), blocks, query="request_id", id="doc_id").hits
+    return found.select("request_id", "doc_id", "rank")
+
+
+@query
+def index_reused(spark, d):
+    """The same answers, from an index saved with one half of the texts, to which the other was added."""
+    root = _work(spark, "index")
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    for half in (0, 1):
+        text_index.append_texts(spark, root, docs.filter(F.col("doc_id") % 2 == half), id="doc_id")
+    delete_at_end(spark, root)
+    found = retrieve.near_text(_asked(spark, d), text_index.read_index(spark, root), query="request_id", id="doc_id")
+    return found.select("request_id", "doc_id", "rank")
+
+
 @query
 def rag_context(spark, d):
     base = S.document_kb(spark, d)

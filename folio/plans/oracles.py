@@ -484,3 +484,6 @@ ORACLES["splits_loaded"] = """
 SELECT item_id, text, CASE WHEN item_id % 4 = 0 THEN 'validation' ELSE 'train' END AS split FROM benchmark
 """
 ORACLES["books_round_trip"] = "SELECT CAST(doc_id AS VARCHAR) AS stem, replace(text, chr(10), ' ') AS body FROM documents"
+
+for _name in ("near_text_pruned", "index_reused"):
+    ORACLES[_name] = ORACLES["near_text"]

@@ -30,7 +30,7 @@ def append_chunks(spark: SparkSession, name: str, chunks: DataFrame, order: list
 # written its _SUCCESS file, and readers take the newest complete one.
 
 
-def _version_path(root: str, version: int) -> str:
+def version_path(root: str, version: int) -> str:
     return f"{root}/v{version:08d}"
 
 
@@ -45,7 +45,7 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     version = current_version(spark, root) if version is None else version
     if version == 0:
         return spark.createDataFrame([], kb.SCHEMA)
-    return spark.read.schema(kb.SCHEMA).parquet(_version_path(root, version))
+    return spark.read.schema(kb.SCHEMA).parquet(version_path(root, version))
 
 
 def base_version(spark: SparkSession, root: str, note: str) -> int:
@@ -65,5 +65,5 @@ def publish_upsert(
     """
     version = current_version(spark, root) + 1 if version is None else version
     updated = kb.kb_upsert(read_version(spark, root, version - 1), rows, seq)
-    updated.write.mode("overwrite").parquet(_version_path(root, version))
+    updated.write.mode("overwrite").parquet(version_path(root, version))
     return version
