@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.operators.skew import lookup
 
@@ -25,6 +25,11 @@ def _has_key() -> Column:
     return F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull()
 
 
+def with_key(rows: DataFrame) -> DataFrame:
+    """Rows that have both sides of their pair."""
+    return rows.filter(_has_key())
+
+
 def key_rejects(rows: DataFrame) -> DataFrame:
     """Rows that an upsert leaves out, because a side of their pair is NULL."""
     return rows.filter(~_has_key()).withColumn("reject", F.lit("missing key"))
@@ -37,7 +42,7 @@ def last_write_wins(rows: DataFrame, seq: list[str]) -> DataFrame:
     of the input still sends one row per task.
     """
     order = F.struct(*seq)
-    rows = rows.filter(_has_key())
+    rows = with_key(rows)
     ids = F.col("id") if "id" in rows.columns else pair_id(F.col("medicine_a"), F.col("medicine_b"))
     return (
         rows.withColumn("id", ids)
@@ -49,14 +54,18 @@ def last_write_wins(rows: DataFrame, seq: list[str]) -> DataFrame:
 def kb_upsert(target: DataFrame | None, rows: DataFrame, seq: list[str]) -> DataFrame:
     """The knowledge base after applying ``rows`` in ``seq`` order.
 
-    A known pair keeps its id and gets the new values; a new pair is added.
+    A known pair keeps its id and gets the new values; a new pair is added. If the target
+    has a pair more than once, its first entry by id is updated and the others stay.
     """
     new = last_write_wins(rows, seq)
     if target is None:
         return new.select("id", *KEY, "new.*")
-    old = target.select(*KEY, F.col("id").alias("old_id"), F.struct(*VALUES).alias("old"))
+    # The join shuffles by the same keys, so the rank costs a sort and no shuffle.
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy("id")) == 1
+    old = target.select(*KEY, F.col("id").alias("old_id"), F.struct(*VALUES).alias("old"), first.alias("_first"))
+    value = F.when(F.coalesce("_first", F.lit(True)), F.coalesce("new", "old")).otherwise(F.col("old"))
     return (
         old.join(new, KEY, "full_outer")
-        .withColumn("v", F.coalesce("new", "old"))
+        .withColumn("v", value)
         .select(F.coalesce("old_id", "id").alias("id"), *KEY, *[f"v.{c}" for c in VALUES])
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folio import constants as K
 from folio.functions import arrays as A, prompts, text as X
 from folio.functions.rows import unroll
-from folio.operators import answers, chunk, dataset, kb, ordered, parse, pruned, rag, retrieve, tokens
+from folio.operators import answers, chunk, dataset, kb, ordered, parse, pruned, rag, retrieve, tokens, vocabulary
 from folio.plans import standins as S
 from folio.session import checkpoint_dir, delete_at_end, write_once
 from folio.sinks import files as csv_files, tables, text_index
@@ -213,6 +213,25 @@ def tokenize_pair_masked(spark, d):
     return tokens.tokenize_pad_mask(formula_qa(spark, d), "input", "output", 128)
 
 
+@query
+def vocabulary_ranks(spark, d):
+    """All words of the conversations with their counts; ids in order of frequency."""
+    return vocabulary.fit_vocabulary(S.table(spark, d, "conversations"), "text")
+
+
+VOCABULARY = 1_000
+
+
+@query
+def tokenize_vocabulary(spark, d):
+    """Ids below ``VOCABULARY``, and the words that they turn back into."""
+    rows = S.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    words = vocabulary.fit_vocabulary(rows, "text", size=VOCABULARY)
+    ids = vocabulary.encode(rows, "text", words)
+    back = vocabulary.decode(ids, "ids", words)
+    return back.select("conv_id", "turn", "ids", F.array_join("words", " ", "?").alias("words"))
+
+
 def _conversation_ids(spark, d):
     rows = S.table(spark, d, "conversations").select("conv_id", "turn", "text")
     return rows.select("conv_id", "turn", A.word_ids(F.col("text")).alias("ids"))
@@ -429,12 +448,12 @@ def _work(spark, name):
 
 @query
 def kb_streamed(spark, d):
-    """The first load in batch, then books of the other types as a stream into the same versions."""
+    """The first load in batch, then books of all types of the second one as a stream into the same versions."""
     root = _work(spark, "kb")
-    tables.publish_upsert(spark, root, S.pair_rows(spark, d, "kb-", S.FIRST_LOAD), ["seq"])
+    tables.publish_upsert(spark, root, S.pair_rows(spark, d, "kb-", S.FIRST_LOAD), ["seq"], buckets=8)
     S.pair_books(spark, d).repartition("path").write.parquet(f"{root}/books")
     arriving = spark.readStream.schema("path string, text string").option("maxFilesPerTrigger", 3).parquet(f"{root}/books")
-    jobs.drain(jobs.load_kb(arriving, root, f"{root}/checkpoint", S.STREAMED_TITLES))
+    jobs.drain(jobs.load_kb(arriving, root, f"{root}/checkpoint", S.SECOND_LOAD, keep=2))
     delete_at_end(spark, root)
     return tables.read_version(spark, root).select(*kb.KEY, *kb.VALUES)
 
@@ -461,10 +480,10 @@ def splits_loaded(spark, d):
 
 @query
 def books_round_trip(spark, d):
-    """Books written as files; the next run extracts what is not there yet."""
+    """Books added to a store; the next run extracts what is not there yet."""
     folder = _work(spark, "books")
     docs = S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("body"))
     csv_files.write_books(docs.filter("doc_id % 3 = 0"), folder)
     csv_files.write_books(docs.join(csv_files.extracted_stems(spark, folder), "stem", "left_anti"), folder)
     delete_at_end(spark, folder)
-    return spark.read.schema("body string, stem string").text(folder).select("stem", "body")
+    return csv_files.read_books(spark, folder)

@@ -468,7 +468,7 @@ FROM conversations
 # ---------------------------------------------------------------- files and tables
 
 ORACLES["kb_streamed"] = f"""
-WITH old AS ({_load('kb-', S.FIRST_LOAD)}), new AS ({_load('in-', S.STREAMED_TITLES)})
+WITH old AS ({_load('kb-', S.FIRST_LOAD)}), new AS ({_load('in-', S.SECOND_LOAD)})
 SELECT medicine_a, medicine_b, coalesce(new.dosage, old.dosage) AS dosage,
        coalesce(new.function, old.function) AS function, coalesce(new.type, old.type) AS type
 FROM old FULL OUTER JOIN new USING (medicine_a, medicine_b)
@@ -487,3 +487,23 @@ ORACLES["books_round_trip"] = "SELECT CAST(doc_id AS VARCHAR) AS stem, replace(t
 
 for _name in ("near_text_pruned", "index_reused"):
     ORACLES[_name] = ORACLES["near_text"]
+
+_WORDS = f"list_filter(regexp_split_to_array({_strip('text')}, '\\s+'), lambda w: w <> '')"
+ORACLES["vocabulary_ranks"] = f"""
+SELECT word, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, encode(word)) + 1 AS INTEGER) AS id
+FROM (SELECT unnest({_WORDS}) AS word FROM conversations) GROUP BY word
+"""
+ORACLES["tokenize_vocabulary"] = f"""
+WITH ranks AS ({ORACLES["vocabulary_ranks"]}
+), texts AS (
+  SELECT row_number() OVER () AS k, conv_id, turn, text, {_WORDS} AS ws FROM conversations
+), words AS (
+  SELECT k, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM texts
+), coded AS (
+  SELECT k, list(coalesce(id, 1) ORDER BY pos) AS ids, string_agg(CASE WHEN id IS NULL THEN '?' ELSE word END, ' ' ORDER BY pos) AS words
+  FROM words LEFT JOIN (SELECT * FROM ranks WHERE id < 1000) USING (word) GROUP BY k
+)
+SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN coalesce(ids, CAST([] AS INTEGER[])) END AS ids,
+       CASE WHEN text IS NOT NULL THEN coalesce(words, '') END AS words
+FROM texts LEFT JOIN coded USING (k)
+"""

@@ -14,19 +14,14 @@ PART_TITLES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
 UNTITLED = "STANDARD"
 ROWS_PER_SECTION = 1 << 32
 
-# Names that requests ask for, of this repository's choice but for their form.
+# Invented models; those without an owner get the usual one.
 MODELS = [
-    ("Qwen/Qwen2.5-0.5B-Instruct", "/models/qwen-0.5b", True),
-    ("Qwen/Qwen2.5-1.5B-Instruct", "/models/qwen-1.5b", True),
-    ("deepseek-ai/DeepSeek-R1-Distill-Qwen-1.5B", "/models/deepseek-1.5b", False),
+    ("Qwen/reader-small", "/models/reader-small", True),
+    ("Qwen/reader-large", "/models/reader-large", True),
+    ("harbour/thinker-small", "/models/thinker-small", False),
 ]
 # What requests ask for, by item number modulo 4. The first lacks its owner; the last is unknown.
-ASKED_MODELS = [
-    "Qwen2.5-0.5B-Instruct",
-    "Qwen/Qwen2.5-1.5B-Instruct",
-    "deepseek-ai/DeepSeek-R1-Distill-Qwen-1.5B",
-    "other/unknown",
-]
+ASKED_MODELS = ["reader-small", "Qwen/reader-large", "harbour/thinker-small", "other/unknown"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,16 +80,18 @@ def pair_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KB.kb_upsert(None, pair_rows(spark, sf_dir, "kb-", FIRST_LOAD), ["seq"])
 
 
-STREAMED_TITLES = [t for t in SECOND_LOAD if t != "STANDARD"]
+BOOK_PAIRS = 10_000
 
 
 def pair_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text per brand: pairs of the second load in order of their number, each under its title."""
-    rows = pair_rows(spark, sf_dir, "", STREAMED_TITLES)
+    """Pairs of the second load in order of their number, each under its title; a text for
+    each brand and run of ``BOOK_PAIRS`` numbers, so that texts stay bounded."""
+    rows = pair_rows(spark, sf_dir, "", SECOND_LOAD)
     line = F.concat(F.col("type"), F.lit("\n"), F.concat_ws("  ", "medicine_a", "medicine_b", "dosage", "function"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda r: r["line"])
-    books = rows.groupBy("medicine_b").agg(F.array_join(ordered, "\n").alias("text"))
-    return books.select(F.concat(F.lit("book-"), "medicine_b").alias("path"), "text")
+    number = F.floor(F.col("seq") / BOOK_PAIRS).alias("number")
+    books = rows.groupBy("medicine_b", number).agg(F.array_join(ordered, "\n").alias("text"))
+    return books.select(F.concat_ws("-", F.lit("book"), "medicine_b", "number").alias("path"), "text")
 
 
 def edged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,15 +54,42 @@ def write_once(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet to the shared checkpoint folder and read it from there.
 
     For results that several later steps read: compressed, and read by column. It is
-    deleted when the application ends.
+    deleted at the end of the innermost ``scratch`` of this thread, or of the application.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    scopes = getattr(_local, "scopes", [])
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        delete_at_end(spark, path)
     df.write.parquet(path)
-    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_local = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread writes with ``write_once`` inside are deleted on leaving.
+
+    For work that ends in an output of its own, such as a micro-batch.
+    """
+    _local.scopes = [*getattr(_local, "scopes", []), []]
+    try:
+        yield
+    finally:
+        for path in _local.scopes.pop():
+            delete_now(spark, path)
+
+
+def delete_now(spark: SparkSession, path: str) -> None:
+    """Delete a folder; nothing happens if it is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder that was written when the application ends."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

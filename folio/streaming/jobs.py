@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from folio.constants import RETRIEVAL_K
 from folio.operators import parse, rag
 from folio.operators.retrieve import index_text
-from folio.sinks import tables
+from folio.session import scratch
+from folio.sinks import tables, text_index
 
 
 def _each_batch(
@@ -23,7 +24,8 @@ def _each_batch(
     def held(batch: DataFrame, number: int) -> None:
         batch.persist()  # the operators read it more than once
         try:
-            step(batch, number)
+            with scratch(batch.sparkSession):
+                step(batch, number)
         finally:
             batch.unpersist()
 
@@ -32,7 +34,7 @@ def _each_batch(
 
 
 def load_kb(
-    books: DataFrame, root: str, checkpoint: str, titles: list[str] | None = None, every: str | None = None
+    books: DataFrame, root: str, checkpoint: str, titles: list[str] | None = None, every: str | None = None, keep: int | None = None
 ) -> StreamingQuery:
     """Upsert the pairs of arriving books (``path, text``) into the versions under ``root``.
 
@@ -40,12 +42,17 @@ def load_kb(
     checkpoint; micro-batch ``n`` makes version ``n + 1`` after it, also when it is run
     again. Nothing else may write to ``root`` as long as the stream goes on. Without
     ``every`` the stream handles what is there and ends, else it goes on at that interval.
+    With ``keep`` (2 or more, so that a micro-batch can be repeated) older versions go.
     """
+    if keep is not None and keep < 2:
+        raise ValueError("keep two versions at least")
     base = tables.base_version(books.sparkSession, root, f"{checkpoint}.base")
 
     def step(batch: DataFrame, number: int) -> None:
         rows = parse.accepted(parse.section_rows(parse.text_lines(batch, "text"), titles))
         tables.publish_upsert(batch.sparkSession, root, rows, ["path", "line_no"], version=base + number + 1)
+        if keep:
+            tables.prune_versions(batch.sparkSession, root, keep)
 
     return _each_batch(books, step, checkpoint, every)
 

@@ -75,11 +75,9 @@ def test_books(spark, tmp_path):
         return pages
 
     pages = run()
-    assert spark.read.schema("value string, stem string").text(out).count() == 2
-    got = {r.stem: r.value for r in spark.read.schema("value string, stem string").text(out).collect()}
-    assert got == {"a": "第一页" + long[:500] + long[450:], "b": "乙"}
+    assert {r.stem: r.body for r in K.read_books(spark, out).collect()} == {"a": "第一页" + long[:500] + long[450:], "b": "乙"}
     run()
-    assert spark.read.schema("value string, stem string").text(out).count() == 2
+    assert K.read_books(spark, out).count() == 2
     (source / "d.pdf").write_text("丁", encoding="utf8")
     run()
     assert {r.stem for r in K.extracted_stems(spark, out).collect()} == {"a", "b", "d"}
@@ -112,12 +110,71 @@ def test_versions(spark, tmp_path):
     assert kb.kb_lookup(row("q", 1).drop("dosage", "function", "type"), tables.read_version(spark, root)).count() == 1
 
 
-def test_extracted_stems_come_from_paths(spark, tmp_path):
-    stems = ["a b", "x+y", "1.2", "書"]
-    folder = str(tmp_path / "books")
-    assert K.extracted_stems(spark, folder).count() == 0
-    K.write_books(spark.createDataFrame([(s, "body") for s in stems], "stem string, body string"), folder)
-    assert sorted(r.stem for r in K.extracted_stems(spark, folder).collect()) == sorted(stems)
+def test_book_store_has_files_of_many_books(spark, tmp_path):
+    folder, out = tmp_path / "books", str(tmp_path / "books")
+    assert K.extracted_stems(spark, out).count() == 0 and K.read_books(spark, out).count() == 0
+    stems = ["a b", "x+y", "1.2", "書", *[f"s{k:03}" for k in range(200)]]
+    bodies = spark.createDataFrame([(s, f"{s}\nbody\n" if s != "x+y" else None) for s in stems], "stem string, body string")
+    K.write_books(bodies.coalesce(1), out, per_file=60)
+    assert len(list(folder.glob("books/*/part-*"))) == 4  # 204 books
+    index = {r.stem: r for r in K.book_index(spark, out).collect()}
+    assert sorted(index) == sorted(stems) and index["書"].n_chars == 7
+    assert len({(r.file, r.place) for r in index.values()}) == len(stems) and max(r.place for r in index.values()) == 59
+    K.write_books(spark.createDataFrame([("new", "n")], "stem string, body string"), out)
+    assert {r.stem: r.body for r in K.read_books(spark, out).collect()} == {s: f"{s}\nbody\n" if s != "x+y" else None for s in stems} | {"new": "n"}
+    some = K.read_books(spark, out, spark.createDataFrame([("new",), ("1.2",), ("none",)], "stem string"))
+    assert sorted((r.stem, r.body) for r in some.collect()) == [("1.2", "1.2\nbody\n"), ("new", "n")]
+    assert len(some.inputFiles()) <= 2
+    K.export_books(K.read_books(spark, out).filter("stem IN ('new', '書')"), str(tmp_path / "texts"))
+    assert {r.stem: r.value for r in spark.read.schema("value string, stem string").text(str(tmp_path / "texts")).collect() if r.value} >= {"new": "n"}
+
+
+def pairs(spark, names, value):
+    rows = [(a, "x", value, value, "t", k) for k, a in enumerate(names)]
+    return spark.createDataFrame(rows, "medicine_a string, medicine_b string, dosage string, function string, type string, n long")
+
+
+def test_an_upsert_writes_the_buckets_it_touches(spark, tmp_path):
+    folder, root = tmp_path / "kb", str(tmp_path / "kb")
+    names = [f"m{k}" for k in range(400)]
+    tables.publish_upsert(spark, root, pairs(spark, names, "old"), ["n"], buckets=16)
+    assert len(list(folder.glob("data/v00000001/bucket=*"))) == 16
+    tables.publish_upsert(spark, root, pairs(spark, ["m7", "new"], "new"), ["n"], buckets=99)
+    assert 1 <= len(list(folder.glob("data/v00000002/bucket=*"))) <= 2
+    got = {r.medicine_a: r.dosage for r in tables.read_version(spark, root).collect()}
+    assert got == {n: "old" for n in names} | {"m7": "new", "new": "new"}
+    assert tables.read_version(spark, root, 1).count() == 400
+    for k in range(4):
+        tables.publish_upsert(spark, root, pairs(spark, [f"m{k}"], f"v{k}"), ["n"])
+    tables.prune_versions(spark, root, keep=2)
+    assert sorted(p.name for p in folder.glob("v*")) == ["v00000005", "v00000006"]
+    now = {r.medicine_a: r.dosage for r in tables.read_version(spark, root).collect()}
+    assert now == got | {f"m{k}": f"v{k}" for k in range(4)}
+    assert len(list(folder.glob("data/v*/bucket=*"))) <= 17  # 16 buckets, and the last one's state before
+    tables.publish_upsert(spark, root, pairs(spark, [], "none"), ["n"])
+    assert tables.read_version(spark, root).count() == 401
+
+
+def test_tables_of_a_scratch_go_when_it_ends(spark):
+    from pathlib import Path
+
+    from folio.session import checkpoint_dir, scratch, write_once
+
+    place = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(place.iterdir())
+    with scratch(spark):
+        kept = write_once(spark.range(5))
+        with scratch(spark):
+            write_once(spark.range(2))
+            assert len(set(place.iterdir()) - before) == 2
+        assert len(set(place.iterdir()) - before) == 1 and kept.count() == 5
+    assert set(place.iterdir()) == before
+
+
+def test_first_of_repeated_pairs_is_updated(spark):
+    held = spark.createDataFrame([("2", "a", "b", "old", "f", "t"), ("1", "a", "b", "older", "f", "t"), ("3", "c", "d", "x", "f", "t")], kb.SCHEMA)
+    got = sorted(tuple(r)[:4] for r in kb.kb_upsert(held, pairs(spark, ["a"], "new").withColumn("medicine_b", F.lit("b")), ["n"]).collect())
+    assert got == [("1", "a", "b", "new"), ("2", "a", "b", "old"), ("3", "c", "d", "x")]
 
 
 def test_intermediate_tables_go_at_the_end(spark):
