@@ -58,7 +58,7 @@ def write_once(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    scopes = getattr(_local, "scopes", [])
+    scopes = _scopes.get(threading.get_ident())
     if scopes:
         scopes[-1].append(path)
     else:
@@ -67,7 +67,7 @@ def write_once(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_local = threading.local()
+_scopes: dict[int, list[list[str]]] = {}  # by thread
 
 
 @contextmanager
@@ -76,12 +76,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     For work that ends in an output of its own, such as a micro-batch.
     """
-    _local.scopes = [*getattr(_local, "scopes", []), []]
+    thread = threading.get_ident()
+    _scopes.setdefault(thread, []).append([])
     try:
         yield
     finally:
-        for path in _local.scopes.pop():
+        for path in _scopes[thread].pop():
             delete_now(spark, path)
+        if not _scopes[thread]:
+            del _scopes[thread]
 
 
 def delete_now(spark: SparkSession, path: str) -> None:
