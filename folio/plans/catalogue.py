@@ -255,6 +255,10 @@ def drop_prompt_prefix(spark, d):
 # ---------------------------------------------------------------- requests and retrieval
 
 
+def _work(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _requests(spark, d):
     return S.normalised(rag.parse_requests(S.raw_requests(spark, d)))
 
@@ -380,6 +384,25 @@ def rag_prompt(spark, d):
     )
 
 
+@query
+def requests_streamed(spark, d):
+    """Good, blank and damaged requests in four micro-batches, from a saved index; prompts and rejects."""
+    work = _work(spark, "requests")
+    base = S.document_kb(spark, d)
+    for half in (0, 1):
+        text_index.append_texts(spark, f"{work}/index", base.filter(F.col("id") % 2 == half), text="function")
+    damaged = S.damaged_requests(spark, d).withColumn("request_id", F.col("request_id") + S.DAMAGED)
+    S.raw_requests(spark, d).unionByName(damaged).repartition(4, "request_id").write.json(f"{work}/in")
+    arriving = spark.readStream.schema("request_id long, value string").option("maxFilesPerTrigger", 1).json(f"{work}/in")
+    jobs.drain(
+        jobs.answer_from_index(arriving, S.models(spark), base, f"{work}/index", f"{work}/out", f"{work}/state", text="function")
+    )
+    delete_at_end(spark, work)
+    prompts = spark.read.parquet(f"{work}/out/prompts").select("request_id", "model", "external_db", "prompt")
+    rejects = spark.read.parquet(f"{work}/out/rejects").select("request_id", "reject")
+    return prompts.unionByName(rejects, allowMissingColumns=True)
+
+
 # ---------------------------------------------------------------- answers
 
 
@@ -442,10 +465,6 @@ def answer_snapshots(spark, d):
 # ---------------------------------------------------------------- files and tables
 
 
-def _work(spark, name):
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def kb_streamed(spark, d):
     """The first load in batch, then books of all types of the second one as a stream into the same versions."""

@@ -507,3 +507,15 @@ SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN coalesce(ids, CAST([] AS I
        CASE WHEN text IS NOT NULL THEN coalesce(words, '') END AS words
 FROM texts LEFT JOIN coded USING (k)
 """
+
+ORACLES["requests_streamed"] = f"""
+SELECT request_id, model, external_db, prompt, NULL AS reject FROM ({ORACLES["rag_prompt"]})
+UNION ALL
+SELECT request_id, NULL, NULL, NULL, 'no such model' FROM ({ORACLES["route_rejects"]})
+UNION ALL
+SELECT -1 - item_id, NULL, NULL, NULL, 'blank question' FROM benchmark
+UNION ALL
+SELECT request_id + {S.DAMAGED}, NULL, NULL, NULL, reject FROM ({ORACLES["request_rejects"]})
+UNION ALL
+SELECT item_id + {S.DAMAGED}, NULL, NULL, NULL, 'no such model' FROM benchmark WHERE item_id % 5 = 0
+"""

@@ -144,6 +144,9 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return real.unionByName(blank).select("request_id", body.alias("value"))
 
 
+DAMAGED = 1 << 40  # is added to the ids of damaged requests where good ones come along
+
+
 def damaged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests out of benchmark items, all but every fifth of them with a fault."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("question"))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.constants import RETRIEVAL_K
+from folio.functions.prompts import full_model_name
 from folio.operators import parse, rag
 from folio.operators.retrieve import index_text
 from folio.session import scratch
@@ -84,6 +85,41 @@ def answer_requests(
     return _each_batch(requests, step, checkpoint, every)
 
 
+def answer_from_index(
+    requests: DataFrame,
+    models: DataFrame,
+    kb: DataFrame,
+    index_root: str,
+    out: str,
+    checkpoint: str,
+    k: int = RETRIEVAL_K,
+    id: str = "id",
+    text: str = "text",
+    every: str | None = None,
+) -> StreamingQuery:
+    """Answer arriving requests (``request_id, value``) from a saved index that may grow meanwhile.
+
+    Each micro-batch takes the newest version of the index and notes it in
+    ``out/versions/batch=n``; run again, it takes the noted one, so that its output is the
+    same. Prompts go to ``out/prompts/batch=n``; requests that can't be answered go to
+    ``out/rejects/batch=n`` as they came, with the reason. ``kb`` has the rows of the index.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        version = tables.base_version(spark, f"{index_root}/versions", f"{out}/versions/batch={number}")
+        decoded = rag.decode_requests(batch).withColumn("model", full_model_name(F.col("model")))
+        bad, good = decoded.filter("reject IS NOT NULL"), decoded.filter("reject IS NULL").drop("reject")
+        unrouted = rag.route_rejects(good, models).withColumn("reject", F.lit("no such model"))
+        both = bad.unionByName(unrouted).select(*batch.columns, "reject")
+        both.write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+        routed = rag.route_requests(good, models).drop("value")
+        prompts = rag.rag_prompt(routed, kb, k, id=id, text=text, index=text_index.read_index(spark, index_root, version))
+        prompts.write.mode("overwrite").parquet(f"{out}/prompts/batch={number}")
+
+    return _each_batch(requests, step, checkpoint, every)
+
+
 def write_answers(answers: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write every snapshot of ``assemble_stream``, one folder per micro-batch.
 

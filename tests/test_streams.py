@@ -5,7 +5,7 @@ import pytest
 
 from folio.operators.answers import answer_assemble, message_log
 from folio.plans import standins as S
-from folio.sinks import files as sink_files, tables
+from folio.sinks import files as sink_files, tables, text_index
 from folio.sources import files
 from folio.streaming import jobs
 from folio.streaming.answers import assemble_stream
@@ -118,7 +118,7 @@ def test_streamed_kb(spark, tmp_path):
 
 def test_streamed_requests(spark, tmp_path):
     source = tmp_path / "requests"
-    put(source, "1.json", [{"request_id": 1, "value": '{"question":"清热","model":"Qwen/Qwen2.5-1.5B-Instruct"}'}])
+    put(source, "1.json", [{"request_id": 1, "value": '{"question":"清热","model":"Qwen/reader-large"}'}])
     put(source, "2.json", [{"request_id": 2, "value": '{"question":"x","model":"none"}'}])
     base = spark.createDataFrame([(1, "t", "知母", "黄柏", "9g", "清热")], "id int, type string, medicine_a string, medicine_b string, dosage string, function string")
     jobs.drain(
@@ -130,6 +130,46 @@ def test_streamed_requests(spark, tmp_path):
     assert [(r.request_id, r.prompt[:27]) for r in got] == [(1, "Context: 't  知母  黄柏  9g  清热")]
 
 
+def test_requests_are_answered_from_a_growing_index(spark, tmp_path):
+    source, root, out = tmp_path / "requests", str(tmp_path / "index"), str(tmp_path / "out")
+    rows = [(1, "t", "知母", "黄柏", "9g", "清热 泻火"), (2, "t", "麻黄", "桂枝", "6g", "发汗 清热 解表")]
+    base = spark.createDataFrame(rows, "id int, type string, medicine_a string, medicine_b string, dosage string, function string")
+    ask = '{"question":"清热 解表","model":"reader-large"}'
+
+    def run():
+        arriving = files.stream_requests(spark, str(source))
+        jobs.drain(jobs.answer_from_index(arriving, S.models(spark), base, root, out, str(tmp_path / "ck"), text="function"))
+
+    text_index.append_texts(spark, root, base.filter("id = 1"), text="function")
+    put(source, "1.json", [{"request_id": 1, "value": ask}, {"request_id": 2, "value": "{"}])
+    run()
+    text_index.append_texts(spark, root, base.filter("id = 2"), text="function")
+    put(source, "2.json", [{"request_id": 3, "value": ask}, {"request_id": 4, "value": '{"question":"x","model":"none"}'}])
+    run()
+    prompts = {r.request_id: r.prompt for r in spark.read.parquet(f"{out}/prompts").collect()}
+    assert set(prompts) == {1, 3} and "麻黄" not in prompts[1] and "麻黄" in prompts[3] and "知母" in prompts[3]
+    assert {(r.request_id, r.reject) for r in spark.read.parquet(f"{out}/rejects").collect()} == {(2, "malformed"), (4, "no such model")}
+    assert {(r.batch, r.version) for r in spark.read.json(f"{out}/versions").collect()} == {(0, 1), (1, 2)}
+
+
+def test_scratch_tables_do_not_add_up_over_micro_batches(spark, tmp_path):
+    from pathlib import Path
+
+    from folio.session import checkpoint_dir
+
+    place = Path(checkpoint_dir(spark).removeprefix("file:"))
+    source, root = tmp_path / "books", str(tmp_path / "kb")
+    before = {p.name for p in place.iterdir()}
+    for k in range(5):
+        (source / f"{k}").mkdir(parents=True)
+        (source / f"{k}" / "b.txt").write_text(f"ECONOMY\na{k}  b  9g  use\na  b  {k}g  use\n", encoding="utf8")
+        jobs.drain(jobs.load_kb(files.stream_books(spark, str(source)), root, str(tmp_path / "ck"), ["ECONOMY"], keep=2))
+    assert {p.name for p in place.iterdir()} == before
+    got = {r.medicine_a: r.dosage for r in tables.read_version(spark, root).collect()}
+    assert got == {"a": "4g"} | {f"a{k}": "9g" for k in range(5)}
+    assert len(list((tmp_path / "kb").glob("v*"))) == 2
+
+
 def test_frames(spark, tmp_path):
     put(tmp_path / "in", "1.json", [{"session_id": "s", "seq": 0, "chunk": "a\nb"}])
     for sse, frame in [(True, "data: a\nb\n\n"), (False, "a\nb")]:
