@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from folio.llm.encoding import SLICE, Encoder
-from folio.llm.texts import slices
+from folio.llm.texts import release, slices
 
+PARTS_KEPT = 400_000  # parts of texts whose ids a task remembers
 POOL_SEQUENCES = 1_024  # sequences filled from one pool of remainders
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -118,7 +119,7 @@ def pack_documents(
         packer = _Packer(capacity, TaskContext.get().partitionId() << 32, keep_ids)
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or Encoder(tokenizer, PARTS_KEPT)
             doc_ids, at = batch.column(0).to_pylist(), 0
             for texts in slices(batch.column(1), SLICE):
                 ids, lengths = encoder.encode(texts, end_id)
@@ -129,6 +130,8 @@ def pack_documents(
                 yield packer.batch()
         packer.flush()
         yield packer.batch()
+        del encoder, packer
+        release()
 
     chosen = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(pack, PIECE_SCHEMA)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folio.llm.texts import mixed, slices, window_hashes, word_hashes
+from folio.llm.texts import mixed, release, slices, window_hashes, word_hashes
 
 SAMPLE_ROWS = 8_000  # labelled rows that the forest and its threshold are made from
 TREES = 100
@@ -252,6 +252,7 @@ def _judge(model: dict | None):
                 [*[pa.array(stats[:, k]) for k in range(len(STATS))], pa.array(failed), pa.array(scores), pa.array(kept)],
                 names=[*STATS, "base_failed", "anomaly", "kept"],
             )
+        release()
 
     return F.arrow_udf(judge, f"struct<{fields}, base_failed: boolean, anomaly: double, kept: boolean>").asNondeterministic()
 
