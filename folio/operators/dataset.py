@@ -163,9 +163,16 @@ def template_augment(
     return worded.withColumn("formatted", prompts.training_chat(F.col("input"), F.col("output")))
 
 
-def chat_template(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """One prompt per conversation: its messages in order and the assistant's opening."""
+def chat_template(messages: DataFrame, conv: str, turn: str, role: str, text: str, system: str | None = None) -> DataFrame:
+    """One prompt per conversation: its messages in order and the assistant's opening.
+
+    With ``system``, a conversation whose first message is not the system's begins with it.
+    """
     m = F.array_sort(
         F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))
     )
-    return messages.groupBy(conv).agg(prompts.chat_prompt(m).alias("prompt"))
+    prompt = prompts.chat_prompt(m)
+    if system is not None:
+        opened = F.concat(F.lit(f"<|im_start|>system\n{system}<|im_end|>\n"), prompt)
+        prompt = F.when(F.get(m, F.lit(0))["role"] == "system", prompt).otherwise(opened)
+    return messages.groupBy(conv).agg(prompt.alias("prompt"))

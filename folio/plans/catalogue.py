@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from folio.functions.rows import unroll
 from folio.operators import answers, chunk, dataset, kb, ordered, parse, pruned, rag, retrieve, tokens, vocabulary
 from folio.plans import standins as S
 from folio.session import checkpoint_dir, delete_at_end, write_once
-from folio.sinks import files as csv_files, tables, text_index
+from folio.sinks import completions, files as csv_files, tables, text_index
 from folio.sources import books, files
 from folio.streaming import jobs
 from folio.streaming.answers import assemble_stream
@@ -172,6 +173,29 @@ def completion_prompts(spark, d):
     return dataset.completion_prompts(_benchmark_qa(spark, d)).select("item_id", "prompt")
 
 
+def _fails_from(remainder):
+    """A completer that fails for some prompts, by their hash."""
+
+    def complete(batch):
+        digests = [hashlib.md5(p.encode()).hexdigest() for p in batch]
+        if any(int(h[:7], 16) % 4 >= remainder for h in digests):
+            raise ValueError("busy")
+        return batch.map(lambda p: hashlib.md5(p.encode()).hexdigest())
+
+    return complete
+
+
+@query
+def completions_resumed(spark, d):
+    """Three runs over the same prompts; each asks what the ones before did not get."""
+    root = _work(spark, "completions")
+    rows = completion_prompts(spark, d)
+    for remainder in (1, 2, 3):
+        completions.complete_missing(rows, root, _fails_from(remainder))
+    delete_at_end(spark, root)
+    return completions.with_responses(rows, root).select("item_id", "response", "reject", "attempts")
+
+
 @query
 def expand_variants(spark, d):
     t = F.col("input")
@@ -426,6 +450,13 @@ def sse_frame(spark, d):
     return answers.sse_frames(S.document_chunks(spark, d), "chunk").select("doc_id", "seq", "frame")
 
 
+@query
+def chat_template_system(spark, d):
+    """The same with a system turn before conversations that have none."""
+    c = S.table(spark, d, "conversations")
+    return dataset.chat_template(c, "conv_id", "turn", "role", "text", system=S.SYSTEM)
+
+
 @query
 def special_tokens(spark, d):
     """Chat prompts with their special tokens removed again."""

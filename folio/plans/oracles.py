@@ -519,3 +519,14 @@ SELECT request_id + {S.DAMAGED}, NULL, NULL, NULL, reject FROM ({ORACLES["reques
 UNION ALL
 SELECT item_id + {S.DAMAGED}, NULL, NULL, NULL, 'no such model' FROM benchmark WHERE item_id % 5 = 0
 """
+
+ORACLES["completions_resumed"] = f"""
+SELECT item_id, CASE WHEN h < 3 THEN md5(prompt) END AS response, CASE WHEN h = 3 THEN 'ValueError: busy' END AS reject,
+       CAST(least(h + 1, 3) AS INTEGER) AS attempts
+FROM (SELECT item_id, prompt, {_hash('prompt')} % 4 AS h FROM ({ORACLES["completion_prompts"]}))
+"""
+_OPENED = _s("<|im_start|>system\n" + S.SYSTEM + "<|im_end|>\n")
+ORACLES["chat_template_system"] = f"""
+SELECT conv_id, CASE WHEN first_role = 'system' THEN prompt ELSE {_OPENED} || prompt END AS prompt
+FROM ({ORACLES["chat_template"]}) JOIN (SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id) USING (conv_id)
+"""

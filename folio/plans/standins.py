@@ -144,6 +144,7 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return real.unionByName(blank).select("request_id", body.alias("value"))
 
 
+SYSTEM = "You are a helpful assistant."
 DAMAGED = 1 << 40  # is added to the ids of damaged requests where good ones come along
 
 

@@ -53,6 +53,30 @@ def test_a_failing_completion_leaves_the_others(spark):
     assert got == [("fine", 0), ("fine", 1), ("fine", 2), ("good", 0), ("good", 1), ("good", 2)]
 
 
+def test_a_rerun_asks_only_what_is_missing(spark, tmp_path):
+    from folio.sinks import completions
+
+    root, log = str(tmp_path / "runs"), tmp_path / "asked"
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(["a", "b", "bad", "a", "later", None])], "n int, prompt string")
+
+    def completer(refused):
+        def complete(batch):
+            if set(batch) & refused:
+                raise ValueError("refused")
+            with log.open("a") as f:
+                f.writelines(f"{p}\n" for p in batch)
+            return batch.str.upper()
+
+        return complete
+
+    assert completions.complete_missing(df, root, completer({"bad", "later"}), attempts=2) == 1
+    assert completions.complete_missing(df, root, completer({"bad"}), attempts=2) == 2
+    assert completions.complete_missing(df, root, completer(set()), attempts=2) == 3
+    assert sorted(log.read_text().split()) == ["a", "b", "later"]  # no prompt twice, and 'bad' not a third time
+    got = {r.n: (r.response, r.reject, r.attempts) for r in completions.with_responses(df, root).collect()}
+    assert got == {0: ("A", None, 1), 1: ("B", None, 1), 2: (None, "ValueError: refused", 2), 3: ("A", None, 1), 4: ("LATER", None, 2), 5: (None, None, 0)}
+
+
 def test_template_augment(spark):
     df = spark.createDataFrame([(i, f"药{i}", f"名{i}") for i in range(40)], "id int, input string, output string")
     rows = D.template_augment(df, ["id"]).collect()
