@@ -129,3 +129,35 @@ def with_row_index(rows: DataFrame, order: list[str], out: str, start: int = 0)
     return fixed.join(F.broadcast(offset_table), "_part").select(
         *rows.columns, (F.col("_offset") + F.col("_at")).alias(out)
     )
+
+
+# Hex of an unfinished UTF-8 character at the end: a first byte of two or more, and fewer
+# following bytes than it asks for.
+_UNFINISHED = "^(?:..)*?((?:[CDEF].)|(?:[EF].[89AB].)|(?:F.[89AB].[89AB].))$"
+
+
+def decode_chunks(rows: DataFrame, group: list[str], seq: str, chunk: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the text that each chunk of a group's UTF-8 bytes finishes, however the bytes are cut.
+
+    What is handed on is an unfinished character of three bytes at most, so a row needs the
+    three rows before it that have bytes, and a block the last three of the block before,
+    which are copied into it. An empty chunk finishes nothing; bytes that never make a
+    character stay without text. ``(group, seq)`` must be unique.
+    """
+    numbered = with_row_index(rows.filter(F.octet_length(chunk) > 0), [*group, seq], "_n")
+    block = F.floor(F.col("_n") / F.lit(block_rows))
+    near_end = F.col("_n") % block_rows >= block_rows - 3
+    # (block, copied): every row in its own block, the last three in the next one as well.
+    places = F.array_compact(F.array(F.struct(block.alias("b"), F.lit(False).alias("copy")), F.when(near_end, F.struct((block + 1).alias("b"), F.lit(True).alias("copy")))))
+    placed = numbered.withColumn("_place", F.explode(places)).withColumn("_hex", F.hex(chunk))
+    before = Window.partitionBy("_place.b").orderBy("_n").rowsBetween(-3, -1)
+    same = F.struct(*group)
+    earlier = F.collect_list(F.struct(same.alias("g"), F.col("_hex").alias("h"))).over(before)
+    tailed = placed.withColumn("_earlier", earlier).filter("NOT _place.copy")
+    joined = F.array_join(F.transform(F.filter("_earlier", lambda e: e.g.eqNullSafe(same)), lambda e: e.h), "")
+    pending = F.regexp_extract(F.substring(joined, -6, 6), _UNFINISHED, 1)
+    whole = tailed.withColumn("_all", F.concat(pending, "_hex"))
+    left = F.regexp_extract(F.substring("_all", -6, 6), _UNFINISHED, 1)
+    text = F.decode(F.unhex(F.substring("_all", F.lit(1), F.length("_all") - F.length(left))), "UTF-8")
+    empty = rows.filter(F.coalesce(F.octet_length(chunk), F.lit(0)) == 0).withColumn(out, F.lit(""))
+    return whole.select(*rows.columns, text.alias(out)).unionByName(empty)

@@ -445,6 +445,13 @@ def cumulative_text(spark, d):
     )
 
 
+@query
+def byte_chunks_decoded(spark, d):
+    """Texts cut every seven bytes, decoded chunk by chunk and put together again."""
+    decoded = ordered.decode_chunks(S.byte_chunks(spark, d), ["doc_id"], "seq", "chunk", "text")
+    return ordered.joined_text(decoded, ["doc_id"], ["seq"], "text", "text")
+
+
 @query
 def sse_frame(spark, d):
     return answers.sse_frames(S.document_chunks(spark, d), "chunk").select("doc_id", "seq", "frame")

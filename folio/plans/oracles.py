@@ -530,3 +530,4 @@ ORACLES["chat_template_system"] = f"""
 SELECT conv_id, CASE WHEN first_role = 'system' THEN prompt ELSE {_OPENED} || prompt END AS prompt
 FROM ({ORACLES["chat_template"]}) JOIN (SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id) USING (conv_id)
 """
+ORACLES["byte_chunks_decoded"] = "SELECT doc_id, text FROM documents WHERE length(text) > 0"

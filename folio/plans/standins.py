@@ -144,6 +144,13 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return real.unionByName(blank).select("request_id", body.alias("value"))
 
 
+def byte_chunks(spark: SparkSession, sf_dir: str, size: int = 7) -> DataFrame:
+    """Texts as chunks of ``size`` bytes, which cut characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("h"))
+    parts = F.regexp_extract_all("h", F.lit(f".{{1,{2 * size}}}"), F.lit(0))
+    return unroll(docs, ["doc_id"], parts, "seq", "h").select("doc_id", "seq", F.unhex("h").alias("chunk"))
+
+
 SYSTEM = "You are a helpful assistant."
 DAMAGED = 1 << 40  # is added to the ids of damaged requests where good ones come along
 
