@@ -112,14 +112,16 @@ def pack_documents(
     id: str = "doc_id",
     text: str = "text",
     keep_ids: bool = False,
+    parts_kept: int = PARTS_KEPT,
 ) -> DataFrame:
-    """One row per piece; ``keep_ids`` adds its ids, else the column ``ids`` is null."""
+    """One row per piece; ``keep_ids`` adds its ids, else the column ``ids`` is null. A smaller
+    ``parts_kept`` takes less memory and more time; the result is the same."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(capacity, TaskContext.get().partitionId() << 32, keep_ids)
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, PARTS_KEPT)
+            encoder = encoder or Encoder(tokenizer, parts_kept)
             doc_ids, at = batch.column(0).to_pylist(), 0
             for texts in slices(batch.column(1), SLICE):
                 ids, lengths = encoder.encode(texts, end_id)
