@@ -46,8 +46,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences."""
-    return packing.pack_documents(docs, tokenizer_path(), end_id=0).drop("ids")
+    """The pieces of the sequences. Workers still hold memory of the stages before."""
+    return packing.pack_documents(docs, tokenizer_path(), end_id=0, parts_kept=100_000).drop("ids")
 
 
 STAGES = [
