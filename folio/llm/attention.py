@@ -67,9 +67,11 @@ def neighbour_sums(ids: np.ndarray, inputs: np.ndarray, codes: np.ndarray) -> np
     n_ids = len(codes)
     out = np.zeros((n_ids, 1 + 2 * CODES))
     out[:, 0] = np.bincount(ids, minlength=n_ids)
+    pairs, times = np.unique(inputs * n_ids + ids, return_counts=True)  # each pair of neighbours once
+    before, after = pairs // n_ids, pairs % n_ids
     for k in range(CODES):
-        out[:, 1 + k] = np.bincount(ids, codes[inputs, k], minlength=n_ids)
-        out[:, 1 + CODES + k] = np.bincount(inputs, codes[ids, k], minlength=n_ids)
+        out[:, 1 + k] = np.bincount(after, codes[before, k] * times, minlength=n_ids)
+        out[:, 1 + CODES + k] = np.bincount(before, codes[after, k] * times, minlength=n_ids)
     return out
 
 
@@ -103,13 +105,15 @@ class IdClasses:
         in_class, members = np.bincount(self.class_of, counts, minlength=CLASSES), np.bincount(self.class_of, minlength=CLASSES)
         self.share = (counts + ALPHA) / (in_class + ALPHA * members)[self.class_of]
 
-    def follow_counts(self, ids: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-        """How often each id follows each kind of id."""
-        out = np.zeros((len(self.share), KINDS), np.float32)
+    def count_follows(self, out: np.ndarray, ids: np.ndarray, inputs: np.ndarray) -> None:
+        """Add to ``out`` (ids, KINDS) how often each id follows each kind of id."""
         pairs, times = np.unique(ids * KINDS + self.kind_of[inputs], return_counts=True)
-        out.ravel()[pairs] = times
-        return out
+        out.ravel()[pairs] += times.astype(out.dtype)
 
+    def follow_counts(self, ids: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.share), KINDS), np.uint32)
+        self.count_follows(out, ids, inputs)
+        return out
 
 
 class Shares:
@@ -121,7 +125,7 @@ class Shares:
         share = classes.share.astype(np.float32)
         known = follow.any(axis=1) if follow is not None else np.zeros(len(share), bool)
         self.row_of = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)
-        rows = follow[known] if follow is not None else np.zeros((0, KINDS), np.float32)
+        rows = follow[known].astype(np.float32) if follow is not None else np.zeros((0, KINDS), np.float32)
         self.rows = np.log10(rows + np.float32(BACKED) * share[known][:, None])
         self.unmet = np.log10(np.float32(BACKED) * share)
         of_class = np.zeros((CLASSES, KINDS))
@@ -186,74 +190,105 @@ def _exp(scores: np.ndarray) -> np.ndarray:
     return scores.astype(np.int32).view(np.float32)
 
 
+class Trainer:
+    """Steps of gradient descent over windows, with a rate per parameter that falls as its
+    gradients add up. Texts come in pieces of any number; what is kept between them has the
+    size of the network."""
+
+    def __init__(self, net: Network, class_of: np.ndarray, rate: float, seed: int):
+        self.net, self.class_of, self.rate = net, class_of.astype(np.int32), rate
+        self.rng, self.touched, self.steps = np.random.default_rng(seed), np.zeros(len(net.embedding), bool), 0
+        self.past = [np.full(a.shape, 0.1, np.float32) for a in net.dense()]
+        self.past_rows = np.full(len(net.embedding), 0.1, np.float32)
+
+    def learn(self, ids: np.ndarray, inputs: np.ndarray, lengths: np.ndarray) -> None:
+        """One pass over the windows of these texts, in random order; the first texts of a
+        task are passed over again until it has made ``LEAST_STEPS``."""
+        place, _, n_blocks = blocks_of(lengths)
+        if not len(place):
+            return
+        flat, wanted = np.full(n_blocks * STRIDE, len(self.net.embedding) - 1, np.int32), np.zeros(n_blocks * STRIDE, np.int32)
+        flat[place], wanted[place] = inputs, self.class_of[ids]
+        holds = np.zeros(n_blocks, bool)
+        holds[place // STRIDE] = True
+        scored = np.flatnonzero(holds)
+        del place
+        while True:
+            order = self.rng.permutation(scored)
+            for at in range(0, len(order), BATCH):
+                here = order[at : at + BATCH, None] * STRIDE + np.arange(-STRIDE, STRIDE)
+                self._step(flat[here], wanted[here[:, STRIDE:]].ravel())
+            if self.steps >= LEAST_STEPS:
+                return
+
+    def _step(self, around: np.ndarray, target: np.ndarray) -> None:
+        net, blank, n = self.net, len(self.net.embedding) - 1, len(around)
+        scale = np.float32(SIZE**-0.5)
+        seen = (around != blank).astype(np.float32)
+        counted = seen[:, STRIDE:].ravel()
+        x = net.embedding[around.ravel()]
+        project = np.concatenate([net.query * scale, net.key, net.value], axis=1)
+        qkv = (x @ project).reshape(n, WINDOW, 3 * SIZE)
+        q, k, v = qkv[:, STRIDE:, :SIZE], qkv[:, :, SIZE : 2 * SIZE], qkv[:, :, 2 * SIZE :]
+        a = _exp(q @ k.transpose(0, 2, 1))
+        a *= net.weights_back()
+        a *= seen[:, None, :]
+        a /= np.maximum(a.sum(axis=2, keepdims=True), np.float32(1e-20))
+        tail = x.reshape(n, WINDOW, SIZE)[:, STRIDE:]
+        h = (tail + a @ v).reshape(-1, SIZE)
+        p = h @ net.out
+        p += net.bias
+        p = _exp(p)
+
+        # From here on p is the gradient of the scores of the classes.
+        share = counted / np.float32(counted.sum())
+        p *= (share / p.sum(axis=1))[:, None]
+        p[np.arange(len(p)), target] -= share
+        d_h = p @ net.out.T
+        d_heads = d_h.reshape(n, STRIDE, SIZE)
+        d_s = d_heads @ v.transpose(0, 2, 1)
+        d_s -= (d_s * a).sum(axis=2, keepdims=True)
+        d_s *= a
+        d_back = np.bincount(np.maximum(BACK, 0).ravel(), d_s.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
+        d_qkv = np.zeros((n, WINDOW, 3 * SIZE), np.float32)
+        d_qkv[:, STRIDE:, :SIZE] = d_s @ k
+        d_qkv[:, :, SIZE : 2 * SIZE] = d_s.transpose(0, 2, 1) @ q
+        d_qkv[:, :, 2 * SIZE :] = a.transpose(0, 2, 1) @ d_heads
+        d_qkv = d_qkv.reshape(-1, 3 * SIZE)
+        d_x = d_qkv @ project.T
+        d_x.reshape(n, WINDOW, SIZE)[:, STRIDE:] += d_heads
+        d_x *= seen.reshape(-1, 1)
+        d_project = x.T @ d_qkv
+        grads = [
+            d_project[:, :SIZE] * scale,
+            d_project[:, SIZE : 2 * SIZE],
+            d_project[:, 2 * SIZE :],
+            d_back,
+            h.T @ p,
+            p.sum(axis=0),
+        ]
+        for value, grad, sums in zip(net.dense(), grads, self.past):
+            grad = grad * np.float32(10)
+            sums += grad * grad
+            value -= np.float32(self.rate) * grad / np.sqrt(sums)
+        placed = np.sort(around.ravel().astype(np.int64) * around.size + np.arange(around.size))
+        ordered, row_of = placed % around.size, placed // around.size
+        starts = np.flatnonzero(np.diff(row_of, prepend=-1))
+        rows = row_of[starts]
+        grad = np.float32(100) * np.add.reduceat(d_x[ordered], starts, axis=0)
+        self.past_rows[rows] += (grad * grad).mean(axis=1)
+        net.embedding[rows] -= np.float32(self.rate) * grad / np.sqrt(self.past_rows[rows])[:, None]
+        net.embedding[blank] = 0
+        self.touched[rows] = True
+        self.touched[blank] = False
+        self.steps += 1
+
+
 def train(net: Network, ids: np.ndarray, inputs: np.ndarray, lengths: np.ndarray, class_of: np.ndarray, rate: float, seed: int) -> np.ndarray:
-    """Steps of gradient descent over the windows, with a rate per parameter that falls as
-    its gradients add up. Changes ``net``; returns which embeddings were changed."""
-    blank, scale = len(net.embedding) - 1, np.float32(SIZE**-0.5)
-    rng, touched = np.random.default_rng(seed), np.zeros(len(net.embedding), bool)
-    past = [np.full(a.shape, 0.1, np.float32) for a in net.dense()]
-    past_rows = np.full(len(net.embedding), 0.1, np.float32)
-    place, _, n_blocks = blocks_of(lengths)
-    if not len(place):
-        return touched
-    flat, wanted = np.full(n_blocks * STRIDE, blank), np.zeros(n_blocks * STRIDE, np.int64)
-    flat[place], wanted[place] = inputs, class_of[ids]
-    scored = np.unique(place // STRIDE)
-    steps_a_pass = -(-len(scored) // BATCH)
-    for _ in range(max(1, -(-LEAST_STEPS // steps_a_pass))):
-        order = rng.permutation(scored)
-        for at in range(0, len(order), BATCH):
-            here = order[at : at + BATCH, None] * STRIDE + np.arange(-STRIDE, STRIDE)
-            around = flat[here]
-            seen = around != blank
-            counted = seen[:, STRIDE:]
-            x = net.embedding[around]
-            tail = x[:, STRIDE:]
-            q, k, v = tail @ net.query, x @ net.key, x @ net.value
-            a = _exp(q @ k.transpose(0, 2, 1) * scale) * net.weights_back() * seen[:, None, :]
-            a /= np.maximum(a.sum(axis=2, keepdims=True), 1e-20)
-            h = tail + a @ v
-            p = _exp(h @ net.out + net.bias)
-            p /= p.sum(axis=2, keepdims=True)
-
-            # From here on p is the gradient of the scores of the classes.
-            target = wanted[here[:, STRIDE:]][:, :, None]
-            np.put_along_axis(p, target, np.take_along_axis(p, target, 2) - 1, 2)
-            p *= counted[:, :, None] * np.float32(1 / counted.sum())
-            flat_p = p.reshape(-1, CLASSES)
-            d_h = p @ net.out.T
-            d_a = d_h @ v.transpose(0, 2, 1)
-            d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
-            d_back = np.bincount(np.maximum(BACK, 0).ravel(), d_s.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
-            d_s *= scale
-            d_q, d_k, d_v = d_s @ k, d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_h
-            d_x = d_k @ net.key.T + d_v @ net.value.T
-            d_x[:, STRIDE:] += d_h + d_q @ net.query.T
-            d_x *= seen[:, :, None]
-            flat_x = x.reshape(-1, SIZE)
-            grads = [
-                tail.reshape(-1, SIZE).T @ d_q.reshape(-1, SIZE),
-                flat_x.T @ d_k.reshape(-1, SIZE),
-                flat_x.T @ d_v.reshape(-1, SIZE),
-                d_back,
-                h.reshape(-1, SIZE).T @ flat_p,
-                flat_p.sum(axis=0),
-            ]
-            for value, grad, sums in zip(net.dense(), grads, past):
-                grad *= 10
-                sums += grad * grad
-                value -= rate * grad / np.sqrt(sums)
-            ordered = np.argsort(around, axis=None, kind="stable")
-            row_of = around.ravel()[ordered]
-            starts = np.flatnonzero(np.diff(row_of, prepend=-1))
-            rows = row_of[starts]
-            grad = 100 * np.add.reduceat(d_x.reshape(-1, SIZE)[ordered], starts, axis=0)
-            past_rows[rows] += (grad * grad).mean(axis=1)
-            net.embedding[rows] -= rate * grad / np.sqrt(past_rows[rows])[:, None]
-            net.embedding[blank] = 0
-            touched[rows] = True
-    touched[blank] = False
-    return touched
+    """Learn from texts that are there as a whole. Changes ``net``; returns which embeddings were changed."""
+    trainer = Trainer(net, class_of, rate, seed)
+    trainer.learn(ids, inputs, lengths)
+    return trainer.touched
 
 
 class Scorer:

@@ -6,12 +6,13 @@ most, are broadcast and scored where the text is read; every other word is rare,
 shuffled to its count, one row for each text that has it.
 
 Model: texts are ids of a byte-level vocabulary and an end id; ``attention`` has the
-network and its windows. It is learned by the tasks, from one training text in ``SHARE``
-(by hash), so the work grows with the corpus: first sums that give classes of ids, then
-two rounds of gradient descent, in which each task trains on its own rows and the changes
-are averaged; the last also counts which id follows which kind of id. An id's share of its
-class depends on the kind of the id before it. Sums go through two shuffles, so that the
-driver gets a handful of arrays of a fixed size, whatever the number of tasks.
+network and its windows. It is learned by the tasks from every training text: first sums
+that give classes of ids, then gradient descent. Each text is in one of ``ROUNDS`` rounds (by
+hash), after which the changes of the tasks, each of which trained on its own rows, are
+averaged; rounds also count which id follows which kind of id. An id's share of its class
+depends on the kind of the id before it. Sums go through two shuffles, so that the driver
+gets a handful of arrays of a fixed size, whatever the number of tasks. Texts are encoded
+once, to be learned from and scored.
 
 Defined results: a null or empty text has just its end; a null id is not learned from;
 rows that share an id are scored one by one, equal texts alike up to single precision;
@@ -36,13 +37,14 @@ from folio.llm.encoding import Encoder
 from folio.llm.texts import distinct, release, slices, split_words
 from folio.session import write_once
 
-SHARE = 32  # the network learns from one training text in so many
+SHARE = 1  # the network learns from one training text in so many: from all
 ROUNDS = 2
 HOT_WORDS = 400_000
 HOT_BYTES = 64  # of a word that is broadcast, at most
 END = ""  # stands for the end token among words, which are never empty
 PARTS_KEPT = 250_000  # parts of texts whose ids a task remembers
 SLICE = 3 << 20
+CHUNK = 1 << 20  # ids that a task learns from at a time; a longer text alone
 SPREAD = (64, 4)  # parts into which sums are dealt, one shuffle after another
 
 
@@ -109,7 +111,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     part = 0
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):  # one array at a time
+            row = batch.slice(at, 1).to_pylist()[0]
             part = row["part"]
             if row["name"] not in sums:
                 sums[row["name"]] = np.zeros((row["rows"], row["columns"]), row["kind"])
@@ -169,26 +172,49 @@ class LanguageModel:
         return float(np.log10((count + 1) / (self.train_tokens + self.words + 1)))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(tokenizer, PARTS_KEPT)
-    for batch in batches:
-        for texts in _texts(batch, 0):
-            ids, lengths = encoder.encode(texts, end_id)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["ids"])
-    del encoder
-    release()
+def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text, ids): every row with its ids, the end id last. Written once."""
+    read = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    names = ["id", "text", "ids"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer, PARTS_KEPT)
+        for batch in batches:
+            at = 0
+            for texts in _texts(batch, 1):
+                n = len(texts)
+                ids, lengths = encoder.encode(texts, end_id)
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), lists], names=names)
+                at += n
+        del encoder
+        release()
+
+    schema = f"id {docs.schema[id].dataType.simpleString()}, text string, ids array<int>"
+    return write_once(read.mapInArrow(encode, schema)).withColumnsRenamed({"id": id, "text": text})
 
 
 def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of whole texts and the number of ids of each, about ``CHUNK`` ids at a time."""
+    held, n = [], 0
     for batch in batches:
-        lists = batch.column(0)
-        yield np.asarray(lists.flatten(), np.int64), np.diff(np.asarray(lists.offsets, np.int64))
-
-
-def train_network(training: DataFrame, tokenizer: str, end_id: int, n_ids: int) -> attention.Scorer:
-    """Learn from ``training`` (text): sums for the classes, then rounds of descent."""
-    sample = write_once(training.select("text").mapInArrow(lambda b: _encoded(b, tokenizer, end_id), "ids array<int>"))
+        sizes = np.diff(np.asarray(batch.column(0).offsets, np.int64))
+        piece = np.cumsum(sizes) // CHUNK
+        for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(piece)) + 1):
+            if len(rows):
+                lists = batch.column(0).slice(rows[0], len(rows))
+                held.append((np.asarray(lists.flatten(), np.int64), sizes[rows]))
+                n += int(sizes[rows].sum())
+            if n >= CHUNK:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def train_network(training: DataFrame, end_id: int, n_ids: int) -> attention.Scorer:
+    """Learn from ``training`` (ids, round): sums for the classes, then rounds of descent."""
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         codes, sums = attention.neighbour_codes(n_ids), np.zeros((n_ids, 1 + 2 * attention.CODES))
@@ -196,66 +222,74 @@ def train_network(training: DataFrame, tokenizer: str, end_id: int, n_ids: int)
             sums += attention.neighbour_sums(ids, attention.inputs_of(ids, lengths, end_id), codes)
         return {"sums": sums}
 
-    classes = attention.IdClasses(add_up(sample, neighbours).get("sums", np.zeros((n_ids, 1 + 2 * attention.CODES))))
+    ids_of = training.select("ids")
+    classes = attention.IdClasses(add_up(ids_of, neighbours).get("sums", np.zeros((n_ids, 1 + 2 * attention.CODES))))
     net, follow = attention.Network.first(classes.points), None
     for number in range(ROUNDS):
 
         def descend(batches: Iterator[pa.RecordBatch], before=net, number=number) -> dict[str, np.ndarray]:
-            parts = list(_read_ids(batches))
-            if not parts:
+            now = before.copy()
+            trainer = attention.Trainer(now, classes.class_of, attention.RATE / 2**number, TaskContext.get().partitionId())
+            met = np.zeros((n_ids, attention.KINDS), np.uint32)
+            for ids, lengths in _read_ids(batches):
+                inputs = attention.inputs_of(ids, lengths, end_id)
+                classes.count_follows(met, ids, inputs)
+                trainer.learn(ids, inputs, lengths)
+            if not trainer.steps:
                 return {}
-            ids, lengths = (np.concatenate(c) for c in zip(*parts))
-            parts.clear()
-            inputs, now = attention.inputs_of(ids, lengths, end_id), before.copy()
-            touched = attention.train(now, ids, inputs, lengths, classes.class_of, attention.RATE / 2**number, TaskContext.get().partitionId())
             out = {f"dense{k}": (a - b).reshape(len(a), -1) for k, (a, b) in enumerate(zip(now.dense(), before.dense()))}
-            out |= {"rows": now.embedding - before.embedding, "touched": touched[:, None].astype(float), "tasks": np.ones((1, 1))}
-            if number == ROUNDS - 1:
-                out["follow"] = classes.follow_counts(ids, inputs)
-            return out
+            out |= {"rows": now.embedding - before.embedding, "touched": trainer.touched[:, None].astype(float), "tasks": np.ones((1, 1))}
+            return out | {"follow": met.reshape(-1, 1)}  # few of its numbers are not 0
 
-        sums = add_up(sample, descend)
+        sums = add_up(training.filter(F.col("round") == number).select("ids"), descend)
         if not sums:
-            break
+            continue
         net = net.moved(sums)
-        follow = sums.get("follow")
+        met = sums["follow"].reshape(n_ids, attention.KINDS)
+        follow = met if follow is None else follow + met
     return attention.Scorer(net, classes, follow)
 
 
-def fit_lm(training: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text") -> LanguageModel:
-    """Learn words and network from the rows of ``training``."""
+def fit_lm(training: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text", ids: str | None = None) -> LanguageModel:
+    """Learn words and network from the rows of ``training``; ``ids`` names the column of ``encode_texts``, if it is there."""
     from tokenizers import Tokenizer
 
-    read = training.select(F.col(id).cast("string").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    if ids is None:
+        training, ids = encode_texts(training, tokenizer, end_id, id, text), "ids"
+    read = training.select(F.col(id).cast("string").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(ids).alias("ids"))
     counts = word_counts(read)
     total, words, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END, F.col("n")))).first()
     total, words, ends = total or 0, words or 0, ends or 0
     hot = hot_words(counts)
     logs = np.log10((np.asarray(hot["n"], float) + 1) / (total + words + 1))
     n_ids = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    some = read.filter(F.pmod(F.xxhash64("id", "text"), F.lit(SHARE)) == 0)
-    scorer = train_network(some, tokenizer, end_id, n_ids)
+    learned = read if SHARE == 1 else read.filter(F.pmod(F.xxhash64("id", "text"), F.lit(SHARE)) == 0)
+    dealt = learned.select("ids", F.pmod(F.xxhash64("text", "id"), F.lit(ROUNDS)).alias("round"))
+    scorer = train_network(dealt, end_id, n_ids)
     return LanguageModel(scorer, end_id, tokenizer, counts, WordTable(hot["word"].combine_chunks(), logs), total, words, ends)
 
 
 # ---------------------------------------------------------------- scores
 
 
-def score_texts(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``."""
-    scorer, hot = model.scorer, model.hot
-    tokenizer, end_id = model.tokenizer, model.end_id
+def score_texts(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str = "text", ids: str | None = None) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``;
+    ``ids`` names the column of ``encode_texts``, if it is there."""
+    if ids is None:
+        docs, ids = encode_texts(docs, model.tokenizer, model.end_id, id, text), "ids"
+    scorer, hot, end_id = model.scorer, model.hot, model.end_id
     end_log, end_known = model.log10(model.end_count), int(model.end_count > 0)
     names = ["key", "id", "n_tokens", "n_known", "base", "score", "word", "times"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, key = Encoder(tokenizer, PARTS_KEPT), TaskContext.get().partitionId() << 33
+        key = TaskContext.get().partitionId() << 33
         for batch in batches:
             at = 0
             for texts in _texts(batch, 1):
                 n = len(texts)
-                ids, lengths = encoder.encode(texts, end_id)
-                logs = scorer.id_scores(ids.astype(np.int64), lengths, end_id)
+                lists = batch.column(2).slice(at, n)
+                lengths = np.diff(np.asarray(lists.offsets, np.int64))
+                logs = scorer.id_scores(np.asarray(lists.flatten(), np.int64), lengths, end_id)
                 ends = np.cumsum(lengths)
                 words, offsets = text_words(texts)
                 codes, values = distinct(words)
@@ -286,10 +320,9 @@ def score_texts(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[pairs // len(values)]), *blank, *rest], names=names)
                 at += n
             key += batch.num_rows
-        del encoder
         release()
 
-    read = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    read = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(ids).alias("ids"))
     kind = docs.schema[id].dataType.simpleString()
     schema = f"key long, id {kind}, n_tokens long, n_known long, base double, score double, word string, times long"
     rows = write_once(read.mapInArrow(score, schema))

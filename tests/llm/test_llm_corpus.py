@@ -154,6 +154,39 @@ def test_model_beats_the_untrained_one_on_held_out_rows(spark):
     assert a > 0.75 * b  # both below 0
 
 
+def test_every_training_text_is_learned_from(spark, monkeypatch):
+    rows = [(i, f"text {i} of {i % 7}") for i in range(90)] + [(1, "text 1 of 1"), (None, "no id"), (200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = [Encoder(queries.tokenizer_path()).encode(pa.array([t or ""]), 50_256)[0] for _, t in rows]
+    seen = {}
+
+    def scorer(net, classes, follow):
+        seen["classes"], seen["follow"] = classes, follow
+        return real(net, classes, follow)
+
+    real = attention.Scorer
+    monkeypatch.setattr(attention, "Scorer", scorer)
+    monkeypatch.setattr(lm, "CHUNK", 50)
+    lm.fit_lm(docs.repartition(3), queries.tokenizer_path(), 50_256)
+    counts = np.bincount(np.concatenate(plain), minlength=50_257)
+    assert seen["follow"].sum(axis=1).tolist() == counts.tolist()
+    wanted = attention.IdClasses(attention.neighbour_sums(ids := np.concatenate(plain).astype(np.int64), attention.inputs_of(ids, np.array([len(p) for p in plain]), 50_256), attention.neighbour_codes(50_257)))
+    assert np.allclose(seen["classes"].share, wanted.share)
+
+
+def test_pieces_of_a_task_are_learned_from_in_turn(monkeypatch):
+    monkeypatch.setattr(attention, "LEAST_STEPS", 1)
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 40, n) for n in rng.integers(1, 90, 30)]
+    classes = attention.IdClasses(np.column_stack([np.ones(41), rng.random((41, 2 * attention.CODES))]))
+    trainer = attention.Trainer(attention.Network.first(classes.points), classes.class_of, 0.02, 1)
+    for some in (texts[:10], texts[10:]):
+        lengths = np.array([len(t) for t in some])
+        trainer.learn(np.concatenate(some), attention.inputs_of(np.concatenate(some), lengths, 40), lengths)
+    met = {i for t in texts for i in [40, *t[:-1]]}
+    assert set(np.flatnonzero(trainer.touched)) == met and trainer.steps == 2
+
+
 # ---------------------------------------------------------------- spelling variants
 
 
