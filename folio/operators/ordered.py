@@ -9,7 +9,13 @@ summary row per block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folio.session import write_once
 
@@ -131,33 +137,151 @@ def with_row_index(rows: DataFrame, order: list[str], out: str, start: int = 0)
     )
 
 
-# Hex of an unfinished UTF-8 character at the end: a first byte of two or more, and fewer
-# following bytes than it asks for.
-_UNFINISHED = "^(?:..)*?((?:[CDEF].)|(?:[EF].[89AB].)|(?:F.[89AB].[89AB].))$"
-
-
 def decode_chunks(rows: DataFrame, group: list[str], seq: str, chunk: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add the text that each chunk of a group's UTF-8 bytes finishes, however the bytes are cut.
 
-    What is handed on is an unfinished character of three bytes at most, so a row needs the
-    three rows before it that have bytes, and a block the last three of the block before,
-    which are copied into it. An empty chunk finishes nothing; bytes that never make a
-    character stay without text. ``(group, seq)`` must be unique.
+    Rows are sorted once and decoded by the task that sorted them, ``block_rows`` at most at a
+    time: what a row leaves unfinished, three bytes at most, goes to the next one. The bytes
+    that a task's first rows may owe to the task before it are noted, a few rows for each
+    task, and put together afterwards. An empty chunk finishes nothing; bytes that never make
+    a character stay without text, other faults raise. ``(group, seq)`` must be unique.
     """
-    numbered = with_row_index(rows.filter(F.octet_length(chunk) > 0), [*group, seq], "_n")
-    block = F.floor(F.col("_n") / F.lit(block_rows))
-    near_end = F.col("_n") % block_rows >= block_rows - 3
-    # (block, copied): every row in its own block, the last three in the next one as well.
-    places = F.array_compact(F.array(F.struct(block.alias("b"), F.lit(False).alias("copy")), F.when(near_end, F.struct((block + 1).alias("b"), F.lit(True).alias("copy")))))
-    placed = numbered.withColumn("_place", F.explode(places)).withColumn("_hex", F.hex(chunk))
-    before = Window.partitionBy("_place.b").orderBy("_n").rowsBetween(-3, -1)
-    same = F.struct(*group)
-    earlier = F.collect_list(F.struct(same.alias("g"), F.col("_hex").alias("h"))).over(before)
-    tailed = placed.withColumn("_earlier", earlier).filter("NOT _place.copy")
-    joined = F.array_join(F.transform(F.filter("_earlier", lambda e: e.g.eqNullSafe(same)), lambda e: e.h), "")
-    pending = F.regexp_extract(F.substring(joined, -6, 6), _UNFINISHED, 1)
-    whole = tailed.withColumn("_all", F.concat(pending, "_hex"))
-    left = F.regexp_extract(F.substring("_all", -6, 6), _UNFINISHED, 1)
-    text = F.decode(F.unhex(F.substring("_all", F.lit(1), F.length("_all") - F.length(left))), "UTF-8")
+    ordered = rows.filter(F.octet_length(chunk) > 0).repartitionByRange(*group, seq).sortWithinPartitions(*group, seq)
+    columns = rows.columns
+    border = "_kind int, _part int, _at long, _bytes binary"
+    typed = T.StructType([*rows.schema, T.StructField(out, T.StringType()), *T._parse_datatype_string(border)])
+    names = typed.names
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _ChunkDecoder(TaskContext.get().partitionId(), [columns.index(g) for g in group], columns.index(chunk), names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_rows):
+                yield task.decoded(batch.slice(at, block_rows))
+        if task.last is not None:
+            yield task.end()
+
+    written = write_once(ordered.mapInArrow(decode, typed))
+    met = written.filter("_kind > 0").select("_part", "_kind", "_at", F.struct(*group).alias("g"), "_bytes", F.octet_length(chunk).alias("n"))
+    fixes = _finished_between(sorted(met.collect(), key=lambda r: r[:3]))  # a few rows per task
+    own = written.filter("_kind < 2")
+    if fixes:
+        table = rows.sparkSession.createDataFrame(fixes, "_part int, _at long, _finished string")
+        own = own.join(F.broadcast(table), ["_part", "_at"], "left")
+        own = own.withColumn(out, F.concat(F.coalesce("_finished", F.lit("")), F.col(out)))
     empty = rows.filter(F.coalesce(F.octet_length(chunk), F.lit(0)) == 0).withColumn(out, F.lit(""))
-    return whole.select(*rows.columns, text.alias(out)).unionByName(empty)
+    return own.select(*columns, out).unionByName(empty)
+
+
+def _unfinished(data: np.ndarray, ends: np.ndarray, starts: np.ndarray | int) -> np.ndarray:
+    """How many bytes before each end, and not before its start, begin a character that needs more."""
+
+    def back(k: int) -> np.ndarray:
+        return np.where(ends - k >= starts, data[np.maximum(ends - k, 0)], 0)
+
+    one, two, three = back(1), back(2), back(3)
+    goes_on, more = (one & 0xC0) == 0x80, (two & 0xC0) == 0x80
+    return np.where((three >= 0xF0) & more & goes_on, 3, np.where((two >= 0xE0) & goes_on, 2, np.where(one >= 0xC0, 1, 0)))
+
+
+def _changes(before: pa.Array, values: pa.Array) -> np.ndarray:
+    """Which values differ from the one before them; nulls are alike, and so are NaNs."""
+    both = pa.concat_arrays([before, values])
+    if pa.types.is_nested(both.type):
+        plain = both.to_pylist()
+        return np.array([a != b for a, b in zip(plain, plain[1:])])
+    a, b = both[:-1], both[1:]
+    differ = np.asarray(pc.fill_null(pc.not_equal(a, b), False)) | np.asarray(pc.xor(pc.is_null(a), pc.is_null(b)))
+    if pa.types.is_floating(both.type):
+        differ &= ~np.asarray(pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return differ
+
+
+class _ChunkDecoder:
+    """The sorted rows of one task, in turn. Rows get ``_kind`` 1 if they begin with bytes that
+    may go on with a character of the task before; a row of kind 2 tells what is left at the end."""
+
+    def __init__(self, part: int, group: list[int], chunk: int, names: list[str]):
+        self.part, self.group, self.chunk, self.names = part, group, chunk, names
+        self.last: pa.RecordBatch | None = None  # the row before
+        self.left, self.at = b"", 0  # unfinished bytes; rows so far
+        self.head = 3  # how many more bytes may go on with an earlier character
+        self.only_head = True
+
+    def decoded(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        column = batch.column(self.chunk).cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        places = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+        body = np.frombuffer(data, np.uint8)[places[0] : places[-1]]
+        held = len(self.left)
+        data = np.concatenate([np.frombuffer(self.left, np.uint8), body])
+        bounds = places - places[0] + held
+        starts, ends = bounds[:-1], bounds[1:]
+        new = np.zeros(n, bool)
+        for g in self.group:
+            values = batch.column(g)
+            new |= _changes(values[:1] if self.last is None else self.last.column(g), values)
+        group_start = np.maximum.accumulate(np.where(new, starts, 0))
+        stops = ends - _unfinished(data, ends, group_start)  # where each row's text ends
+        begins = np.where(new, starts, np.concatenate([[0], stops[:-1]]))
+
+        first = np.zeros(n, np.int64)  # bytes of each row that may belong to the task before
+        if self.head:
+            own = np.flatnonzero(new)
+            upto = int(starts[own[0]]) if len(own) else len(data)
+            ahead = data[: min(self.head, upto)] if not held else data[:0]
+            other = np.flatnonzero((ahead & 0xC0) != 0x80)
+            n_head = int(other[0]) if len(other) else len(ahead)
+            first = np.clip(n_head - starts, 0, ends - starts)
+            self.only_head = self.only_head and n_head == len(data)
+            self.head = self.head - n_head if self.only_head else 0
+        elif n:
+            self.only_head = False
+        kept = np.ones(len(data), bool)
+        kept[: int(first.sum())] = False
+        for row in np.flatnonzero(new):  # what the group before leaves has no text
+            kept[(stops[row - 1] if row else 0) : starts[row]] = False
+        count = np.concatenate([[0], np.cumsum(kept)])
+        sizes = count[stops] - count[begins]
+        kept[stops[-1] :] = False
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(data[kept].tobytes())])
+        noted = (first > 0) | (self.at + np.arange(n) == 0)
+        ats = self.at + np.arange(n)
+        n_noted = int(noted.sum())  # they come first
+        heads = [data[s : s + f].tobytes() for s, f in zip(starts[:n_noted], first)] + [None] * (n - n_noted)
+        columns = [
+            *batch.columns,
+            texts.cast(pa.large_string()).cast(pa.string()),
+            pa.array(noted.astype(np.int32)),
+            pa.array(np.full(n, self.part, np.int32), mask=~noted),
+            pa.array(ats, mask=~noted),
+            pa.array(heads, pa.binary()),
+        ]
+        self.left, self.at, self.last = data[stops[-1] :].tobytes(), self.at + n, batch.slice(n - 1, 1)
+        return pa.RecordBatch.from_arrays(columns, names=self.names)
+
+    def end(self) -> pa.RecordBatch:
+        values = [[2], [self.part], [self.at], [None if self.only_head else self.left]]
+        columns = [pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*self.last.columns, pa.nulls(1, pa.string()), *columns], names=self.names)
+
+
+def _finished_between(met: list) -> list[tuple[int, int, str]]:
+    """(task, row, text) of the characters that one task begins and a later one finishes."""
+    fixes, group, pending = [], None, b""
+    for r in met:
+        own = tuple("NaN" if v != v else v for v in r.g)
+        if r._kind == 1:
+            if own != group:
+                group, pending = own, b""
+            pending += bytes(r._bytes)
+            data = np.frombuffer(pending, np.uint8)
+            whole = len(data) - (int(_unfinished(data, np.array([len(data)]), 0)[0]) if len(data) else 0)
+            if whole:
+                fixes.append((r._part, r._at, pending[:whole].decode()))
+            pending = pending[whole:]
+            if r.n > len(r._bytes):
+                pending.decode()  # raises if the row goes on with something else
+        elif r._bytes is not None:  # a task whose rows all go on with a character hands on what it was given
+            group, pending = own, bytes(r._bytes)
+    return fixes
