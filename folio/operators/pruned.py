@@ -26,6 +26,7 @@ from folio.session import write_once
 
 BLOCK_ROWS = 8
 SEEDS = 32
+MAX_PAIRS = 1_000_000  # products that a task works out at one time
 SLACK = 10.0**-retrieve.DIGITS  # distances are rounded, bounds are not
 
 _BLOCK = "block long, ids array<{id}>, tokens array<string>, tops array<double>, sizes array<int>, rows array<int>, weights array<double>"
@@ -52,7 +53,7 @@ def block_index(index: retrieve.TextIndex) -> BlockIndex:
     norms = retrieve.RowNorms(index.hot, index.n)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in retrieve.token_slices(whole)):
             columns = [batch.column(c) for c in ("id", "tokens", "tfs")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(norms.of(batch))], names=["id", "tokens", "tfs", "norm"])
 
@@ -102,7 +103,7 @@ def block_index(index: retrieve.TextIndex) -> BlockIndex:
             number += n_blocks
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "tokens", "tops", "sizes", "rows", "weights"])
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in retrieve.token_slices(whole)):
             held.append(batch)
             table = pa.Table.from_batches(held)
             whole = table.num_rows // BLOCK_ROWS * BLOCK_ROWS
@@ -126,6 +127,18 @@ def _postings(batch: pa.RecordBatch, held: retrieve.QueryBlock) -> tuple[np.ndar
     return (*expanded, batch.column("rows").flatten().to_numpy()[some], batch.column("weights").flatten().to_numpy()[some])
 
 
+def _few_products(batch: pa.RecordBatch, held: retrieve.QueryBlock, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most ``MAX_PAIRS`` products with the queries, one block at least."""
+    per_query = np.append(np.diff(held.first), 0)  # none for a token that is not asked for
+    for some in retrieve.token_slices(batch, most):
+        lists = some.column("tokens")
+        codes = pc.fill_null(pc.index_in(lists.flatten(), value_set=held.tokens), -1).to_numpy()
+        at = np.repeat(np.arange(some.num_rows), np.diff(lists.offsets.to_numpy()))
+        products = np.bincount(at, some.column("sizes").flatten().to_numpy() * per_query[codes], minlength=some.num_rows)
+        for blocks in retrieve.runs_within(products, MAX_PAIRS):
+            yield some.slice(blocks.start, blocks.stop - blocks.start)
+
+
 def _scan_blocks(blocks: DataFrame, held: retrieve.QueryBlock, limit: np.ndarray, query_type: str, id_type: str, k: int) -> DataFrame:
     """The k best rows per query of each task, of blocks whose bound reaches ``limit``; and
     rows with null ids that hold the products worked out and asked for."""
@@ -136,9 +149,7 @@ def _scan_blocks(blocks: DataFrame, held: retrieve.QueryBlock, limit: np.ndarray
         best, n = None, len(held.names)
         scored, asked = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for whole in batches:
-            step = max(1, retrieve.MAX_SCORE_CELLS // (n * BLOCK_ROWS))
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
+            for batch in _few_products(whole, held, max(1, retrieve.MAX_SCORE_CELLS // (n * BLOCK_ROWS))):
                 bound = held.dots(batch.column("tokens"), batch.column("tops").flatten().to_numpy())
                 reaches = (bound > 0) & (1.0 - bound <= limit[:, None] + SLACK)
                 block, code, row, weight = _postings(batch, held)

@@ -31,6 +31,8 @@ MAX_QUERY_CELLS = 4_000_000
 MAX_BLOCK_QUERIES = 4_096
 # Scores that a task holds at one time.
 MAX_SCORE_CELLS = 4_000_000
+# Tokens of rows that a task works on at one time, however many come in a batch.
+MAX_TASK_POSTINGS = 1_000_000
 HOT_TOKENS = 500_000
 DIGITS = 9
 
@@ -60,6 +62,23 @@ def _nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     return pd.DataFrame({"q": q, "id": ids[row], "distance": distance[q, row]})
 
 
+def runs_within(cells: np.ndarray, limit: int, most: int | None = None) -> Iterator[slice]:
+    """Runs of consecutive rows of at most ``limit`` cells and ``most`` rows, one row at least."""
+    ends, at = np.cumsum(cells), 0
+    while at < len(cells):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        if most is not None:
+            stop = min(stop, at + most)
+        yield slice(at, stop)
+        at = stop
+
+
+def token_slices(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most ``MAX_TASK_POSTINGS`` tokens, one row at least."""
+    for rows in runs_within(np.diff(batch.column("tokens").offsets.to_numpy()), MAX_TASK_POSTINGS, most):
+        yield batch.slice(rows.start, rows.stop - rows.start)
+
+
 def _scan_top_k(base: DataFrame, score: Callable, query_type: str, query_ids: list, k: int) -> DataFrame:
     """Rows ``(query, id, distance)``: the k best of each task.
 
@@ -70,13 +89,14 @@ def _scan_top_k(base: DataFrame, score: Callable, query_type: str, query_ids: li
     out_schema = f"query {query_type}, id {id_type}, distance double"
     fields = [("query", _arrow_type(query_type)), ("id", _arrow_type(id_type)), ("distance", pa.float64())]
     names = base.sparkSession.sparkContext.broadcast(query_ids)
+    names_in = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         step = max(1, MAX_SCORE_CELLS // len(names.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                rows = batch.slice(at, step)
+            whole = (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+            for rows in token_slices(batch, step) if "tokens" in names_in else whole:
                 ids = np.array(rows.column("id").to_pylist(), dtype=object)
                 found = _best(_nearest(score(rows), ids, k), k)
                 best = found if best is None else _best(pd.concat([best, found]), k)
@@ -308,7 +328,7 @@ def make_index(terms: DataFrame, vocabulary: DataFrame, n: int, analyzer: str) -
     shared = terms.sparkSession.sparkContext.broadcast(known)
 
     def rare_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in token_slices(whole)):
             lists = batch.column("tokens")
             tokens = lists.flatten()
             new = np.asarray(pc.is_null(pc.index_in(tokens, value_set=shared.value)), bool)

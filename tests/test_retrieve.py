@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
 import folio
-from folio.operators import rag, retrieve as R
+from folio.operators import pruned, rag, retrieve as R
 from folio.plugins import embed_letter_counts
 
 cloudpickle.register_pickle_by_value(folio)  # workers see the patched bounds
@@ -150,3 +151,26 @@ def test_requests_to_prompts(spark):
         3: f"Question: 麻黄{tail}",
         4: f"Question: nothing{tail}",
     }
+
+
+def test_tasks_work_on_few_products_at_a_time(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 30))) for i in range(300)] + [(300, ""), (301, None)]
+    base = spark.createDataFrame(texts, "id long, text string").repartition(2)
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w3 w5") for i in range(15)], "query_id long, question string")
+
+    def answers():
+        index = R.index_text(base)
+        plain = R.near_text(asked, index, 5).orderBy("query_id", "rank").collect()
+        found = pruned.near_text_pruned(asked, pruned.block_index(index), 5)
+        return plain, found.hits.orderBy("query_id", "rank").collect(), found.work.agg({"postings": "sum"}).collect()
+
+    want = answers()
+    monkeypatch.setattr(R, "MAX_TASK_POSTINGS", 200)
+    monkeypatch.setattr(pruned, "MAX_PAIRS", 100)
+    assert answers() == want and want[0] == want[1]
+    table = pa.table({"tokens": pa.array([["a"] * n for n in (150, 60, 250, 0, 10)])}).to_batches()[0]
+    assert [b.num_rows for b in R.token_slices(table)] == [1, 1, 1, 2]
+    assert [b.num_rows for b in R.token_slices(table.slice(1), 1)] == [1, 1, 1, 1]
+    asked_tokens = R.QueryBlock(pa.table({"query": [1, 2], "token": ["a", "a"], "w": [1.0, 1.0], "idf": [1.0, 1.0]}))
+    blocks = pa.table({"tokens": [["a"]] * 9, "sizes": pa.array([[20]] * 9, pa.list_(pa.int32()))}).to_batches()[0]
+    assert [b.num_rows for b in pruned._few_products(blocks, asked_tokens, 100)] == [2, 2, 2, 2, 1]
