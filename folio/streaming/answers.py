@@ -54,9 +54,12 @@ def assemble_stream(
         answer, begun, pending = state.get if state.exists else ("", False, b"")
         decoder = codecs.getincrementaldecoder("utf-8")(errors="replace")
         decoder.setstate((bytes(pending), 0))
-        arrived = pd.concat(list(batches)).sort_values(seq, kind="stable")
+        parts = list(batches)
+        arrived = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if not arrived[seq].is_monotonic_increasing:
+            arrived = arrived.sort_values(seq, kind="stable")
         so_far, numbers = [], arrived[seq].to_numpy()
-        for text in arrived[chunk]:
+        for text in arrived[chunk].tolist():
             if is_bytes:
                 text = decoder.decode(bytes(text))
             if marker in text:
