@@ -44,7 +44,7 @@ HOT_BYTES = 64  # of a word that is broadcast, at most
 END = ""  # stands for the end token among words, which are never empty
 PARTS_KEPT = 250_000  # parts of texts whose ids a task remembers
 SLICE = 3 << 20
-CHUNK = 1 << 20  # ids that a task learns from at a time; a longer text alone
+CHUNK = 1 << 18  # ids that a task learns from at a time; a longer text alone
 SPREAD = (64, 4)  # parts into which sums are dealt, one shuffle after another
 
 
