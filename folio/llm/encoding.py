@@ -5,31 +5,25 @@ characters always begins a new piece. So a text may be cut at such spaces, and e
 distinct part encoded once: corpora repeat their words. A text in which a space stands
 beside other white space, or which holds a special token's string, is encoded whole.
 
-Parts in Latin, Greek or Cyrillic script are cut into the pieces of the vocabulary's
-published pattern here, and the library's model merges each distinct piece; every other
-part goes through the library's whole path.
+For the same reason parts that begin with such a space may be put in a row and given to
+the library together: an id whose string begins with a space begins the next part.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
-from itertools import chain
+from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 PARTS_KEPT = 600_000  # distinct parts remembered within a task
 SLICE = 4 << 20  # bytes of text that callers hand over at once
+JOINED = 1_000  # parts given to the library as one text
 
-# The pattern of byte-level vocabularies, and the bytes they write as themselves.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_OTHER_BYTES = [b for b in range(256) if b not in set(PLAIN_BYTES)]
-LETTER_OF_BYTE = {b: b for b in PLAIN_BYTES} | {b: 256 + k for k, b in enumerate(_OTHER_BYTES)}
-KNOWN_SCRIPTS = "\u0530"  # characters below have had the same classes for long
+SPACE_LETTER = "\u0120"  # fixed value: how byte-level vocabularies write a space
 
 _SPACE = r"\x{1c}-\x{1f}\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _BESIDE_SPACE = f" [{_SPACE}]|[{_SPACE}] "
@@ -45,61 +39,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merge = self.tokenizer.model.tokenize
         cut = self.tokenizer.pre_tokenizer
-        self.byte_level = type(cut).__name__ == "ByteLevel" and not cut.add_prefix_space and self.tokenizer.normalizer is None
+        self.byte_level = (
+            type(cut).__name__ == "ByteLevel"
+            and not cut.add_prefix_space
+            and self.tokenizer.normalizer is None
+            and not any(" " in content for content in self.special)
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins_part = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins_part[[i for word, i in vocabulary.items() if word.startswith(SPACE_LETTER)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.piece: dict[str, bytes] = {}  # ids as bytes: nothing for the garbage collector to visit
-        self.ids = np.empty(0, np.uint32)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
+        """Ids of parts lie in a row; a part's place is that of its start and length. A part
+        that begins with a space is kept without it; a space alone is there from the start."""
+        self.ids, self.lengths = self._whole([" "])
+        self.starts = np.zeros(1, np.int64)
+        self.opening: dict[str, int] = {}
+        self.later: dict[str, int] = {"": 0}
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one piece of the pattern, by the library's model."""
-        letters = piece
-        if not (piece.isascii() and piece.isprintable() and " " not in piece):
-            letters = piece.encode().decode("latin-1").translate(LETTER_OF_BYTE)
-        self.piece[piece] = found = array("I", [t.id for t in self.merge(letters)]).tobytes()
-        return found
-
-    def _by_pieces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lengths, known = bytearray(), [], self.piece
-        for part in parts:
-            before = len(ids)
-            for piece in (part,) if part.isalpha() or part[1:].isalpha() and part[0] == " " else PIECES.findall(part):
-                ids += known.get(piece) or self._piece(piece)
-            lengths.append((len(ids) - before) // 4)
-        return np.frombuffer(ids, np.uint32), np.array(lengths, np.int64)
-
-    def _places(self, parts: list[str]) -> np.ndarray:
-        """Places of the parts' ids; parts not seen before are encoded."""
-        new = [p for p in parts if p not in self.place]
-        by_pieces = [p for p in new if p.isascii() or max(p) < KNOWN_SCRIPTS]
-        whole = [p for p in new if not (p.isascii() or max(p) < KNOWN_SCRIPTS)]
-        for some, encode in ((by_pieces, self._by_pieces), (whole, self._whole)):
-            if not some:
-                continue
+    def _after_spaces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that follow a space each; none is empty."""
+        ids, lengths = [], []
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
+            found = np.array(found, np.uint32)
+            first = np.flatnonzero(self.begins_part[found])
+            if len(first) == len(some) and not first[0]:
+                n = np.diff(first, append=len(found))
+            else:  # a vocabulary that lacks bytes
+                found, n = self._whole([" " + part for part in some])
+            ids.append(found)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _places(self, parts: list[str], place: dict[str, int], encode: Callable) -> np.ndarray:
+        """Places of distinct parts' ids; parts not seen before are encoded."""
+        found = np.fromiter(map(place.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            some = [parts[k] for k in new.tolist()]
             ids, lengths = encode(some)
-            self.place.update(zip(some, range(len(self.lengths), len(self.lengths) + len(some))))
+            found[new] = np.arange(len(self.lengths), len(self.lengths) + len(some))
+            place.update(zip(some, found[new].tolist()))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls) in a row, ``end_id`` after each; the number of ids of each text."""
         if not self.byte_level:
             ids, lengths = self._whole(texts.to_pylist())
             return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
-        if len(self.place) > self.kept:
+        if len(self.lengths) > self.kept:
             self._forget()
         odd = np.asarray(pc.match_substring_regex(texts, _BESIDE_SPACE))
         for content in self.special:
@@ -112,6 +112,9 @@ class Encoder:
         out = np.full(int(lengths.sum()) + len(texts), end_id, np.uint32)
         is_id = np.ones(len(out), bool)
         is_id[np.cumsum(lengths + 1) - 1] = False
+        if not len(odd_ids):
+            out[is_id] = plain_ids
+            return out, lengths + 1
         of_odd = np.zeros(len(out), bool)
         of_odd[is_id] = np.repeat(odd, lengths)
         out[of_odd] = odd_ids
@@ -126,15 +129,15 @@ class Encoder:
         offsets = offsets - offsets[0]
         coded = lists.flatten().dictionary_encode()
         codes = np.asarray(coded.indices, dtype=np.int64)
-        values = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = coded.dictionary.to_numpy(zero_copy_only=False)
         first = offsets[:-1]
         opening = np.unique(codes[first])
         rest = np.ones(len(codes), bool)
         rest[first] = False
         later = np.flatnonzero(np.bincount(codes[rest], minlength=len(values)))
         of_opening, of_later = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-        of_opening[opening] = self._places([values[c] for c in opening])
-        of_later[later] = self._places([" " + values[c] for c in later])
+        of_opening[opening] = self._places(values[opening].tolist(), self.opening, self._whole)
+        of_later[later] = self._places(values[later].tolist(), self.later, self._after_spaces)
         places = of_later[codes]
         places[first] = of_opening[codes[first]]
 

@@ -17,7 +17,6 @@ are ignored.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from folio.llm.encoding import SLICE, Encoder
 from folio.llm.texts import release, slices
 
-PARTS_KEPT = 400_000  # parts of texts whose ids a task remembers
+PARTS_KEPT = 600_000  # parts of texts whose ids a task remembers
 POOL_SEQUENCES = 1_024  # sequences filled from one pool of remainders
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -43,24 +42,20 @@ def piece_cost(length: int, capacity: int) -> float:
 def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Pack pieces of at most ``capacity`` ids: (piece, from, length, sequence, offset) of each cut."""
     n = -(-sum(lengths) // capacity)
-    used = [0] * n
-    heap = [(0.0, s) for s in range(n)]
+    cost, room = np.zeros(n), np.full(n, capacity)  # a full sequence costs infinity
     out = []
     for piece in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
         start, left = 0, lengths[piece]
         while left:
-            passed = []
-            while heap and capacity - used[heap[0][1]] < left:
-                passed.append(heapq.heappop(heap))
-            cost, seq = heapq.heappop(heap) if heap else passed.pop(0)
-            take = min(left, capacity - used[seq])
-            out.append((piece, start, take, seq, used[seq]))
-            used[seq] += take
+            seq = int(np.where(room >= left, cost, np.inf).argmin())
+            if room[seq] < left:
+                seq = int(cost.argmin())
+            free = int(room[seq])
+            take = min(left, free)
+            out.append((piece, start, take, seq, capacity - free))
+            room[seq] = free - take
+            cost[seq] = cost[seq] + piece_cost(take, capacity) if take < free else np.inf
             start, left = start + take, left - take
-            for entry in passed:
-                heapq.heappush(heap, entry)
-            if used[seq] < capacity:
-                heapq.heappush(heap, (cost + piece_cost(take, capacity), seq))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 import zlib
 
 import public_tokenizers
@@ -42,6 +43,32 @@ def test_encoder_equals_library(tokenizer):
     assert lengths.tolist() == [len(w) for w in want]
 
 
+def plain_assign(lengths, capacity):
+    """The cheapest sequence with room for the piece, else the cheapest with any room."""
+    used, cost, out = [0] * -(-sum(lengths) // capacity), [0.0] * -(-sum(lengths) // capacity), []
+    for piece in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
+        start, left = 0, lengths[piece]
+        while left:
+            free = [s for s in range(len(used)) if used[s] < capacity]
+            seq = min([s for s in free if capacity - used[s] >= left] or free, key=lambda s: (cost[s], s))
+            take = min(left, capacity - used[seq])
+            out.append((piece, start, take, seq, used[seq]))
+            used[seq], cost[seq] = used[seq] + take, cost[seq] + packing.piece_cost(take, capacity)
+            start, left = start + take, left - take
+    return out
+
+
+def test_pieces_go_to_the_cheapest_sequence_in_little_time():
+    random.seed(6)
+    for capacity in (1, 7, 100):
+        lengths = [random.randint(0, capacity - 1) or 1 for _ in range(150)]
+        assert packing.assign(lengths, capacity) == plain_assign(lengths, capacity)
+    assert packing.assign([], 8) == []
+    began = time.process_time()
+    packing.assign([random.randint(1, 1023) for _ in range(12_000)], 1024)  # took 9 s with a heap
+    assert time.process_time() - began < 3
+
+
 def test_encoder_for_other_vocabularies():
     path = public_tokenizers.path("word_bpe_49k.json")
     ids, lengths = Encoder(path).encode(pa.array(["Hello World", ""], pa.large_string()), 7)
@@ -49,6 +76,21 @@ def test_encoder_for_other_vocabularies():
     assert ids.tolist() == want[0] + want[1] and lengths.tolist() == [len(w) for w in want]
 
 
+def test_new_parts_are_encoded_many_at_a_time(tokenizer):
+    encoder, calls = Encoder(PATH), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    text = " ".join(f"w{k}é\nx" if k % 3 else f"中{k}." for k in range(5000)) + " "
+    ids, _ = encoder.encode(pa.array([text], pa.large_string()), 9)
+    assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 9]
+    assert 3 <= len(calls) <= 10
+
+
 def test_token_files_round_trip(spark, tokenizer, tmp_path):
     docs = spark.createDataFrame(rows(), SCHEMA).repartition(3)
     path = str(tmp_path / "tokens")
