@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.constants import RETRIEVAL_K
 from folio.functions.prompts import full_model_name
 from folio.operators import parse, rag
-from folio.operators.retrieve import index_text
-from folio.session import scratch
+from folio.operators.retrieve import TextIndex, index_text
+from folio.session import delete_at_end, delete_now, noted, scratch
 from folio.sinks import tables, text_index
 
 
@@ -101,10 +101,24 @@ def answer_from_index(
 
     Each micro-batch takes the newest version of the index and notes it in
     ``out/versions/batch=n``; run again, it takes the noted one, so that its output is the
-    same. Prompts go to ``out/prompts/batch=n``; requests that can't be answered go to
+    same. An index is made ready once for all micro-batches in a row that take it. Prompts go to ``out/prompts/batch=n``; requests that can't be answered go to
     ``out/rejects/batch=n`` as they came, with the reason. ``kb`` has the rows of the index.
     """
 
+    ready: dict[int, TextIndex] = {}  # by version, the last one
+    held: list[str] = []  # its tables
+
+    def index_of(spark: SparkSession, version: int) -> TextIndex:
+        if version not in ready:
+            ready.clear()
+            while held:
+                delete_now(spark, held.pop())
+            with noted(held):
+                ready[version] = text_index.read_index(spark, index_root, version)
+            for path in held:
+                delete_at_end(spark, path)
+        return ready[version]
+
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         version = tables.base_version(spark, f"{index_root}/versions", f"{out}/versions/batch={number}")
@@ -114,7 +128,7 @@ def answer_from_index(
         both = bad.unionByName(unrouted).select(*batch.columns, "reject")
         both.write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
         routed = rag.route_requests(good, models).drop("value")
-        prompts = rag.rag_prompt(routed, kb, k, id=id, text=text, index=text_index.read_index(spark, index_root, version))
+        prompts = rag.rag_prompt(routed, kb, k, id=id, text=text, index=index_of(spark, version))
         prompts.write.mode("overwrite").parquet(f"{out}/prompts/batch={number}")
 
     return _each_batch(requests, step, checkpoint, every)

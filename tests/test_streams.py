@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from folio.operators import retrieve
 from folio.operators.answers import answer_assemble, message_log
 from folio.plans import standins as S
 from folio.sinks import files as sink_files, tables, text_index
@@ -152,6 +153,36 @@ def test_requests_are_answered_from_a_growing_index(spark, tmp_path):
     assert {(r.batch, r.version) for r in spark.read.json(f"{out}/versions").collect()} == {(0, 1), (1, 2)}
 
 
+def test_an_index_is_made_ready_once_for_the_micro_batches_that_take_it(spark, tmp_path, monkeypatch):
+    source, root, out = tmp_path / "requests", str(tmp_path / "index"), str(tmp_path / "out")
+    rows = [(1, "t", "知母", "黄柏", "9g", "清热 泻火"), (2, "t", "麻黄", "桂枝", "6g", "发汗 清热 解表")]
+    base = spark.createDataFrame(rows, "id int, type string, medicine_a string, medicine_b string, dosage string, function string")
+    for k in range(4):
+        put(source, f"{k}.json", [{"request_id": k, "value": '{"question":"清热 解表","model":"reader-large"}'}])
+    text_index.append_texts(spark, root, base.filter("id = 1"), text="function")
+    monkeypatch.setattr(retrieve, "HOT_TOKENS", 0)  # so that an index has a table of its own
+    made, asked, read_index, base_version = [], [], text_index.read_index, tables.base_version
+
+    def counted(spark, root, version):
+        made.append(version)
+        return read_index(spark, root, version)
+
+    def growing(spark, versions, note):
+        asked.append(note)
+        if len(asked) == 3:
+            text_index.append_texts(spark, root, base.filter("id = 2"), text="function")
+        return base_version(spark, versions, note)
+
+    monkeypatch.setattr(text_index, "read_index", counted)
+    monkeypatch.setattr(tables, "base_version", growing)
+    arriving = spark.readStream.schema("request_id long, value string").option("maxFilesPerTrigger", 1).json(str(source))
+    jobs.drain(jobs.answer_from_index(arriving, S.models(spark), base, root, out, str(tmp_path / "ck"), text="function"))
+    assert made == [1, 2] and len(asked) == 4
+    prompts = {r.batch: r.prompt for r in spark.read.parquet(f"{out}/prompts").collect()}
+    assert ["麻黄" in prompts[k] for k in range(4)] == [False, False, True, True]
+    assert all("知母" in p for p in prompts.values())
+
+
 def test_scratch_tables_do_not_add_up_over_micro_batches(spark, tmp_path):
     from pathlib import Path
 
