@@ -277,12 +277,15 @@ def score_texts(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text:
     ``ids`` names the column of ``encode_texts``, if it is there."""
     if ids is None:
         docs, ids = encode_texts(docs, model.tokenizer, model.end_id, id, text), "ids"
-    scorer, hot, end_id = model.scorer, model.hot, model.end_id
+    end_id = model.end_id
+    # Sent on its own: a worker holds it once, for all its tasks, and not beside its pickled form.
+    sent = docs.sparkSession.sparkContext.broadcast((model.scorer, model.hot))
     end_log, end_known = model.log10(model.end_count), int(model.end_count > 0)
     names = ["key", "id", "n_tokens", "n_known", "base", "score", "word", "times"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 33
+        scorer, hot = sent.value
         for batch in batches:
             at = 0
             for texts in _texts(batch, 1):

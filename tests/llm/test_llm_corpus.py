@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 import folio
 from folio.llm import attention, divergence, lm, queries, variants
@@ -154,6 +155,20 @@ def test_model_beats_the_untrained_one_on_held_out_rows(spark):
     assert a > 0.75 * b  # both below 0
 
 
+def test_a_worker_holds_one_model_for_all_its_tasks(spark, monkeypatch):
+    docs = frame_of(spark, made_texts(20)).select("doc_id", "text")
+    model = lm.fit_lm(docs, queries.tokenizer_path(), 50_256)
+    sent, real = [], DataFrame.mapInArrow
+
+    def noted(self, function, *rest, **options):
+        sent.append(len(cloudpickle.dumps(function)))
+        return real(self, function, *rest, **options)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", noted)
+    assert lm.score_texts(docs, model).count() == docs.count()
+    assert max(sent) < 1 << 20  # the model itself has megabytes
+
+
 def test_every_training_text_is_learned_from(spark, monkeypatch):
     rows = [(i, f"text {i} of {i % 7}") for i in range(90)] + [(1, "text 1 of 1"), (None, "no id"), (200, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
