@@ -1,7 +1,7 @@
 """Ordered scans over long groups, and global row numbers.
 
 A file or a session may hold a large part of all rows, so no window here spans a
-whole group. Rows are sorted and numbered once, written down, and cut into blocks of at
+long group. Its rows are sorted and numbered once, written down, and cut into blocks of at
 most ``BLOCK_ROWS`` by that number, however far apart their sequence numbers are. Each
 block is scanned on its own, and what earlier blocks hand on is worked out from one
 summary row per block.
@@ -38,8 +38,42 @@ def scan_ordered(
     ``running_count``: how many rows so far fulfil the condition, this row included.
     ``first_seq``: the sequence number of the group's first row that fulfils it.
     ``(group, seq)`` must be unique.
+
+    Groups of at most ``block_rows`` rows are dealt out whole and scanned as they are, in one
+    shuffle, after which rows of a group are still together. Only longer ones are cut.
     """
     latest, running_count, first_seq = latest or {}, running_count or {}, first_seq or {}
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    long = sizes.filter(F.col("_n") > block_rows).select(*[F.col(g).alias(f"_{k}") for k, g in enumerate(group)]).collect()
+    if not long:  # at most one group for each ``block_rows`` rows
+        return _scan_whole(rows, group, seq, latest, running_count, first_seq)
+    types = T.StructType([T.StructField(f"_{k}", rows.schema[g].dataType) for k, g in enumerate(group)])
+    listed = F.broadcast(rows.sparkSession.createDataFrame(long, types))
+    is_long = F.lit(True)
+    for k, g in enumerate(group):
+        is_long = is_long & rows[g].eqNullSafe(listed[f"_{k}"])
+    whole = _scan_whole(rows.join(listed, is_long, "left_anti"), group, seq, latest, running_count, first_seq)
+    cut = _scan_blocks(rows.join(listed, is_long, "left_semi"), group, seq, latest, running_count, first_seq, block_rows)
+    return whole.unionByName(cut)
+
+
+def _scan_whole(rows: DataFrame, group: list[str], seq: str, latest: dict, running_count: dict, first_seq: dict) -> DataFrame:
+    so_far = Window.partitionBy(*group).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    all_rows = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = F.lit(True)  # a group without a name has no first row
+    for g in group:
+        named = named & F.col(g).isNotNull()
+    return rows.select(
+        "*",
+        *[F.last(e, ignorenulls=True).over(so_far).alias(n) for n, e in latest.items()],
+        *[F.sum(F.when(e, 1).otherwise(0)).over(so_far).alias(n) for n, e in running_count.items()],
+        *[F.when(named, F.min(F.when(e, F.col(seq))).over(all_rows)).alias(n) for n, e in first_seq.items()],
+    )
+
+
+def _scan_blocks(
+    rows: DataFrame, group: list[str], seq: str, latest: dict, running_count: dict, first_seq: dict, block_rows: int
+) -> DataFrame:
     keys = [*group, "_block"]
     blocked = _in_blocks(rows, group, seq, block_rows)
 

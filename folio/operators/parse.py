@@ -7,7 +7,7 @@ Every parser returns accepted rows and rejects in one DataFrame, told apart by a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio import constants as K
 from folio.functions import text as X
@@ -98,11 +98,10 @@ def formula_items(lines: DataFrame, path: str = "path", line_no: str = "line_no"
     ``formula_no`` counts headers in the file; lines before the first header are
     rejects, because they belong to no formula.
     """
-    tagged = lines.withColumn("role", line_role(F.col("line")))
-    scanned = scan_ordered(
-        tagged, [path], line_no, running_count={"formula_no": F.col("role") == "header"}
-    )
-    return scanned.filter("role IS NOT NULL").withColumn(
+    line = F.col("line")
+    scanned = scan_ordered(lines, [path], line_no, running_count={"formula_no": line_role(line) == "header"})
+    tagged = scanned.select(*lines.columns, line_role(line).alias("role"), "formula_no")
+    return tagged.filter("role IS NOT NULL").withColumn(
         "reject", F.when(F.col("formula_no") == 0, F.lit("before the first header"))
     )
 
@@ -111,15 +110,27 @@ def formula_parse(lines: DataFrame, path: str = "path", line_no: str = "line_no"
     """One row per formula: name, ingredients and methods in text order."""
     items = accepted(formula_items(lines, path, line_no))
     line, role = F.col("line"), F.col("role")
+    in_order = Window.partitionBy(path, "formula_no").orderBy(line_no)
+    formula = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    def in_order(value: Column, wanted: str) -> Column:
-        pairs = F.collect_list(F.when(role == wanted, F.struct(F.col(line_no).alias("n"), value.alias("v"))))
-        return F.transform(F.array_sort(pairs), lambda p: p.v)
+    def all_of(wanted: str) -> Column:
+        return F.collect_list(F.when(role == wanted, line)).over(formula)
 
-    return items.groupBy(path, "formula_no").agg(
-        F.max(F.when(role == "header", formula_name(line))).alias("name"),
-        F.flatten(in_order(X.items_of(line), "ingredients")).alias("ingredients"),
-        in_order(line, "method").alias("methods"),
+    # Rows of a formula are still together, so a window needs no shuffle, and keeps texts as they are.
+    gathered = items.select(
+        path,
+        "formula_no",
+        F.row_number().over(in_order).alias("_n"),
+        F.max(F.when(role == "header", line)).over(formula).alias("_header"),
+        all_of("ingredients").alias("_ingredients"),
+        all_of("method").alias("methods"),
+    )
+    return gathered.filter("_n = 1").select(
+        path,
+        "formula_no",
+        formula_name(F.col("_header")).alias("name"),
+        F.flatten(F.transform("_ingredients", X.items_of)).alias("ingredients"),
+        "methods",
     )
 
 

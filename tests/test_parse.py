@@ -180,3 +180,21 @@ def test_sparse_numbers_do_not_make_a_block_each(spark):
     assert blocks == 5
     got = ordered.scan_ordered(rows, ["g"], "seq", running_count={"n": F.col("v") % 2 == 0}, block_rows=100)
     assert [r.n for r in got.orderBy("seq").collect()] == [k // 2 + 1 for k in range(500)]
+
+
+def test_formulas_of_short_files_take_one_shuffle(spark):
+    plan = parse.formula_parse(lines(spark, FORMULAS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_long_and_short_groups_are_scanned_alike(spark):
+    data = [(g, n, n % 3 == 1) for g, size in (("long", 40), ("short", 5), (None, 4)) for n in range(size)]
+    rows = spark.createDataFrame(data, "g string, n int, v boolean")
+    got = ordered.scan_ordered(
+        rows, ["g"], "n", latest={"last": F.when(F.col("v"), F.col("n"))}, running_count={"seen": F.col("v")},
+        first_seq={"first": F.col("v") & (F.col("n") > 3)}, block_rows=7,
+    )
+    found = {(r.g, r.n): (r.last, r.seen, r.first) for r in got.collect()}
+    assert len(found) == len(data)
+    for g, n, _ in data:
+        assert found[g, n] == ((n - 1) // 3 * 3 + 1 if n else None, (n + 2) // 3, None if g is None else 4)
