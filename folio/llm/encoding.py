@@ -145,3 +145,11 @@ class Encoder:
         found = known.take(pa.array(places))
         ends = np.asarray(found.offsets)
         return np.asarray(found.values), np.diff(ends[offsets])
+
+
+def kept_encoder(held: dict, path: str, kept: int = PARTS_KEPT) -> Encoder:
+    """The encoder in ``held``, made if it is not there. The value of a broadcast stays in a
+    Python worker, so its tasks read the vocabulary once and share the parts remembered."""
+    if "encoder" not in held:
+        held["encoder"] = Encoder(path, kept)
+    return held["encoder"]

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from folio.llm.encoding import Encoder
-from folio.llm.texts import slices
+from folio.llm.encoding import kept_encoder
+from folio.llm.texts import release, slices
 
 STRIPE_BYTES = 64 << 20
 SLICE_BYTES = 8 << 20  # text encoded at once
+PARTS_KEPT = 300_000  # parts of texts whose ids a worker remembers
 ROW_GROUP = 1_000  # rows under one index entry and Bloom filter
 FILE_SCHEMA = "part int, doc_id long, first long, n_tokens long, ids array<int>"
 
@@ -41,10 +42,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         .sortWithinPartitions("doc_id")
     )
 
+    held = docs.sparkSession.sparkContext.broadcast({})
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, so_far = None, TaskContext.get().partitionId(), 0
+        part, so_far = TaskContext.get().partitionId(), 0
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = kept_encoder(held.value, tokenizer, PARTS_KEPT)
             at = 0
             for texts in slices(batch.column(1), SLICE_BYTES):
                 ids, lengths = encoder.encode(texts, end_id)
@@ -61,6 +64,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
                 )
                 so_far += int(ends[-1])
                 at += len(texts)
+        release()
 
     (
         ordered.mapInArrow(encode, FILE_SCHEMA)

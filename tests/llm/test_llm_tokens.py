@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folio.llm import packing, sharding, token_files
-from folio.llm.encoding import Encoder
+from folio.llm.encoding import Encoder, kept_encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", " ", "one two", "  a b", "a  b", " x ", "x\n\ny", "it's ok  \n b", "<|endoftext|> a", "Éa ñb\tc", "\x1c b", "中 文字 x", "a b c", "x" * 5000, "long text " * 3000]
@@ -183,3 +183,13 @@ def test_placement(spark):
     assert len(got) == 4 and got[(1, "x")] == got[(1, "y")] and got[(None, "z")] is None and got[(2, None)] in ("a", "b")
     with pytest.raises(ValueError):
         sharding.place(docs.withColumn("slot", F.lit(1)), "doc_id", ["a"])
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    held = {}
+    for texts in (["one two three", "two  three"], ["three four", "one five", ""]):
+        encoder = kept_encoder(held, PATH, kept=3)
+        ids, lengths = encoder.encode(pa.array(texts, pa.large_string()), 2)
+        fresh_ids, fresh_lengths = Encoder(PATH).encode(pa.array(texts, pa.large_string()), 2)
+        assert ids.tolist() == fresh_ids.tolist() and lengths.tolist() == fresh_lengths.tolist()
+        assert kept_encoder(held, PATH) is encoder
