@@ -28,6 +28,7 @@ BACKED = 5.0  # occurrences that the share without the id before stands for
 ALPHA = 0.1  # occurrences of an id that are added to its count within its class
 RATE = 0.15
 BATCH = 128  # windows of a training step
+RUN = 8  # blocks that lie in a row in a training step, so that most are read as own block and as the one before
 LEAST_STEPS = 100  # of a task in a round: passes over few windows are repeated
 SCORED = 192  # windows scored at a time
 PENALTY = np.float32(30.0)  # scores lie within plus and minus this
@@ -181,13 +182,27 @@ class Network:
         return Network(self.embedding + rows, *dense)
 
 
+UNIT = np.float32((1 << 23) / np.log(2))  # a score of 1 in a float's exponent bits
+ZERO = np.float32(127 << 23)  # a score of 0 there
+
+
+def _power(bits: np.ndarray) -> np.ndarray:
+    """Of scores times ``UNIT`` plus ``ZERO``: 2 ** (score / ln 2), linear between whole powers of
+    two, as these are a float's exponent bits. What is divided by its sum is a distribution all the same."""
+    np.clip(bits, ZERO - PENALTY * UNIT, ZERO + PENALTY * UNIT, out=bits)
+    return bits.astype(np.int32).view(np.float32)
+
+
 def _exp(scores: np.ndarray) -> np.ndarray:
-    """2 ** (score / ln 2), linear between whole powers of two: the score goes to a float's
-    exponent bits. What is divided by its sum is a distribution all the same."""
-    np.clip(scores, -PENALTY, PENALTY, out=scores)
-    scores *= np.float32((1 << 23) / np.log(2))
-    scores += np.float32(127 << 23)
-    return scores.astype(np.int32).view(np.float32)
+    """``_power`` of plain scores."""
+    scores *= UNIT
+    scores += ZERO
+    return _power(scores)
+
+
+def _output(out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """(SIZE + 1, CLASSES): what takes a place's values and a one to the bits of ``_power``."""
+    return np.concatenate([out * UNIT, (bias * UNIT + ZERO)[None, :]])
 
 
 class Trainer:
@@ -200,84 +215,106 @@ class Trainer:
         self.rng, self.touched, self.steps = np.random.default_rng(seed), np.zeros(len(net.embedding), bool), 0
         self.past = [np.full(a.shape, 0.1, np.float32) for a in net.dense()]
         self.past_rows = np.full(len(net.embedding), 0.1, np.float32)
+        self.place_of = np.zeros(len(net.embedding), np.int32)  # of an id in the step at hand
 
     def learn(self, ids: np.ndarray, inputs: np.ndarray, lengths: np.ndarray) -> None:
-        """One pass over the windows of these texts, in random order; the first texts of a
-        task are passed over again until it has made ``LEAST_STEPS``."""
-        place, _, n_blocks = blocks_of(lengths)
+        """One pass over the windows of these texts, runs of ``RUN`` blocks in random order; the first
+        texts of a task are passed over again until it has made ``LEAST_STEPS``."""
+        place, first, n_blocks = blocks_of(lengths)
         if not len(place):
             return
-        flat, wanted = np.full(n_blocks * STRIDE, len(self.net.embedding) - 1, np.int32), np.zeros(n_blocks * STRIDE, np.int32)
+        n_runs = -(-(n_blocks - 1) // RUN)  # the first block is blank
+        size = (1 + n_runs * RUN) * STRIDE
+        flat, wanted = np.full(size, len(self.net.embedding) - 1, np.int32), np.zeros(size, np.int32)
         flat[place], wanted[place] = inputs, self.class_of[ids]
-        holds = np.zeros(n_blocks, bool)
-        holds[place // STRIDE] = True
-        scored = np.flatnonzero(holds)
+        counted = np.zeros(size, np.float32)
+        counted[place] = 1
+        is_first = np.zeros(size // STRIDE, bool)
+        is_first[first[lengths > 0]] = True
+        holds = counted[STRIDE:].reshape(n_runs, -1).any(axis=1)
         del place
         while True:
-            order = self.rng.permutation(scored)
-            for at in range(0, len(order), BATCH):
-                here = order[at : at + BATCH, None] * STRIDE + np.arange(-STRIDE, STRIDE)
-                self._step(flat[here], wanted[here[:, STRIDE:]].ravel())
+            order = self.rng.permutation(np.flatnonzero(holds))
+            for at in range(0, len(order), BATCH // RUN):
+                blocks = order[at : at + BATCH // RUN, None] * RUN + np.arange(RUN + 1)
+                here = (blocks[:, :, None] * STRIDE + np.arange(STRIDE)).reshape(len(blocks), -1)
+                own = here[:, STRIDE:].ravel()
+                self._step(flat[here], wanted[own], counted[own], is_first[blocks[:, 1:]])
             if self.steps >= LEAST_STEPS:
                 return
 
-    def _step(self, around: np.ndarray, target: np.ndarray) -> None:
-        net, blank, n = self.net, len(self.net.embedding) - 1, len(around)
-        scale = np.float32(SIZE**-0.5)
-        seen = (around != blank).astype(np.float32)
-        counted = seen[:, STRIDE:].ravel()
-        x = net.embedding[around.ravel()]
-        project = np.concatenate([net.query * scale, net.key, net.value], axis=1)
-        qkv = (x @ project).reshape(n, WINDOW, 3 * SIZE)
-        q, k, v = qkv[:, STRIDE:, :SIZE], qkv[:, :, SIZE : 2 * SIZE], qkv[:, :, 2 * SIZE :]
-        a = _exp(q @ k.transpose(0, 2, 1))
+    def _step(self, around: np.ndarray, target: np.ndarray, counted: np.ndarray, is_first: np.ndarray) -> None:
+        """Of runs of blocks: their ids and those of the block before, and, of each block but that
+        one, classes, which places count, and whether nothing before it does."""
+        net, blank, runs = self.net, len(self.net.embedding) - 1, len(around)
+        scale, ones = np.float32(SIZE**-0.5), np.ones(CLASSES, np.float32)
+        ids = around.ravel()
+        x = net.embedding.take(ids, axis=0)
+        qkv = x @ np.concatenate([net.query * (scale * UNIT), net.key, net.value], axis=1)
+        q = qkv.reshape(runs, RUN + 1, STRIDE, -1)[:, 1:, :, :SIZE]
+        step = qkv.strides[0]
+        # Windows overlap in memory as they do in the text.
+        windows = np.lib.stride_tricks.as_strided(qkv, (runs, RUN, WINDOW, 3 * SIZE), ((RUN + 1) * STRIDE * step, STRIDE * step, *qkv.strides), writeable=False)
+        k, v = windows[:, :, :, SIZE : 2 * SIZE], windows[:, :, :, 2 * SIZE :]
+        a = q @ k.swapaxes(2, 3)
+        a += ZERO
+        a = _power(a)
         a *= net.weights_back()
-        a *= seen[:, None, :]
-        a /= np.maximum(a.sum(axis=2, keepdims=True), np.float32(1e-20))
-        tail = x.reshape(n, WINDOW, SIZE)[:, STRIDE:]
-        h = (tail + a @ v).reshape(-1, SIZE)
-        p = h @ net.out
-        p += net.bias
-        p = _exp(p)
+        a[is_first, :, :STRIDE] = 0
+        # The weights are not divided by their sums, but what is made of them.
+        total = (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(runs, RUN, STRIDE, 1)
+        met = a @ v
+        met /= total
+        h = np.empty((len(target), SIZE + 1), np.float32)
+        h[:, SIZE] = 1
+        h[:, :SIZE] = x.reshape(runs, RUN + 1, STRIDE * SIZE)[:, 1:].reshape(-1, SIZE)
+        h[:, :SIZE] += met.reshape(-1, SIZE)
+        p = _power(h @ _output(net.out, net.bias))
 
         # From here on p is the gradient of the scores of the classes.
-        share = counted / np.float32(counted.sum())
-        p *= (share / p.sum(axis=1))[:, None]
-        p[np.arange(len(p)), target] -= share
+        share = counted / counted.sum()
+        p *= (share / (p @ ones))[:, None]
+        p.ravel()[np.arange(0, p.size, CLASSES) + target] -= share
         d_h = p @ net.out.T
-        d_heads = d_h.reshape(n, STRIDE, SIZE)
-        d_s = d_heads @ v.transpose(0, 2, 1)
-        d_s -= (d_s * a).sum(axis=2, keepdims=True)
+        d_met = d_h.reshape(met.shape) / total
+        d_s = d_met @ v.swapaxes(2, 3)
+        d_s -= np.einsum("rbik,rbik->rbi", d_met, met)[..., None]
         d_s *= a
-        d_back = np.bincount(np.maximum(BACK, 0).ravel(), d_s.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
-        d_qkv = np.zeros((n, WINDOW, 3 * SIZE), np.float32)
-        d_qkv[:, STRIDE:, :SIZE] = d_s @ k
-        d_qkv[:, :, SIZE : 2 * SIZE] = d_s.transpose(0, 2, 1) @ q
-        d_qkv[:, :, 2 * SIZE :] = a.transpose(0, 2, 1) @ d_heads
+        d_back = np.bincount(np.maximum(BACK, 0).ravel(), d_s.reshape(runs * RUN, -1).sum(axis=0), minlength=WINDOW).astype(np.float32)
+        d_qkv = np.zeros((runs, RUN + 1, STRIDE, 3 * SIZE), np.float32)
+        d_qkv[:, 1:, :, :SIZE] = d_s @ k
+        for at, d in ((SIZE, d_s.swapaxes(2, 3) @ q), (2 * SIZE, a.swapaxes(2, 3) @ d_met)):
+            d_qkv[:, :-1, :, at : at + SIZE] = d[:, :, :STRIDE]
+            d_qkv[:, 1:, :, at : at + SIZE] += d[:, :, STRIDE:]
         d_qkv = d_qkv.reshape(-1, 3 * SIZE)
-        d_x = d_qkv @ project.T
-        d_x.reshape(n, WINDOW, SIZE)[:, STRIDE:] += d_heads
-        d_x *= seen.reshape(-1, 1)
-        d_project = x.T @ d_qkv
+        d_x = d_qkv @ np.concatenate([net.query * scale, net.key / UNIT, net.value], axis=1).T  # q holds a unit
+        d_x.reshape(runs, RUN + 1, -1)[:, 1:] += d_h.reshape(runs, RUN, -1)
+        d_project, d_out = x.T @ d_qkv, (p.T @ h).T
         grads = [
             d_project[:, :SIZE] * scale,
-            d_project[:, SIZE : 2 * SIZE],
+            d_project[:, SIZE : 2 * SIZE] / UNIT,
             d_project[:, 2 * SIZE :],
             d_back,
-            h.T @ p,
-            p.sum(axis=0),
+            d_out[:SIZE],
+            d_out[SIZE],
         ]
         for value, grad, sums in zip(net.dense(), grads, self.past):
             grad = grad * np.float32(10)
             sums += grad * grad
             value -= np.float32(self.rate) * grad / np.sqrt(sums)
-        placed = np.sort(around.ravel().astype(np.int64) * around.size + np.arange(around.size))
-        ordered, row_of = placed % around.size, placed // around.size
-        starts = np.flatnonzero(np.diff(row_of, prepend=-1))
-        rows = row_of[starts]
-        grad = np.float32(100) * np.add.reduceat(d_x[ordered], starts, axis=0)
-        self.past_rows[rows] += (grad * grad).mean(axis=1)
-        net.embedding[rows] -= np.float32(self.rate) * grad / np.sqrt(self.past_rows[rows])[:, None]
+        # Each id's gradients are added up at one of its places.
+        places = np.arange(len(ids), dtype=np.int32)
+        self.place_of[ids] = places
+        chosen = self.place_of.take(ids)
+        is_chosen = chosen == places
+        rows, row_of = ids[is_chosen], (np.cumsum(is_chosen) - 1)[chosen]
+        cells = (row_of * SIZE)[:, None] + np.arange(SIZE)
+        grad = np.bincount(cells.ravel(), d_x.ravel(), minlength=len(rows) * SIZE).astype(np.float32).reshape(-1, SIZE)
+        grad *= np.float32(100)
+        past = self.past_rows[rows] + np.einsum("ij,ij->i", grad, grad) / np.float32(SIZE)
+        self.past_rows[rows] = past
+        grad *= (np.float32(self.rate) / np.sqrt(past))[:, None]
+        net.embedding[rows] -= grad
         net.embedding[blank] = 0
         self.touched[rows] = True
         self.touched[blank] = False
@@ -297,8 +334,8 @@ class Scorer:
     def __init__(self, net: Network, classes: IdClasses, follow: np.ndarray | None):
         # Of each id: query, itself, key, value, and a one that adds up the weights of attention.
         one, scale = np.ones((len(net.embedding), 1), np.float32), np.float32(SIZE**-0.5)
-        self.rows = np.concatenate([net.embedding @ net.query * scale, net.embedding, net.embedding @ net.key, net.embedding @ net.value, one], axis=1)
-        self.weights, self.out, self.bias = net.weights_back(), net.out, net.bias
+        self.rows = np.concatenate([net.embedding @ net.query * (scale * UNIT), net.embedding, net.embedding @ net.key, net.embedding @ net.value, one], axis=1)
+        self.weights, self.out = net.weights_back(), _output(net.out, net.bias)
         self.shares = Shares(classes, follow)
         self.in_use = (np.bincount(classes.class_of, minlength=CLASSES) > 0).astype(np.float32)
 
@@ -314,19 +351,20 @@ class Scorer:
         for at in range(1, n_blocks, SCORED):
             stop = min(at + SCORED, n_blocks)
             n = stop - at
-            x = self.rows[flat[(at - 1) * STRIDE : stop * STRIDE]]
+            x = self.rows.take(flat[(at - 1) * STRIDE : stop * STRIDE], axis=0)
             own = x[STRIDE:].reshape(n, STRIDE, -1)
             # Windows overlap in memory as they do in the text.
             around = np.lib.stride_tricks.as_strided(x, (n, WINDOW, x.shape[1]), (STRIDE * x.strides[0], *x.strides), writeable=False)
-            a = _exp(own[:, :, :SIZE] @ around[:, :, 2 * SIZE : 3 * SIZE].transpose(0, 2, 1))
+            a = own[:, :, :SIZE] @ around[:, :, 2 * SIZE : 3 * SIZE].transpose(0, 2, 1)
+            a += ZERO
+            a = _power(a)
             a *= self.weights
             a[is_first[at:stop], :, :STRIDE] = 0
             h = a @ around[:, :, 3 * SIZE :]
-            met = h[:, :, :SIZE] / h[:, :, SIZE:]
-            met += own[:, :, SIZE : 2 * SIZE]
-            p = met.reshape(-1, SIZE) @ self.out
-            p += self.bias
-            p = _exp(p)
-            chosen = p[np.arange(len(p)), wanted[at * STRIDE : stop * STRIDE]]
+            h[:, :, :SIZE] /= h[:, :, SIZE:]
+            h[:, :, :SIZE] += own[:, :, SIZE : 2 * SIZE]
+            h[:, :, SIZE] = 1
+            p = _power(h.reshape(-1, SIZE + 1) @ self.out)
+            chosen = p.ravel().take(np.arange(0, p.size, CLASSES) + wanted[at * STRIDE : stop * STRIDE])
             ratio[at:stop] = (chosen / (p @ self.in_use)).reshape(n, STRIDE)
         return np.log10(ratio.ravel()[place]).astype(float) + self.shares.logs(ids, inputs)

@@ -30,10 +30,11 @@ _BESIDE_SPACE = f" [{_SPACE}]|[{_SPACE}] "
 
 
 class Encoder:
-    """Made inside a task. ``path`` names the tokenizer's file on every machine; ``kept`` parts are remembered."""
+    """Made inside a task. ``path`` names the tokenizer's file on every machine; ``kept`` parts are
+    remembered. When they are more, all are forgotten, or with ``often`` all but the most used half."""
 
-    def __init__(self, path: str, kept: int = PARTS_KEPT):
-        self.kept = kept
+    def __init__(self, path: str, kept: int = PARTS_KEPT, often: bool = False):
+        self.kept, self.often = kept, often
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,6 +59,18 @@ class Encoder:
         self.starts = np.zeros(1, np.int64)
         self.opening: dict[str, int] = {}
         self.later: dict[str, int] = {"": 0}
+        self.uses = np.zeros(1, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Forget all but the ``kept // 2`` parts used most; older uses count less each time."""
+        chosen = np.sort(np.append(np.argsort(-self.uses[1:], kind="stable")[: self.kept // 2] + 1, 0))
+        place = np.full(len(self.uses), -1)
+        place[chosen] = np.arange(len(chosen))
+        known = pa.LargeListArray.from_arrays(np.concatenate([self.starts, [len(self.ids)]]), self.ids)
+        self.ids, self.lengths = np.array(known.take(pa.array(chosen)).values), self.lengths[chosen]
+        self.starts, self.uses = np.cumsum(self.lengths) - self.lengths, self.uses[chosen] // 2
+        place = place.tolist()
+        self.opening, self.later = ({part: place[at] for part, at in d.items() if place[at] >= 0} for d in (self.opening, self.later))
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,7 +113,7 @@ class Encoder:
             ids, lengths = self._whole(texts.to_pylist())
             return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
         if len(self.lengths) > self.kept:
-            self._forget()
+            self._forget_rare() if self.often else self._forget()
         odd = np.asarray(pc.match_substring_regex(texts, _BESIDE_SPACE))
         for content in self.special:
             odd |= np.asarray(pc.match_substring(texts, content))
@@ -134,10 +147,15 @@ class Encoder:
         opening = np.unique(codes[first])
         rest = np.ones(len(codes), bool)
         rest[first] = False
-        later = np.flatnonzero(np.bincount(codes[rest], minlength=len(values)))
+        times = np.bincount(codes[rest], minlength=len(values))
+        later = np.flatnonzero(times)
         of_opening, of_later = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
         of_opening[opening] = self._places(values[opening].tolist(), self.opening, self._whole)
         of_later[later] = self._places(values[later].tolist(), self.later, self._after_spaces)
+        if self.often:
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.lengths) - len(self.uses), np.int64)])
+            self.uses[of_later[later]] += times[later]
+            self.uses[of_opening[opening]] += 1
         places = of_later[codes]
         places[first] = of_opening[codes[first]]
 
@@ -147,9 +165,9 @@ class Encoder:
         return np.asarray(found.values), np.diff(ends[offsets])
 
 
-def kept_encoder(held: dict, path: str, kept: int = PARTS_KEPT) -> Encoder:
+def kept_encoder(held: dict, path: str, kept: int = PARTS_KEPT, often: bool = False) -> Encoder:
     """The encoder in ``held``, made if it is not there. The value of a broadcast stays in a
     Python worker, so its tasks read the vocabulary once and share the parts remembered."""
     if "encoder" not in held:
-        held["encoder"] = Encoder(path, kept)
+        held["encoder"] = Encoder(path, kept, often)
     return held["encoder"]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from folio.llm import attention
-from folio.llm.encoding import Encoder
+from folio.llm.encoding import kept_encoder
 from folio.llm.texts import distinct, release, slices, split_words
 from folio.session import write_once
 
@@ -136,6 +136,7 @@ def add_up(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[str,
     """The sums, over all tasks, of the two-dimensional arrays that ``work`` gives for its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what an encoder held
         part = TaskContext.get().partitionId()
         for name, values in work(batches).items():
             if values.any():
@@ -161,6 +162,7 @@ def add_up(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[str,
 class LanguageModel:
     scorer: attention.Scorer
     end_id: int
+    id_kind: np.dtype  # of written ids
     tokenizer: str
     counts: DataFrame  # word, n
     hot: WordTable
@@ -172,40 +174,62 @@ class LanguageModel:
         return float(np.log10((count + 1) / (self.train_tokens + self.words + 1)))
 
 
+def _id_count(tokenizer: str, end_id: int) -> int:
+    from tokenizers import Tokenizer
+
+    return 1 + max(end_id, *Tokenizer.from_file(tokenizer).get_vocab().values())
+
+
+def id_type(n_ids: int) -> np.dtype:
+    """How an id is written: in two bytes, or in four if these don't hold all ids."""
+    return np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, ids): every row with its ids, the end id last. Written once."""
+    """(id, text, ids): every row with its ids (``id_type``, one after the other), the end id last. Written once."""
     read = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    names = ["id", "text", "ids"]
+    names, kind = ["id", "text", "ids"], id_type(_id_count(tokenizer, end_id))
+    held = docs.sparkSession.sparkContext.broadcast({})  # filled in each worker
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, PARTS_KEPT)
+        encoder = kept_encoder(held.value, tokenizer, PARTS_KEPT, often=True)
         for batch in batches:
             at = 0
             for texts in _texts(batch, 1):
                 n = len(texts)
                 ids, lengths = encoder.encode(texts, end_id)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), lists], names=names)
+                offsets = (np.concatenate([[0], np.cumsum(lengths)]) * kind.itemsize).astype(np.int32)
+                written = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), written], names=names)
                 at += n
-        del encoder
         release()
 
-    schema = f"id {docs.schema[id].dataType.simpleString()}, text string, ids array<int>"
-    return write_once(read.mapInArrow(encode, schema)).withColumnsRenamed({"id": id, "text": text})
+    schema = f"id {docs.schema[id].dataType.simpleString()}, text string, ids binary"
+    encoded = write_once(read.mapInArrow(encode, schema)).withColumnsRenamed({"id": id, "text": text})
+    held.unpersist()
+    return encoded
+
+
+def _ids_of(written: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows in a row, as they are written; the number of ids of each row."""
+    written = written.cast(pa.large_binary())
+    _, offsets, data = written.buffers()
+    ends = np.frombuffer(offsets, np.int64)[written.offset : written.offset + len(written) + 1]
+    body = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+    return body.view(kind), np.diff(ends) // kind.itemsize
 
 
-def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _read_ids(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids of whole texts and the number of ids of each, about ``CHUNK`` ids at a time."""
     held, n = [], 0
     for batch in batches:
-        sizes = np.diff(np.asarray(batch.column(0).offsets, np.int64))
-        piece = np.cumsum(sizes) // CHUNK
-        for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(piece)) + 1):
+        ids, sizes = _ids_of(batch.column(0), kind)
+        ends = np.cumsum(sizes)
+        for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(ends // CHUNK)) + 1):
             if len(rows):
-                lists = batch.column(0).slice(rows[0], len(rows))
-                held.append((np.asarray(lists.flatten(), np.int64), sizes[rows]))
-                n += int(sizes[rows].sum())
+                some = ids[ends[rows[0]] - sizes[rows[0]] : ends[rows[-1]]]
+                held.append((some.astype(np.int64), sizes[rows]))
+                n += len(some)
             if n >= CHUNK:
                 yield tuple(np.concatenate(c) for c in zip(*held))
                 held, n = [], 0
@@ -215,10 +239,11 @@ def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
 
 def train_network(training: DataFrame, end_id: int, n_ids: int) -> attention.Scorer:
     """Learn from ``training`` (ids, round): sums for the classes, then rounds of descent."""
+    kind = id_type(n_ids)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         codes, sums = attention.neighbour_codes(n_ids), np.zeros((n_ids, 1 + 2 * attention.CODES))
-        for ids, lengths in _read_ids(batches):
+        for ids, lengths in _read_ids(batches, kind):
             sums += attention.neighbour_sums(ids, attention.inputs_of(ids, lengths, end_id), codes)
         return {"sums": sums}
 
@@ -231,7 +256,7 @@ def train_network(training: DataFrame, end_id: int, n_ids: int) -> attention.Sco
             now = before.copy()
             trainer = attention.Trainer(now, classes.class_of, attention.RATE / 2**number, TaskContext.get().partitionId())
             met = np.zeros((n_ids, attention.KINDS), np.uint32)
-            for ids, lengths in _read_ids(batches):
+            for ids, lengths in _read_ids(batches, kind):
                 inputs = attention.inputs_of(ids, lengths, end_id)
                 classes.count_follows(met, ids, inputs)
                 trainer.learn(ids, inputs, lengths)
@@ -252,8 +277,6 @@ def train_network(training: DataFrame, end_id: int, n_ids: int) -> attention.Sco
 
 def fit_lm(training: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text", ids: str | None = None) -> LanguageModel:
     """Learn words and network from the rows of ``training``; ``ids`` names the column of ``encode_texts``, if it is there."""
-    from tokenizers import Tokenizer
-
     if ids is None:
         training, ids = encode_texts(training, tokenizer, end_id, id, text), "ids"
     read = training.select(F.col(id).cast("string").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(ids).alias("ids"))
@@ -262,11 +285,11 @@ def fit_lm(training: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id",
     total, words, ends = total or 0, words or 0, ends or 0
     hot = hot_words(counts)
     logs = np.log10((np.asarray(hot["n"], float) + 1) / (total + words + 1))
-    n_ids = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
+    n_ids = _id_count(tokenizer, end_id)
     learned = read if SHARE == 1 else read.filter(F.pmod(F.xxhash64("id", "text"), F.lit(SHARE)) == 0)
     dealt = learned.select("ids", F.pmod(F.xxhash64("text", "id"), F.lit(ROUNDS)).alias("round"))
     scorer = train_network(dealt, end_id, n_ids)
-    return LanguageModel(scorer, end_id, tokenizer, counts, WordTable(hot["word"].combine_chunks(), logs), total, words, ends)
+    return LanguageModel(scorer, end_id, id_type(n_ids), tokenizer, counts, WordTable(hot["word"].combine_chunks(), logs), total, words, ends)
 
 
 # ---------------------------------------------------------------- scores
@@ -277,7 +300,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text:
     ``ids`` names the column of ``encode_texts``, if it is there."""
     if ids is None:
         docs, ids = encode_texts(docs, model.tokenizer, model.end_id, id, text), "ids"
-    end_id = model.end_id
+    end_id, id_kind = model.end_id, model.id_kind
     # Sent on its own: a worker holds it once, for all its tasks, and not beside its pickled form.
     sent = docs.sparkSession.sparkContext.broadcast((model.scorer, model.hot))
     end_log, end_known = model.log10(model.end_count), int(model.end_count > 0)
@@ -290,9 +313,8 @@ def score_texts(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text:
             at = 0
             for texts in _texts(batch, 1):
                 n = len(texts)
-                lists = batch.column(2).slice(at, n)
-                lengths = np.diff(np.asarray(lists.offsets, np.int64))
-                logs = scorer.id_scores(np.asarray(lists.flatten(), np.int64), lengths, end_id)
+                ids, lengths = _ids_of(batch.column(2).slice(at, n), id_kind)
+                logs = scorer.id_scores(ids.astype(np.int64), lengths, end_id)
                 ends = np.cumsum(lengths)
                 words, offsets = text_words(texts)
                 codes, values = distinct(words)

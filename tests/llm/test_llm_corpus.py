@@ -202,6 +202,47 @@ def test_pieces_of_a_task_are_learned_from_in_turn(monkeypatch):
     assert set(np.flatnonzero(trainer.touched)) == met and trainer.steps == 2
 
 
+def test_ids_are_written_as_two_bytes_each(spark):
+    rows = [(1, "some text, and more"), (2, ""), (3, None), (4, "\u00e9t\u00e9 \u4e2d\u6587 " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in lm.encode_texts(docs, queries.tokenizer_path(), 50_256).collect()}
+    encoder = Encoder(queries.tokenizer_path())
+    for i, text in rows:
+        wanted = encoder.encode(pa.array([text or ""]), 50_256)[0]
+        assert np.frombuffer(bytes(got[i]), "<u2").tolist() == wanted.tolist()
+    assert lm.id_type(1 << 16).itemsize == 2 and lm.id_type((1 << 16) + 1).itemsize == 4
+
+
+def test_written_ids_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 10)
+    texts = [np.arange(n, dtype="<u4") + 70_000 for n in (3, 0, 12, 1, 30, 4, 4, 4)]
+    column = pa.array([t.tobytes() for t in texts], pa.binary())
+    batches = [pa.RecordBatch.from_arrays([c], names=["ids"]) for c in (column.slice(0, 3), column.slice(3), column.slice(8))]
+    pieces = list(lm._read_ids(iter(batches), np.dtype("<u4")))
+    assert np.concatenate([ids for ids, _ in pieces]).tolist() == np.concatenate(texts).tolist()
+    assert np.concatenate([n for _, n in pieces]).tolist() == [len(t) for t in texts]
+    assert len(pieces) > 2 and all(len(ids) == n.sum() for ids, n in pieces)
+
+
+def test_steps_over_runs_of_blocks_see_each_id_once(monkeypatch):
+    monkeypatch.setattr(attention, "LEAST_STEPS", 1)
+    rng = np.random.default_rng(1)
+    lengths = np.array([500, 0, 1, 16, 17, 1300, 3])
+    ids = rng.integers(0, 40, lengths.sum())
+    classes = attention.IdClasses(np.column_stack([np.ones(41), rng.random((41, 2 * attention.CODES))]))
+    trainer = attention.Trainer(attention.Network.first(classes.points), classes.class_of, 0.02, 1)
+    met, real = [], trainer._step
+
+    def step(around, target, counted, is_first):
+        met.extend(target[counted > 0].tolist())
+        assert around.shape[1] == (attention.RUN + 1) * attention.STRIDE
+        real(around, target, counted, is_first)
+
+    monkeypatch.setattr(trainer, "_step", step)
+    trainer.learn(ids, attention.inputs_of(ids, lengths, 40), lengths)
+    assert sorted(met) == sorted(classes.class_of[ids].tolist())
+
+
 # ---------------------------------------------------------------- spelling variants
 
 

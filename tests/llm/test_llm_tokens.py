@@ -193,3 +193,16 @@ def test_tasks_of_a_worker_share_an_encoder():
         fresh_ids, fresh_lengths = Encoder(PATH).encode(pa.array(texts, pa.large_string()), 2)
         assert ids.tolist() == fresh_ids.tolist() and lengths.tolist() == fresh_lengths.tolist()
         assert kept_encoder(held, PATH) is encoder
+
+
+def test_an_encoder_that_is_full_keeps_the_parts_used_most():
+    encoder = Encoder(PATH, kept=40, often=True)
+    rng = random.Random(3)
+    often = [f"common{k}" for k in range(10)]
+    for turn in range(12):
+        texts = [" ".join([*often, *(f"rare{rng.random()}" for _ in range(4)), rng.choice(often)]) for _ in range(3)] + [f"opening{turn} common1", ""]
+        ids, lengths = encoder.encode(pa.array(texts, pa.large_string()), 2)
+        fresh_ids, fresh_lengths = Encoder(PATH).encode(pa.array(texts, pa.large_string()), 2)
+        assert ids.tolist() == fresh_ids.tolist() and lengths.tolist() == fresh_lengths.tolist()
+        assert set(often[1:]) <= set(encoder.later)
+    assert len(encoder.later) + len(encoder.opening) < 100 and len(encoder.lengths) == len(encoder.uses)
