@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from folio.llm import attention
 from folio.llm.encoding import kept_encoder
 from folio.llm.texts import distinct, release, slices, split_words
-from folio.session import write_once
+from folio.session import arrow_batches, write_once
 
 SHARE = 1  # the network learns from one training text in so many: from all
 ROUNDS = 2
@@ -44,6 +44,7 @@ HOT_BYTES = 64  # of a word that is broadcast, at most
 END = ""  # stands for the end token among words, which are never empty
 PARTS_KEPT = 250_000  # parts of texts whose ids a task remembers
 SLICE = 3 << 20
+BATCH_ROWS = 2_000  # texts handed to a task at a time, at most; Spark's own 10,000 take tens of MB on both sides
 CHUNK = 1 << 18  # ids that a task learns from at a time; a longer text alone
 SPREAD = (64, 4)  # parts into which sums are dealt, one shuffle after another
 
@@ -71,7 +72,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(training: DataFrame) -> DataFrame:
     """(word, n) over all training texts; the end token is the empty word. Written once."""
     counted = training.select("text").mapInArrow(_count_words, "word string, n long")
-    return write_once(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
+    with arrow_batches(training.sparkSession, BATCH_ROWS):
+        return write_once(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
 
 
 def _band(n):
@@ -148,7 +150,9 @@ def add_up(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[str,
         dealt = arrays.withColumn("part", F.pmod("part", F.lit(parts))).repartition(parts, "part", "name")
         arrays = dealt.mapInArrow(_add, _ARRAY_SCHEMA)
     total: dict[str, np.ndarray] = {}
-    for row in arrays.collect():  # a few arrays of fixed size from each of the last parts
+    with arrow_batches(rows.sparkSession, BATCH_ROWS):
+        summed = arrays.collect()
+    for row in summed:  # a few arrays of fixed size from each of the last parts
         if row["name"] not in total:
             total[row["name"]] = np.zeros((row["rows"], row["columns"]), row["kind"])
         total[row["name"]][np.frombuffer(row["places"], np.int32)] += np.frombuffer(row["data"], row["kind"]).reshape(-1, row["columns"])
@@ -205,7 +209,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id
         release()
 
     schema = f"id {docs.schema[id].dataType.simpleString()}, text string, ids binary"
-    encoded = write_once(read.mapInArrow(encode, schema)).withColumnsRenamed({"id": id, "text": text})
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        encoded = write_once(read.mapInArrow(encode, schema)).withColumnsRenamed({"id": id, "text": text})
     held.unpersist()
     return encoded
 
@@ -350,7 +355,8 @@ def score_texts(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text:
     read = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(ids).alias("ids"))
     kind = docs.schema[id].dataType.simpleString()
     schema = f"key long, id {kind}, n_tokens long, n_known long, base double, score double, word string, times long"
-    rows = write_once(read.mapInArrow(score, schema))
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        rows = write_once(read.mapInArrow(score, schema))
     own = rows.filter("word IS NULL").select("key", "id", "n_tokens", "n_known", "base", "score")
     total = F.lit(float(model.train_tokens + model.words + 1))
     rare = rows.filter("word IS NOT NULL").select("key", "word", "times").join(model.counts, "word", "left")

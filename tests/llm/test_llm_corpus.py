@@ -224,23 +224,23 @@ def test_written_ids_are_read_in_pieces(monkeypatch):
     assert len(pieces) > 2 and all(len(ids) == n.sum() for ids, n in pieces)
 
 
-def test_steps_over_runs_of_blocks_see_each_id_once(monkeypatch):
-    monkeypatch.setattr(attention, "LEAST_STEPS", 1)
-    rng = np.random.default_rng(1)
-    lengths = np.array([500, 0, 1, 16, 17, 1300, 3])
-    ids = rng.integers(0, 40, lengths.sum())
-    classes = attention.IdClasses(np.column_stack([np.ones(41), rng.random((41, 2 * attention.CODES))]))
-    trainer = attention.Trainer(attention.Network.first(classes.points), classes.class_of, 0.02, 1)
-    met, real = [], trainer._step
-
-    def step(around, target, counted, is_first):
-        met.extend(target[counted > 0].tolist())
-        assert around.shape[1] == (attention.RUN + 1) * attention.STRIDE
-        real(around, target, counted, is_first)
-
-    monkeypatch.setattr(trainer, "_step", step)
-    trainer.learn(ids, attention.inputs_of(ids, lengths, 40), lengths)
-    assert sorted(met) == sorted(classes.class_of[ids].tolist())
+def test_batches_sent_to_a_worker_are_small_and_the_session_keeps_its_setting(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(lm, "BATCH_ROWS", 7)
+    spark.conf.set(name, "50")
+    try:
+        rows = lm.encode_texts(spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string").coalesce(1), queries.tokenizer_path(), 50_256)
+
+        def work(batches):
+            return {"most": np.array([[float(max(b.num_rows for b in batches))]])}
+
+        assert lm.add_up(rows.coalesce(1).select("ids"), work)["most"].tolist() == [[7.0]]
+        assert spark.conf.get(name) == "50"
+        monkeypatch.setattr(lm, "BATCH_ROWS", 70)  # a smaller setting stays
+        assert lm.add_up(rows.coalesce(1).select("ids"), work)["most"].tolist() == [[50.0]]
+    finally:
+        spark.conf.set(name, before)
 
 
 # ---------------------------------------------------------------- spelling variants
